@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, packing
+from quillspark.llm import decontamination, language_id, packing, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,29 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_packing": op6_packing, "op7_decontamination": op7_decontamination}
+def held_out(folds: int, fold: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs, ~held_out(5, 0))
+    return language_id.identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(4, 2))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(4, 2).alias("held_out"), "score", F.expr("int(score >= 0.3)").alias("predicted")
+    )
+
+
+QUERIES = {
+    "op6_packing": op6_packing,
+    "op7_decontamination": op7_decontamination,
+    "op8_language_id": op8_language_id,
+    "op10_toxicity": op10_toxicity,
+}
 
 SQL: dict[str, str] = {}
