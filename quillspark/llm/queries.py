@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, language_id, packing, toxicity
+from quillspark.llm import decontamination, language_id, license_scan, packing, quality_rules, secret_scan, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +51,41 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir))
+    count = lambda kind: f"bigint(size(filter(findings, f -> f.kind = '{kind}')))"
+    base = ", ".join(f"'{k}'" for k in secret_scan.BASE)
+    return found.select(
+        "doc_id",
+        F.expr(count("assign")).alias("n_assign"),
+        F.expr(count("access")).alias("n_access"),
+        F.expr(count("hex")).alias("n_hex"),
+        F.expr(f"sha2({secret_scan.joined(f'filter(findings, f -> f.kind in ({base}))')}, 256)").alias("base_sha256"),
+        F.expr(secret_scan.joined("findings")).alias("spans"),
+    )
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.clean(documents(spark, sf_dir)).drop("cleaned")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.recognise(documents(spark, sf_dir))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("sentence_ids", "licenses")})
+
+
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op3_quality_rules": op3_quality_rules,
+    "op9_license_scan": op9_license_scan,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_secret_scan": secret_scan.SQL,
+    "op3_quality_rules": quality_rules.SQL,
+    "op9_license_scan": license_scan.sql(),
+}
