@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, language_id, license_scan, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
+from quillspark.llm import decontamination, language_id, license_scan, ngram_jaccard, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(documents(spark, sf_dir), n=4, percent=85)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, sf_dir))
     count = lambda kind: f"bigint(size(filter(findings, f -> f.kind = '{kind}')))"
@@ -85,6 +89,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_suffix_dedup": op4_suffix_dedup,

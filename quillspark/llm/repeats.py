@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Chunk, groups_for, in_sorted, mix, pair_hash, text_bytes, text_chunks, window_hashes
+from quillspark.llm.messages import get, messages, put, table, unpacked
 
 GROUP_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 #: A digit in more documents of one chunk than this is common; its runs skip pass 1.
 COMMON = 64
 NO_ID, MARK = (1 << 63) - 1, -(1 << 63)
 SETTLED, OPEN, DIRECT = 0, 1, 2
-_MESSAGE = pa.schema([("k", pa.int32()), ("m", pa.binary())])
 
 
 class Windows:
@@ -103,53 +103,6 @@ class Runs:
         return at, np.repeat(self.doc[pick], count)
 
 
-def _put(*arrays: np.ndarray) -> bytes:
-    return b"".join(struct.pack("<BI", "qQBi".index(_code(a)), len(a)) + a.tobytes() for a in arrays)
-
-
-def _code(a: np.ndarray) -> str:
-    return {"int64": "q", "uint64": "Q", "uint8": "B", "int32": "i"}[a.dtype.name]
-
-
-_KINDS = (np.int64, np.uint64, np.uint8, np.int32)
-
-
-def _get(raw: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(raw):
-        kind, n = struct.unpack_from("<BI", raw, at)
-        a = np.frombuffer(raw, _KINDS[kind], n, at + 5)
-        out.append(a)
-        at += 5 + a.nbytes
-    return out
-
-
-def _by_owner(ids: np.ndarray):
-    """Ids as a table of different ones and how many rows each has; rows must be sorted by id."""
-    own, count = np.unique(ids, return_counts=True)
-    return own, count.astype(np.int32)
-
-
-def _messages(keys: np.ndarray, ids: np.ndarray, *cols: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Packed rows for each key; documents' ids are written once for all their rows."""
-    order = np.lexsort((ids, keys))
-    keys, ids, cols = keys[order], ids[order], [c[order] for c in cols]
-    cut = np.flatnonzero(np.diff(keys)) + 1
-    for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(keys)).tolist(), strict=True):
-        if b > a:
-            yield int(keys[a]), _put(*_by_owner(ids[a:b]), *(c[a:b] for c in cols))
-
-
-def _unpacked(messages: list[bytes]) -> list[np.ndarray]:
-    """Ids and columns of all messages together."""
-    got = [_get(m) for m in messages]
-    return [np.concatenate([np.repeat(g[0], g[1]) for g in got]), *(np.concatenate(c) for c in zip(*(g[2:] for g in got), strict=True))]
-
-
-def _table(rows: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table([pa.array([k for k, _ in rows], pa.int32()), pa.array([m for _, m in rows], pa.binary())], schema=_MESSAGE)
-
-
 def _ids(chunk: Chunk) -> np.ndarray:
     return chunk.ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -188,7 +141,7 @@ def _send_runs(kind: Windows, buckets: int):
                     key, name = np.append(key, marks), np.append(name, np.zeros(n, np.uint64))
                     own, state = np.append(own, np.full(n, MARK)), np.append(state, np.full(n, OPEN, np.uint8))
                     bucket = np.append(bucket, (marks % np.uint64(buckets)).astype(np.int64))
-                yield from _table(list(_messages(bucket, own, key, name, state))).to_batches()
+                yield from table(list(messages(bucket, own, key, name, state))).to_batches()
 
     return run
 
@@ -196,8 +149,8 @@ def _send_runs(kind: Windows, buckets: int):
 def _settle_runs(groups: int):
     """Pass 1, at the buckets: (document, run, settled or open) for the texts."""
 
-    def run(table: pa.Table) -> pa.Table:
-        own, key, name, state = _unpacked(table.column("m").to_pylist())
+    def run(told: pa.Table) -> pa.Table:
+        own, key, name, state = unpacked(told.column("m").to_pylist())
         told = state != OPEN
         out_id, out_name, out_state = [own[told]], [name[told]], [(state[told] == DIRECT).astype(np.uint8)]
         own, key, name = own[~told], key[~told], name[~told]
@@ -225,7 +178,7 @@ def _settle_runs(groups: int):
             out_name += [name[hit], name[left]]
             out_state += [np.zeros(int(hit.sum()), np.uint8), np.ones(len(left), np.uint8)]
         ids, names, states = np.concatenate(out_id), np.concatenate(out_name), np.concatenate(out_state)
-        return _table(list(_messages(_group(ids, groups), ids, names, states)))
+        return table(list(messages(_group(ids, groups), ids, names, states)))
 
     return run
 
@@ -245,9 +198,9 @@ def _pack_texts(groups: int):
                 for rows_at in np.split(order, cut):
                     sizes = np.diff(chunk.offsets)[rows_at]
                     raw = b"".join(chunk.raw(i) for i in rows_at.tolist())
-                    head = _put(ids[rows_at], sizes.astype(np.int64))
+                    head = put(ids[rows_at], sizes.astype(np.int64))
                     rows.append((int(group[rows_at[0]]), struct.pack("<I", len(head)) + head + press.compress(raw)))
-                yield from _table(rows).to_batches()
+                yield from table(rows).to_batches()
 
     return run
 
@@ -258,7 +211,7 @@ def _unpack_texts(messages: list[bytes]) -> Chunk | None:
     unpress = zstandard.ZstdDecompressor()
     for m in messages:
         (n,) = struct.unpack_from("<I", m)
-        i, s = _get(m[4 : 4 + n])
+        i, s = get(m[4 : 4 + n])
         ids.append(i)
         sizes.append(s)
         parts.append(unpress.decompress(m[4 + n :], max_output_size=max(1, int(s.sum()))) if s.sum() else b"")
@@ -286,12 +239,12 @@ def _send_windows(kind: Windows, buckets: int):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         chunk = _unpack_texts(texts.column("m").to_pylist())
         if chunk is None or not told.num_rows:
-            return _table([])
-        own, name, state = _unpacked(told.column("m").to_pylist())
+            return table([])
+        own, name, state = unpacked(told.column("m").to_pylist())
         own, name = own[state == 1], name[state == 1]
         need = np.flatnonzero(np.isin(chunk.ids, own))
         if not len(need):
-            return _table([])
+            return table([])
         chunk = _part(chunk, need)
         runs = Runs(kind, chunk)
         open_ = in_sorted(np.unique(_tag(own, name)), _tag(chunk.ids[runs.doc], runs.name))
@@ -306,7 +259,7 @@ def _send_windows(kind: Windows, buckets: int):
         state = (ids == least).astype(np.uint8)
         spread = (mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         bucket[state == 0] = spread[state == 0]
-        return _table(list(_messages(bucket[fresh], ids[fresh], hashes[fresh], state[fresh])))
+        return table(list(messages(bucket[fresh], ids[fresh], hashes[fresh], state[fresh])))
 
     return run
 
@@ -314,8 +267,8 @@ def _send_windows(kind: Windows, buckets: int):
 def _settle_windows(groups: int):
     """Pass 2, at the buckets: (document, window) of every hit."""
 
-    def run(table: pa.Table) -> pa.Table:
-        own, name, state = _unpacked(table.column("m").to_pylist())
+    def run(told: pa.Table) -> pa.Table:
+        own, name, state = unpacked(told.column("m").to_pylist())
         out_id, out_name = [own[state == 0]], [name[state == 0]]
         own, name = own[state == 1], name[state == 1]
         if len(own):
@@ -326,7 +279,7 @@ def _settle_windows(groups: int):
             out_id.append(own[hit])
             out_name.append(name[hit])
         ids, names = np.concatenate(out_id), np.concatenate(out_name)
-        return _table(list(_messages(_group(ids, groups), ids, names, np.full(len(ids), 2, np.uint8))))
+        return table(list(messages(_group(ids, groups), ids, names, np.full(len(ids), 2, np.uint8))))
 
     return run
 
@@ -349,13 +302,13 @@ def _apply(kind: Windows, by_word: bool):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         chunk = _unpack_texts(texts.column("m").to_pylist())
         if chunk is None:
-            return _RESULT.empty_table()
+            return _RESULT.emptytable()
         n = len(chunk)
         units, firsts = kind.units(chunk)
         cover = np.zeros(len(units) + 1, np.int32)
         bounds = (kind.starts, kind.stops) if by_word else None
         if told.num_rows:
-            own, name, state = _unpacked(told.column("m").to_pylist())
+            own, name, state = unpacked(told.column("m").to_pylist())
             hit = state != 1
             own, name, state = own[hit], name[hit], state[hit]
             need = np.flatnonzero(np.isin(chunk.ids, own))
