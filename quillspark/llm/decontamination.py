@@ -115,13 +115,8 @@ def _scan(windows_broadcast, part: int):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 200_000) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids as strings, sorted), spans of the original text, contaminated.
-
-    A document is contaminated when at least a twentieth of its words lie in benchmark windows.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _blocks(benchmark: DataFrame, window: int, max_windows: int) -> list[dict[bytes, list[str]]]:
+    """Windows and the items that have them, in blocks of bounded size."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks: list[dict[bytes, list[str]]] = [{}]
     for row in items.where("text is not null").toLocalIterator():
@@ -134,7 +129,41 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_w
                 if len(blocks[-1]) >= max_windows:
                     blocks.append({})
                 blocks[-1][w] = [row["item_id"]]
-    blocks = [{w: [i for i in names if i is not None] for w, names in block.items()} for block in blocks]
+    return [{w: [i for i in names if i is not None] for w, names in block.items()} for block in blocks]
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 200_000) -> DataFrame:
+    """The rows of `docs` that are not contaminated."""
+    blocks = _blocks(benchmark, window, max_windows)
+    if len(blocks) > 1:
+        bad = decontaminate(docs, benchmark, window, max_windows).where("contaminated").select("doc_id")
+        return docs.join(bad.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    plain = docs.withColumn("text", F.col("text").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = build(shared.value)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for first in range(0, batch.num_rows, 512):
+                piece = batch.slice(first, 512)
+                keep = []
+                for text in piece.column(at).to_pylist():
+                    n, hit, _ = match(auto, text)
+                    keep.append(not hit or 20 * len(hit) < n)
+                yield piece.filter(pa.array(keep, pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 200_000) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ids as strings, sorted), spans of the original text, contaminated.
+
+    A document is contaminated when at least a twentieth of its words lie in benchmark windows.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = _blocks(benchmark, window, max_windows)
     found = [texts.mapInArrow(_scan(spark.sparkContext.broadcast(b), k), SCHEMA) for k, b in enumerate(blocks)]
     out = found[0].drop("part")
     if len(found) > 1:

@@ -36,6 +36,8 @@ _FOLD[65:91] = range(97, 123)
 _FOLD[128:] = range(128, 256)
 _SALT = rng_table(11, 3) | np.uint64(1)
 UNDETERMINED = "und"
+#: A smaller gap in loss between the two nearest codewords is ambiguous.
+DOUBT = 1.0
 
 
 def codewords(n: int, seed: int = 5) -> np.ndarray:
@@ -132,7 +134,7 @@ def fit(docs: DataFrame, train: Column, per_language: int = 400, max_languages:
     return {"langs": langs, "w": fit_bits(x, code[[at[r["lang"]] for r in got]]), "code": code}
 
 
-def identify(docs: DataFrame, model: dict, min_gap: float = 1.0) -> DataFrame:
+def identify(docs: DataFrame, model: dict, min_gap: float = DOUBT) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous for every row of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -160,3 +162,26 @@ def identify(docs: DataFrame, model: dict, min_gap: float = 1.0) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id bigint, lang_pred string, score double, ambiguous boolean"
     )
+
+
+def accepted(docs: DataFrame, model: dict, least_score: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose language the model can tell; those of no language or a doubtful one go.
+
+    A row goes if it is `und`, or if it is ambiguous and scores below `least_score`.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    plain = docs.withColumn("text", F.col("text").cast("string"))
+    names = plain.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for chunk in text_chunks(batch, col="text", key=names[0]):
+                known = np.array([bool(_LETTER.search(chunk.raw(i).decode())) for i in range(len(chunk))], bool)
+                if not m["langs"]:
+                    continue
+                _, belief, gap = decode(features(chunk.data, chunk.offsets), m["w"], m["code"])
+                keep = known & ((gap >= DOUBT) | (belief >= least_score))
+                yield batch.slice(chunk.rows[0], len(chunk)).filter(pa.array(keep))
+
+    return plain.mapInArrow(run, plain.schema)

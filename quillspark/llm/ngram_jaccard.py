@@ -326,3 +326,10 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         .unionByName(nodes.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     )
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that name their component: one document of each group. Rows without a doc_id stay."""
+    keep = join(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
