@@ -88,22 +88,34 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-def window_hashes(units: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each run of `length` units, by doubling; windows may span documents."""
+def _next(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = a * np.uint64(0x8EBC6AF09C88C6E3)
+    h += b
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def window_hashes(units: np.ndarray, length: int, also: int = 0):
+    """Hash of each run of `length` units, by doubling; windows may span documents.
+
+    With `also`, a power of two below `length`, the hashes of its runs come along.
+    """
     n = len(units) - length + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    have, at, out, level, width = length, 0, None, units, 1
+        return (np.zeros(0, np.uint64),) * 2 if also else np.zeros(0, np.uint64)
+    have, at, out, level, width, short = length, 0, None, units, 1, None
     while have:
+        if width == also:
+            short = level
         if have & width:
             piece = level[at : at + n]
-            out = piece if out is None else pair_hash(out, piece)
+            out = piece if out is None else _next(out, piece)
             at += width
             have -= width
         if have:
-            level = pair_hash(level[:-width], level[width:])
+            level = _next(level[:-width], level[width:])
             width *= 2
-    return out
+    return (mix(out), short) if also else mix(out)
 
 
 class Chunk:

@@ -7,8 +7,10 @@
    name, run name, document).  A digit that one document owns alone is dropped.
    A run that a smaller document has, too, is a hit as a whole.  The first owners
    of the different runs of one digit are left to the next pass.
-2. Those owners name each of their open windows; a window that a smaller
-   document has, too, is a hit.
+2. Those owners send the stretch of text of each open run to its digit's bucket,
+   where its windows are compared; a window that a smaller document has, too, is
+   a hit.  Runs of a digit with very many different runs send their windows
+   instead, each to a bucket of its own.
 3. Hits go back to the texts, and what they cover is removed.
 
 Bounds.  Messages are packed arrays, by bucket.  The number of buckets and of
@@ -37,13 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Chunk, groups_for, in_sorted, mix, pair_hash, text_bytes, text_chunks, window_hashes
-from quillspark.llm.messages import get, messages, put, table, unpacked
+from quillspark.llm.messages import SCHEMA, get, messages, put, table, tagged, unpacked
 
 GROUP_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 #: A digit in more documents of one chunk than this is common; its runs skip pass 1.
 COMMON = 64
 NO_ID, MARK = (1 << 63) - 1, -(1 << 63)
+#: A digit with more different runs than this goes on by windows, not by whole stretches.
+WIDE = 1024
 SETTLED, OPEN, DIRECT = 0, 1, 2
+#: Tags: runs; settled runs; open runs; stretches of open runs; windows; windows that are hits; hits within runs.
+RUN, SETTLED_RUN, OPEN_RUN, STRETCH, WINDOW, HIT, MASK = range(7)
 
 
 class Windows:
@@ -56,7 +62,11 @@ class Windows:
         raise NotImplementedError
 
     def digits(self, units: np.ndarray, firsts: np.ndarray):
-        """(place, name) of the digit of each window; windows may span documents."""
+        """(hash of each window, place of its digit, name of its digit); windows may span documents."""
+        raise NotImplementedError
+
+    def stretch(self, first: np.ndarray, last: np.ndarray):
+        """First and end byte of units first..last of the chunk that `units` saw last."""
         raise NotImplementedError
 
 
@@ -66,8 +76,7 @@ class Runs:
     def __init__(self, kind: Windows, chunk: Chunk):
         self.units, self.firsts = kind.units(chunk)
         n, length = len(self.units), kind.length
-        self.hashes = window_hashes(self.units, length)
-        at, key = kind.digits(self.units, self.firsts)
+        self.hashes, at, key = kind.digits(self.units, self.firsts)
         size = np.diff(self.firsts)
         doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
         if n < length:
@@ -151,9 +160,9 @@ def _settle_runs(groups: int):
 
     def run(told: pa.Table) -> pa.Table:
         own, key, name, state = unpacked(told.column("m").to_pylist())
-        told = state != OPEN
-        out_id, out_name, out_state = [own[told]], [name[told]], [(state[told] == DIRECT).astype(np.uint8)]
-        own, key, name = own[~told], key[~told], name[~told]
+        hits = [(own[state == SETTLED], name[state == SETTLED])]
+        left = [(own[state == DIRECT], name[state == DIRECT], key[state == DIRECT], np.ones(int((state == DIRECT).sum()), np.uint8))]
+        own, key, name = own[state == OPEN], key[state == OPEN], name[state == OPEN]
         if len(own):
             order = np.argsort(key, kind="stable")
             own, key, name = own[order], key[order], name[order]
@@ -166,19 +175,20 @@ def _settle_runs(groups: int):
             new_key = np.append(True, key[1:] != key[:-1])
             new_name = new_key | np.append(True, name[1:] != name[:-1])
             first = np.flatnonzero(new_name)
-            least = own[first][np.cumsum(new_name) - 1]
-            hit = own > least
+            hit = own > own[first][np.cumsum(new_name) - 1]
+            hits.append((own[hit], name[hit]))
             # Owners of the runs of one digit, where there are several runs and several owners.
             which = (np.cumsum(new_key) - 1)[first]
             owner = own[first]
             begin = np.flatnonzero(new_key[first])
-            low, high = np.minimum.reduceat(owner, begin)[which], np.maximum.reduceat(owner, begin)[which]
-            left = first[low < high]
-            out_id += [own[hit], own[left]]
-            out_name += [name[hit], name[left]]
-            out_state += [np.zeros(int(hit.sum()), np.uint8), np.ones(len(left), np.uint8)]
-        ids, names, states = np.concatenate(out_id), np.concatenate(out_name), np.concatenate(out_state)
-        return table(list(messages(_group(ids, groups), ids, names, states)))
+            low, high = np.minimum.reduceat(owner, begin), np.maximum.reduceat(owner, begin)
+            wide = ((np.bincount(which) > WIDE) | (low == MARK))[which]
+            go = (low < high)[which] & (owner != MARK)
+            left.append((owner[go], name[first][go], key[first][go], wide[go].astype(np.uint8)))
+        ids, names = (np.concatenate(c) for c in zip(*hits, strict=True))
+        out = table(list(messages(_group(ids, groups), ids, names)), SETTLED_RUN)
+        ids, names, keys, wide = (np.concatenate(c) for c in zip(*left, strict=True))
+        return pa.concat_tables([out, table(list(messages(_group(ids, groups), ids, names, keys, wide)), OPEN_RUN)])
 
     return run
 
@@ -234,52 +244,102 @@ def _tag(ids: np.ndarray, names: np.ndarray) -> np.ndarray:
 
 
 def _send_windows(kind: Windows, buckets: int):
-    """Pass 2, at the texts: the windows of open runs, each once a group."""
+    """Pass 2, at the texts: open runs as stretches of text by digit, those of wide digits as windows, each once a group."""
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         chunk = _unpack_texts(texts.column("m").to_pylist())
         if chunk is None or not told.num_rows:
             return table([])
-        own, name, state = unpacked(told.column("m").to_pylist())
-        own, name = own[state == 1], name[state == 1]
+        own, name, key, wide = unpacked(told.column("m").to_pylist())
         need = np.flatnonzero(np.isin(chunk.ids, own))
         if not len(need):
             return table([])
         chunk = _part(chunk, need)
         runs = Runs(kind, chunk)
-        open_ = in_sorted(np.unique(_tag(own, name)), _tag(chunk.ids[runs.doc], runs.name))
+        tags = _tag(chunk.ids[runs.doc], runs.name)
+        narrow = in_sorted(np.unique(_tag(own, name)[wide == 0]), tags)
+        open_ = in_sorted(np.unique(_tag(own, name)[wide == 1]), tags) & ~narrow
+        # Stretches: one for each document and run.
+        pick = np.flatnonzero(narrow)
+        pick = pick[np.unique(tags[pick], return_index=True)[1]]
+        begin, end = kind.stretch(runs.first[pick], runs.first[pick] + runs.count[pick] + kind.length - 2)
+        bucket = (runs.key[pick] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        press, rows = zstandard.ZstdCompressor(level=3), []
+        for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            if len(at):
+                at = at[np.argsort(pick[at], kind="stable")]
+                raw = b"\n".join(chunk.data[a:b].tobytes() for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True))
+                head = put(chunk.ids[runs.doc[pick[at]]], (end[at] - begin[at]).astype(np.int32))
+                body = press.compress(struct.pack("<I", len(head)) + head + raw)
+                rows.append((int(bucket[at[0]]), struct.pack("<I", len(body)) + body + put(runs.name[pick[at]])))
+        out = [table(rows, STRETCH)]
         at, doc = runs.windows(np.flatnonzero(open_))
-        hashes, ids = runs.hashes[at], chunk.ids[doc]
-        order = np.lexsort((ids, hashes))
-        hashes, ids = hashes[order], ids[order]
-        new = np.append(True, hashes[1:] != hashes[:-1]) if len(hashes) else np.zeros(0, bool)
-        fresh = new | (np.append(True, ids[1:] != ids[:-1]) if len(hashes) else new)
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        least = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(ids) else ids
-        state = (ids == least).astype(np.uint8)
-        spread = (mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        bucket[state == 0] = spread[state == 0]
-        return table(list(messages(bucket[fresh], ids[fresh], hashes[fresh], state[fresh])))
+        if len(at):
+            hashes, ids = runs.hashes[at], chunk.ids[doc]
+            order = np.lexsort((ids, hashes))
+            hashes, ids = hashes[order], ids[order]
+            new = np.append(True, hashes[1:] != hashes[:-1])
+            fresh = new | np.append(True, ids[1:] != ids[:-1])
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+            state = (ids == least).astype(np.uint8)
+            spread = (mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            bucket[state == 0] = spread[state == 0]
+            out.append(table(list(messages(bucket[fresh], ids[fresh], hashes[fresh], state[fresh])), WINDOW))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _settle_windows(groups: int):
-    """Pass 2, at the buckets: (document, window) of every hit."""
+def _first_owner(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row the smallest id that has the row's hash."""
+    order = np.lexsort((ids, hashes))
+    hashes, ids = hashes[order], ids[order]
+    new = np.append(True, hashes[1:] != hashes[:-1])
+    out = np.empty(len(ids), np.int64)
+    out[order] = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
+def _settle_windows(kind: Windows, groups: int):
+    """Pass 2, at the buckets: which windows of each stretch, and which single windows, are hits."""
 
     def run(told: pa.Table) -> pa.Table:
-        own, name, state = unpacked(told.column("m").to_pylist())
-        out_id, out_name = [own[state == 0]], [name[state == 0]]
-        own, name = own[state == 1], name[state == 1]
-        if len(own):
-            order = np.lexsort((own, name))
-            own, name = own[order], name[order]
-            new = np.append(True, name[1:] != name[:-1])
-            hit = own > own[np.flatnonzero(new)][np.cumsum(new) - 1]
-            out_id.append(own[hit])
-            out_name.append(name[hit])
-        ids, names = np.concatenate(out_id), np.concatenate(out_name)
-        return table(list(messages(_group(ids, groups), ids, names, np.full(len(ids), 2, np.uint8))))
+        out = [table([])]
+        stretches, ids, sizes, names, parts = tagged(told, STRETCH), [], [], [], []
+        for m in stretches:
+            (n,) = struct.unpack_from("<I", m)
+            body = zstandard.ZstdDecompressor().decompress(m[4 : 4 + n])
+            (k,) = struct.unpack_from("<I", body)
+            i, s = get(body[4 : 4 + k])
+            ids.append(i)
+            sizes.append(s)
+            names += get(m[4 + n :])
+            parts.append(body[4 + k :])
+        if stretches:
+            ids, sizes, names = np.concatenate(ids), np.concatenate(sizes).astype(np.int64), np.concatenate(names)
+            data = np.frombuffer(b"\n".join(parts), np.uint8)
+            # Each stretch is a text of its own; the byte between two of them belongs to neither.
+            real = np.ones(len(data), bool)
+            real[(np.cumsum(sizes + 1) - 1)[:-1]] = False
+            data = data[real]
+            stretch = Chunk((0, len(ids)), ids, None, data, np.cumsum(np.append(0, sizes)))
+            units, firsts = kind.units(stretch)
+            hashes = window_hashes(units, kind.length)
+            count = np.diff(firsts) - kind.length + 1
+            at = np.repeat(firsts[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            which = np.repeat(np.arange(len(ids)), count)
+            hit = _first_owner(hashes[at], ids[which]) < ids[which]
+            mask = np.zeros(len(ids), np.uint64)
+            np.bitwise_or.at(mask, which[hit], np.uint64(1) << (at - firsts[which])[hit].astype(np.uint64))
+            some = mask > 0
+            out.append(table(list(messages(_group(ids[some], groups), ids[some], names[some], mask[some])), MASK))
+        if windows := tagged(told, WINDOW):
+            own, name, state = unpacked(windows)
+            hit = (state == 0) | (_first_owner(name, own) < own)
+            out.append(table(list(messages(_group(own[hit], groups), own[hit], name[hit])), HIT))
+        return pa.concat_tables(out)
 
     return run
 
@@ -308,19 +368,30 @@ def _apply(kind: Windows, by_word: bool):
         cover = np.zeros(len(units) + 1, np.int32)
         bounds = (kind.starts, kind.stops) if by_word else None
         if told.num_rows:
-            own, name, state = unpacked(told.column("m").to_pylist())
-            hit = state != 1
-            own, name, state = own[hit], name[hit], state[hit]
-            need = np.flatnonzero(np.isin(chunk.ids, own))
+            none = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            whole_id, whole = unpacked(m) if (m := tagged(told, SETTLED_RUN)) else none
+            part_id, part_of, mask = unpacked(m) if (m := tagged(told, MASK)) else (*none, none[1])
+            hit_id, hit = unpacked(m) if (m := tagged(told, HIT)) else none
+            need = np.flatnonzero(np.isin(chunk.ids, np.concatenate((whole_id, part_id, hit_id))))
             part = _part(chunk, need)
             runs = Runs(kind, part)
             shift = firsts[need] - runs.firsts[:-1]  # from units of the part to units of the chunk
-            settled = in_sorted(np.unique(_tag(own, name)[state == 0]), _tag(part.ids[runs.doc], runs.name))
+            tags = _tag(part.ids[runs.doc], runs.name)
+            settled = in_sorted(np.unique(_tag(whole_id, whole)), tags)
             np.add.at(cover, runs.first[settled] + shift[runs.doc[settled]], 1)
             np.add.at(cover, runs.first[settled] + runs.count[settled] - 1 + kind.length + shift[runs.doc[settled]], -1)
-            at, doc = runs.windows(np.flatnonzero(~settled))
-            hits = in_sorted(np.unique(_tag(own, name)[state == 2]), _tag(part.ids[doc], runs.hashes[at]))
-            at, doc = at[hits], doc[hits]
+            known, where = np.unique(_tag(part_id, part_of), return_index=True)
+            pick = np.flatnonzero(~settled & in_sorted(known, tags))
+            at, doc = runs.windows(pick)
+            bits = np.repeat(mask[where[np.searchsorted(known, tags[pick])]], runs.count[pick]) if len(pick) else mask[:0]
+            got = (bits >> (at - np.repeat(runs.first[pick], runs.count[pick])).astype(np.uint64) & np.uint64(1)).astype(bool)
+            at, doc = [at[got]], [doc[got]]
+            if len(hit):
+                more, its = runs.windows(np.flatnonzero(~settled))
+                got = in_sorted(np.unique(_tag(hit_id, hit)), _tag(part.ids[its], runs.hashes[more]))
+                at.append(more[got])
+                doc.append(its[got])
+            at, doc = np.concatenate(at), np.concatenate(doc)
             np.add.at(cover, at + shift[doc], 1)
             np.add.at(cover, at + kind.length + shift[doc], -1)
         gone = np.cumsum(cover[:-1]) > 0
@@ -355,11 +426,11 @@ def remove(docs: DataFrame, kind: Windows, by_word: bool) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size, least = text_bytes(texts), int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, groups = max(least, groups_for(size, BUCKET_BYTES)), max(least, groups_for(size, GROUP_BYTES))
-    schema = "k int, m binary"
-    packed = texts.mapInArrow(_pack_texts(groups), schema)
-    runs = texts.mapInArrow(_send_runs(kind, buckets), schema).groupBy("k").applyInArrow(_settle_runs(groups), schema)
-    windows = packed.groupBy("k").cogroup(runs.groupBy("k")).applyInArrow(_send_windows(kind, buckets), schema)
-    hits = windows.groupBy("k").applyInArrow(_settle_windows(groups), schema)
-    told = runs.unionByName(hits)
+    packed = texts.mapInArrow(_pack_texts(groups), SCHEMA)
+    runs = texts.mapInArrow(_send_runs(kind, buckets), SCHEMA).groupBy("k").applyInArrow(_settle_runs(groups), SCHEMA)
+    open_ = runs.where(F.col("t") == OPEN_RUN)
+    windows = packed.groupBy("k").cogroup(open_.groupBy("k")).applyInArrow(_send_windows(kind, buckets), SCHEMA)
+    hits = windows.groupBy("k").applyInArrow(_settle_windows(kind, groups), SCHEMA)
+    told = runs.where(F.col("t") == SETTLED_RUN).unionByName(hits)
     result = "doc_id bigint, n_units bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
     return packed.groupBy("k").cogroup(told.groupBy("k")).applyInArrow(_apply(kind, by_word), result)

@@ -95,15 +95,16 @@ class WordWindows(repeats.Windows):
 
     def digits(self, units: np.ndarray, firsts: np.ndarray):
         n = len(units) - self.length + 1
+        hashes = window_hashes(units, self.length)
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return hashes, np.zeros(0, np.int64), hashes
         whole = np.cumsum(np.append(np.uint64(0), mix(units) * np.uint64(0xD1342543DE82EF95)), dtype=np.uint64)
         levels, s = [], first_level(units, firsts)
         for turn in range(self.rounds):
             s = name_pairs(name_runs(s), turn)
             levels.append(s)
         # A window that decides no symbol (one long run, say) is its own digit.
-        at, key = np.arange(n, dtype=np.int64), mix(window_hashes(units, self.length))
+        at, key = np.arange(n, dtype=np.int64), mix(hashes)
         open_ = np.ones(n, bool)
         for s in reversed(levels):
             order, begin = mix(s.name), np.arange(n, dtype=np.int64)[open_]
@@ -123,7 +124,10 @@ class WordWindows(repeats.Windows):
             # The words that decide the symbol belong to the digit, too.
             key[begin] = pair_hash(s.name[best], whole[high] - whole[low])
             open_[begin] = False
-        return at, key
+        return hashes, at, key
+
+    def stretch(self, first: np.ndarray, last: np.ndarray):
+        return self.starts[first], self.stops[last]
 
 
 def deduplicate(docs: DataFrame, length: int = 13) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from quillspark.llm import repeats
-from quillspark.llm.common import Chunk, mix, rng_table, window_hashes
+from quillspark.llm.common import Chunk, rng_table, window_hashes
 
 
 class ByteWindows(repeats.Windows):
@@ -36,24 +36,26 @@ class ByteWindows(repeats.Windows):
 
     def digits(self, units: np.ndarray, firsts: np.ndarray):
         n = len(units) - self.length + 1
+        hashes, names = window_hashes(units, self.length, also=self.gram)
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        names = window_hashes(units, self.gram)
-        reach = self.length - self.gram + 1
-        value, at, width = mix(names), np.arange(len(names), dtype=np.int32), 1
+            return hashes, np.zeros(0, np.int64), hashes
+        # The high half of a value is a gram's scrambled name, the low half its place: the least is the least-named, leftmost one.
+        value = names * np.uint64(0x9E6C63D0876A9A47)
+        value ^= value >> np.uint64(29)
+        value *= np.uint64(0xC13FA9A902A6328F)
+        value &= np.uint64(0xFFFFFFFF00000000)
+        value |= np.arange(len(value), dtype=np.uint64)
+        reach, width = self.length - self.gram + 1, 1
         while width * 2 <= reach:
-            value, at = _smaller(value, at, width)
+            value = np.minimum(value[:-width], value[width:])
             width *= 2
         if width < reach:
-            value, at = _smaller(value, at, reach - width)
-        at = at[:n].astype(np.int64)
-        return at, names[at]
+            value = np.minimum(value[: width - reach], value[reach - width :])
+        at = (value[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return hashes, at, names[at]
 
-
-def _smaller(value: np.ndarray, at: np.ndarray, step: int):
-    """Of each place and the one `step` later, the smaller value; the earlier one if they are equal."""
-    later = value[step:] < value[:-step]
-    return np.where(later, value[step:], value[:-step]), np.where(later, at[step:], at[:-step])
+    def stretch(self, first: np.ndarray, last: np.ndarray):
+        return first, last + 1
 
 
 def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
