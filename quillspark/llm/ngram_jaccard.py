@@ -243,13 +243,17 @@ def _differ(percent: int, a: str, b: str) -> str:
 
 
 def _grams(n: int):
+    """Sets of n-grams; a text that isn't its node's (of another row with the same doc_id) is left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTable(BLANKS, lower=True)
         for batch in batches:
             for chunk in text_chunks(batch, key="node"):
                 s = Shingles(words, chunk, n)
-                blobs = [s.gram[f : f + c].tobytes() for f, c in zip(s.first.tolist(), s.size.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([chunk.ids, pa.array(blobs, pa.binary())], ["node", "grams"])
+                own, node = s.name.view(np.int64), chunk.ids
+                keep = np.flatnonzero((s.size > 0) & (node.is_null().to_numpy(zero_copy_only=False) | (node.fill_null(0).to_numpy() == own)))
+                blobs = [s.gram[s.first[k] : s.first[k] + s.size[k]].tobytes() for k in keep.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(blobs, pa.binary())], ["node", "grams"])
 
     return run
 
@@ -286,9 +290,13 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     runs = scratch.cut(runs.groupBy("run", "node").agg(F.min("rank").alias("rank")))
     # One document stands for each set that shares a part: what is known of it, and its n-grams.
     stands = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")))
-    stands = scratch.cut(stands.join(runs.select("node").distinct(), "node", "left_semi").where("doc_id is not null"))
-    grams = stands.select("node", "doc_id").join(texts, "doc_id").select("node", "text")
-    grams = scratch.cut(grams.mapInArrow(_grams(n), "node bigint, grams binary").dropDuplicates(["node"]))
+    stands = scratch.cut(stands.join(runs.select("node").distinct(), "node", "left_semi"))
+    grams = stands.where("doc_id is not null").select("node", "doc_id").join(texts, "doc_id").select("node", "text")
+    grams = grams.mapInArrow(_grams(n), "node bigint, grams binary")
+    # Sets that only rows without a doc_id have.
+    nameless = texts.where("doc_id is null").select(F.lit(None).cast("bigint").alias("node"), "text").mapInArrow(_grams(n), "node bigint, grams binary")
+    grams = grams.unionByName(nameless.join(stands.where("doc_id is null").select("node"), "node", "left_semi"))
+    grams = scratch.cut(grams.dropDuplicates(["node"]))
     about = stands.drop("doc_id")
 
     def verified(pairs: DataFrame) -> DataFrame:
