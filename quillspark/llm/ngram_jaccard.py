@@ -9,14 +9,16 @@ Sizes fall into bands whose bounds stand in the ratio p/100, so partners are in
 the same or in neighbouring bands.  For each pair of neighbours the sketch is cut
 into more parts than the sets can differ in: some part must agree.  A part is
 named by the XOR of its n-grams' hashes.  Parts of fewer than two bits say little
-and are left out of a sketch that has enough others to be sure of an agreement.
+and are left out of a sketch that has enough others to be sure of an agreement;
+of those others only the first ones in an order that all sketches share are sent,
+one more than can differ, for two partners must have one of them in common.
 
-Parts meet in buckets.  Documents sharing a part form a run; each run's first
-members are compared with all of it, short sketches screen the pairs by the same
-bound, and what is left is verified on the whole sets.  Then members of a run
-that are still in different components are compared in full, so no link that
-could join two components is missed, yet the copies of one text are never
-expanded into all their pairs.
+Parts meet in buckets.  Documents sharing a part form a run; one member of each run
+is compared with all of it, short sketches screen the pairs by the same bound, and
+what is left is verified on the whole sets.  A second member does the same in runs
+that still hold several components.  Then members of a run that are still in
+different components are compared in full, so no link that could join two
+components is missed, yet copies are never expanded into all their pairs.
 
 Equal sets are one node from the start.  A part common to very many sets of one
 chunk sends only its first ones to the bucket; the rest join the run directly.
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import BLANKS, Chunk, Scratch, WordTable, groups_for, mix, pair_hash, text_bytes, text_chunks, window_hashes
 from quillspark.llm.components import components
 from quillspark.llm.messages import SCHEMA, messages, table, unpacked
+from quillspark.llm.repeats import GROUP_BYTES, group_of, pack_texts, part_of, unpack_texts
 
 FIRST, COMMON, BLOCK, BUCKET_BYTES = 4, 64, 8, 8 << 20
 ENTRY, ENTRY_OF_COMMON, MEMBER = 0, 1, 2
@@ -141,8 +144,15 @@ class Shingles:
             full = bits >= bands.least[group[owner]]
             enough = np.bincount(owner, weights=full, minlength=len(parts)) > bands.differ[group]
             send = full | ~enough[owner]
-            owner, number = owner[send], (np.arange(total) - base[owner])[send]
-            out.append((owner, group[owner], number, name[send]))
+            owner, number, name = owner[send], (np.arange(total) - base[owner])[send], name[send]
+            key = pair_hash(name, (group[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64))
+            order = np.lexsort((key, owner))
+            owner, number, key = owner[order], number[order], key[order]
+            sent = np.bincount(owner, minlength=len(parts))
+            rank = np.arange(len(owner)) - (np.cumsum(sent) - sent)[owner]
+            first = ~enough[owner] | (rank <= bands.differ[group[owner]])
+            owner, number, key = owner[first], number[first], key[first]
+            out.append((owner, group[owner], number, key))
         if not out:
             z = np.zeros(0, np.int64)
             return z, z, z, np.zeros(0, np.uint64)
@@ -164,6 +174,11 @@ def _nodes(n: int):
     return run
 
 
+def _halves(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """40 bits of each key: enough to tell the parts of one bucket apart; what agrees by chance is verified anyway."""
+    return key.astype(np.uint32).view(np.int32), (key >> np.uint64(56)).astype(np.uint8)
+
+
 def _send_parts(n: int, bands: Bands, buckets: int, split: int):
     """Each different set's parts, once a chunk, by bucket."""
 
@@ -172,13 +187,12 @@ def _send_parts(n: int, bands: Bands, buckets: int, split: int):
         for batch in batches:
             for chunk in text_chunks(batch):
                 s = Shingles(words, chunk, n)
-                doc, group, part, name = s.parts(bands)
+                doc, group, part, key = s.parts(bands)
                 one = np.zeros(len(chunk), bool)
                 one[np.unique(s.name, return_index=True)[1]] = True
                 keep = one[doc]
-                doc, group, part, name = doc[keep], group[keep], part[keep], name[keep]
-                place = (group.astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64)
-                key, node = pair_hash(name, place), s.name[doc]
+                doc, group, part, key = doc[keep], group[keep], part[keep], key[keep]
+                node = s.name[doc]
                 block = (group.astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64) // np.uint64(BLOCK)
                 bucket = (mix(block * np.uint64(split) + key % np.uint64(split)) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((node, key))
@@ -191,7 +205,7 @@ def _send_parts(n: int, bands: Bands, buckets: int, split: int):
                 state = np.where(common, np.where(rank < FIRST, ENTRY_OF_COMMON, MEMBER), ENTRY).astype(np.uint8)
                 direct = state == MEMBER
                 bucket[direct] = (node[direct] % np.uint64(buckets)).astype(np.int64)
-                yield from table(list(messages(bucket, node.view(np.int64), key, state))).to_batches()
+                yield from table(list(messages(bucket, node.view(np.int64), *_halves(key), state))).to_batches()
 
     return run
 
@@ -201,7 +215,8 @@ _RUNS = pa.schema([("run", pa.int64()), ("node", pa.int64()), ("rank", pa.int32(
 
 def _runs(told: pa.Table) -> pa.Table:
     """Runs of two or more sets that share a part, and the place of each set in its run."""
-    node, key, state = unpacked(told.column("m").to_pylist())
+    node, low, high, state = unpacked(told.column("m").to_pylist())
+    key = (high.astype(np.uint64) << np.uint64(32)) | low.view(np.uint32).astype(np.uint64)
     direct = state == MEMBER
     out = [(key[direct], node[direct], np.full(int(direct.sum()), 1 << 30))]
     node, key, state = node[~direct], key[~direct], state[~direct]
@@ -242,18 +257,47 @@ def _differ(percent: int, a: str, b: str) -> str:
     )
 
 
-def _grams(n: int):
-    """Sets of n-grams; a text that isn't its node's (of another row with the same doc_id) is left out."""
+def _sets(s: Shingles, keep: np.ndarray) -> pa.Table:
+    """node and grams of the kept texts, each node once."""
+    own = s.name.view(np.int64)
+    keep = keep[np.unique(own[keep], return_index=True)[1]]
+    blobs = [s.gram[s.first[k] : s.first[k] + s.size[k]].tobytes() for k in keep.tolist()]
+    return pa.table([pa.array(own[keep]), pa.array(blobs, pa.binary())], ["node", "grams"])
+
 
+def _nameless_grams(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTable(BLANKS, lower=True)
         for batch in batches:
-            for chunk in text_chunks(batch, key="node"):
+            for chunk in text_chunks(batch):
                 s = Shingles(words, chunk, n)
-                own, node = s.name.view(np.int64), chunk.ids
-                keep = np.flatnonzero((s.size > 0) & (node.is_null().to_numpy(zero_copy_only=False) | (node.fill_null(0).to_numpy() == own)))
-                blobs = [s.gram[s.first[k] : s.first[k] + s.size[k]].tobytes() for k in keep.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(blobs, pa.binary())], ["node", "grams"])
+                yield from _sets(s, np.flatnonzero(s.size)).to_batches()
+
+    return run
+
+
+def _ask(groups: int):
+    """Messages to the texts' groups: which document's n-grams stand for which set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield from table(list(messages(group_of(ids, groups), ids, nodes))).to_batches()
+
+    return run
+
+
+def _answer(n: int):
+    """Sets asked for; a text that isn't the one meant (of another row with the same doc_id) is left out."""
+
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        chunk = unpack_texts(texts.column("m").to_pylist()) if told.num_rows else None
+        if chunk is None:
+            return pa.table({"node": pa.array([], pa.int64()), "grams": pa.array([], pa.binary())})
+        ids, nodes = unpacked(told.column("m").to_pylist())
+        chunk = part_of(chunk, np.flatnonzero(np.isin(chunk.ids, ids)))
+        s = Shingles(WordTable(BLANKS, lower=True), chunk, n)
+        return _sets(s, np.flatnonzero((s.size > 0) & np.isin(s.name.view(np.int64), nodes)))
 
     return run
 
@@ -274,6 +318,16 @@ def _linked(percent: int):
     return run
 
 
+def _placed(runs: DataFrame, roots: DataFrame) -> DataFrame:
+    return runs.join(roots, "node", "left").select("run", "node", F.coalesce("root", "node").alias("root"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Members of runs that hold several components."""
+    runs = placed.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return placed.join(runs.select("run"), "run")
+
+
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of `docs`.
 
@@ -291,12 +345,14 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # One document stands for each set that shares a part: what is known of it, and its n-grams.
     stands = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")))
     stands = scratch.cut(stands.join(runs.select("node").distinct(), "node", "left_semi"))
-    grams = stands.where("doc_id is not null").select("node", "doc_id").join(texts, "doc_id").select("node", "text")
-    grams = grams.mapInArrow(_grams(n), "node bigint, grams binary")
+    groups = max(least, groups_for(size, GROUP_BYTES))
+    packed = texts.where("doc_id is not null").mapInArrow(pack_texts(groups), SCHEMA)
+    asked = stands.where("doc_id is not null").select("doc_id", "node").mapInArrow(_ask(groups), SCHEMA)
+    grams = packed.groupBy("k").cogroup(asked.groupBy("k")).applyInArrow(_answer(n), "node bigint, grams binary")
     # Sets that only rows without a doc_id have.
-    nameless = texts.where("doc_id is null").select(F.lit(None).cast("bigint").alias("node"), "text").mapInArrow(_grams(n), "node bigint, grams binary")
-    grams = grams.unionByName(nameless.join(stands.where("doc_id is null").select("node"), "node", "left_semi"))
-    grams = scratch.cut(grams.dropDuplicates(["node"]))
+    nameless = texts.where("doc_id is null").mapInArrow(_nameless_grams(n), "node bigint, grams binary")
+    nameless = nameless.join(stands.where("doc_id is null").select("node"), "node", "left_semi").dropDuplicates(["node"])
+    grams = scratch.cut(grams.unionByName(nameless))
     about = stands.drop("doc_id")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -309,16 +365,28 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         pairs = pairs.distinct().alias("p").join(about.alias("u"), F.expr("p.a = u.node")).join(about.alias("v"), F.expr("p.b = v.node"))
         return pairs.where(_differ(percent, "u", "v")).select("p.a", "p.b")
 
-    firsts = runs.where(F.col("rank") < FIRST)
-    pairs = firsts.alias("f").join(runs.alias("r"), F.expr("f.run = r.run and (f.rank < r.rank or f.rank = r.rank and f.node < r.node)"))
-    done = scratch.cut(screened(pairs.select(F.expr("least(f.node, r.node)").alias("a"), F.expr("greatest(f.node, r.node)").alias("b"))))
+    def star(runs: DataFrame, centres: DataFrame) -> DataFrame:
+        """Each run's centre with every other member (in another component, if `runs` has roots)."""
+        apart = "c.centre <> r.node" + (" and c.root <> r.root" if "root" in runs.columns else "")
+        pairs = centres.alias("c").join(runs.alias("r"), F.expr(f"c.run = r.run and {apart}"))
+        return pairs.select(F.expr("least(c.centre, r.node)").alias("a"), F.expr("greatest(c.centre, r.node)").alias("b"))
+
+    done = scratch.cut(screened(star(runs, runs.where("rank = 0").select("run", F.col("node").alias("centre")))))
     links = scratch.cut(verified(done))
     roots = scratch.cut(components(links, scratch))
+    placed = scratch.cut(_placed(runs, roots))
+    mixed = _mixed(placed)
+    chosen = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(1)))
+    centres = mixed.groupBy("run").agg(chosen.alias("c")).select("run", F.col("c.node").alias("centre"), F.col("c.root").alias("root"))
+    more = scratch.cut(screened(star(mixed, centres)).join(done, ["a", "b"], "left_anti"))
+    if more.limit(1).count():
+        links = links.unionByName(scratch.cut(verified(more)))
+        roots = scratch.cut(components(links, scratch))
+        placed = scratch.cut(_placed(runs, roots))
+        done = done.unionByName(more)
 
     # Runs that still hold several components: their members across components.
-    placed = runs.join(roots, "node", "left").select("run", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).where(f"low <> high and c > {FIRST}")
-    open_ = placed.join(mixed.select("run"), "run").join(about, "node")
+    open_ = _mixed(placed).join(about, "node")
     across = open_.alias("u").join(open_.alias("v"), F.expr(f"u.run = v.run and u.node < v.node and u.root <> v.root and {_differ(percent, 'u', 'v')}"))
     across = scratch.cut(across.select(F.col("u.node").alias("a"), F.col("v.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
     if across.limit(1).count():
@@ -328,7 +396,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     placed = scratch.cut(
         nodes.where("n > 0").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     )
-    least_id = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written first, so that a component of very many documents meets its id in a join Spark can split.
+    least_id = scratch.cut(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return (
         placed.join(least_id, "root")
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -116,7 +116,7 @@ def _ids(chunk: Chunk) -> np.ndarray:
     return chunk.ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _group(ids: np.ndarray, groups: int) -> np.ndarray:
+def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
     return (mix(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
@@ -186,14 +186,14 @@ def _settle_runs(groups: int):
             go = (low < high)[which] & (owner != MARK)
             left.append((owner[go], name[first][go], key[first][go], wide[go].astype(np.uint8)))
         ids, names = (np.concatenate(c) for c in zip(*hits, strict=True))
-        out = table(list(messages(_group(ids, groups), ids, names)), SETTLED_RUN)
+        out = table(list(messages(group_of(ids, groups), ids, names)), SETTLED_RUN)
         ids, names, keys, wide = (np.concatenate(c) for c in zip(*left, strict=True))
-        return pa.concat_tables([out, table(list(messages(_group(ids, groups), ids, names, keys, wide)), OPEN_RUN)])
+        return pa.concat_tables([out, table(list(messages(group_of(ids, groups), ids, names, keys, wide)), OPEN_RUN)])
 
     return run
 
 
-def _pack_texts(groups: int):
+def pack_texts(groups: int):
     """Texts of each batch by group, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,7 @@ def _pack_texts(groups: int):
         for batch in batches:
             for chunk in text_chunks(batch, limit=16 << 20):
                 ids = _ids(chunk)
-                group = _group(ids, groups)
+                group = group_of(ids, groups)
                 order = np.argsort(group, kind="stable")
                 cut = np.flatnonzero(np.diff(group[order])) + 1
                 rows = []
@@ -215,7 +215,7 @@ def _pack_texts(groups: int):
     return run
 
 
-def _unpack_texts(messages: list[bytes]) -> Chunk | None:
+def unpack_texts(messages: list[bytes]) -> Chunk | None:
     """All texts of a group; with one message as many as it holds."""
     ids, sizes, parts = [], [], []
     unpress = zstandard.ZstdDecompressor()
@@ -232,7 +232,7 @@ def _unpack_texts(messages: list[bytes]) -> Chunk | None:
     return Chunk((0, len(offsets) - 1), np.concatenate(ids), None, data, offsets)
 
 
-def _part(chunk: Chunk, pick: np.ndarray) -> Chunk:
+def part_of(chunk: Chunk, pick: np.ndarray) -> Chunk:
     """The picked texts of a chunk."""
     sizes = np.diff(chunk.offsets)[pick]
     data = np.concatenate([chunk.data[chunk.offsets[i] : chunk.offsets[i + 1]] for i in pick.tolist()] or [np.zeros(0, np.uint8)])
@@ -247,14 +247,14 @@ def _send_windows(kind: Windows, buckets: int):
     """Pass 2, at the texts: open runs as stretches of text by digit, those of wide digits as windows, each once a group."""
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        chunk = _unpack_texts(texts.column("m").to_pylist())
+        chunk = unpack_texts(texts.column("m").to_pylist())
         if chunk is None or not told.num_rows:
             return table([])
         own, name, key, wide = unpacked(told.column("m").to_pylist())
         need = np.flatnonzero(np.isin(chunk.ids, own))
         if not len(need):
             return table([])
-        chunk = _part(chunk, need)
+        chunk = part_of(chunk, need)
         runs = Runs(kind, chunk)
         tags = _tag(chunk.ids[runs.doc], runs.name)
         narrow = in_sorted(np.unique(_tag(own, name)[wide == 0]), tags)
@@ -334,11 +334,11 @@ def _settle_windows(kind: Windows, groups: int):
             mask = np.zeros(len(ids), np.uint64)
             np.bitwise_or.at(mask, which[hit], np.uint64(1) << (at - firsts[which])[hit].astype(np.uint64))
             some = mask > 0
-            out.append(table(list(messages(_group(ids[some], groups), ids[some], names[some], mask[some])), MASK))
+            out.append(table(list(messages(group_of(ids[some], groups), ids[some], names[some], mask[some])), MASK))
         if windows := tagged(told, WINDOW):
             own, name, state = unpacked(windows)
             hit = (state == 0) | (_first_owner(name, own) < own)
-            out.append(table(list(messages(_group(own[hit], groups), own[hit], name[hit])), HIT))
+            out.append(table(list(messages(group_of(own[hit], groups), own[hit], name[hit])), HIT))
         return pa.concat_tables(out)
 
     return run
@@ -360,7 +360,7 @@ def _apply(kind: Windows, by_word: bool):
     """Pass 3: what the hits of each text cover is removed."""
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        chunk = _unpack_texts(texts.column("m").to_pylist())
+        chunk = unpack_texts(texts.column("m").to_pylist())
         if chunk is None:
             return _RESULT.emptytable()
         n = len(chunk)
@@ -370,17 +370,17 @@ def _apply(kind: Windows, by_word: bool):
         if told.num_rows:
             none = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
             whole_id, whole = unpacked(m) if (m := tagged(told, SETTLED_RUN)) else none
-            part_id, part_of, mask = unpacked(m) if (m := tagged(told, MASK)) else (*none, none[1])
+            part_id, part_name, mask = unpacked(m) if (m := tagged(told, MASK)) else (*none, none[1])
             hit_id, hit = unpacked(m) if (m := tagged(told, HIT)) else none
             need = np.flatnonzero(np.isin(chunk.ids, np.concatenate((whole_id, part_id, hit_id))))
-            part = _part(chunk, need)
+            part = part_of(chunk, need)
             runs = Runs(kind, part)
             shift = firsts[need] - runs.firsts[:-1]  # from units of the part to units of the chunk
             tags = _tag(part.ids[runs.doc], runs.name)
             settled = in_sorted(np.unique(_tag(whole_id, whole)), tags)
             np.add.at(cover, runs.first[settled] + shift[runs.doc[settled]], 1)
             np.add.at(cover, runs.first[settled] + runs.count[settled] - 1 + kind.length + shift[runs.doc[settled]], -1)
-            known, where = np.unique(_tag(part_id, part_of), return_index=True)
+            known, where = np.unique(_tag(part_id, part_name), return_index=True)
             pick = np.flatnonzero(~settled & in_sorted(known, tags))
             at, doc = runs.windows(pick)
             bits = np.repeat(mask[where[np.searchsorted(known, tags[pick])]], runs.count[pick]) if len(pick) else mask[:0]
@@ -426,7 +426,7 @@ def remove(docs: DataFrame, kind: Windows, by_word: bool) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size, least = text_bytes(texts), int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, groups = max(least, groups_for(size, BUCKET_BYTES)), max(least, groups_for(size, GROUP_BYTES))
-    packed = texts.mapInArrow(_pack_texts(groups), SCHEMA)
+    packed = texts.mapInArrow(pack_texts(groups), SCHEMA)
     runs = texts.mapInArrow(_send_runs(kind, buckets), SCHEMA).groupBy("k").applyInArrow(_settle_runs(groups), SCHEMA)
     open_ = runs.where(F.col("t") == OPEN_RUN)
     windows = packed.groupBy("k").cogroup(open_.groupBy("k")).applyInArrow(_send_windows(kind, buckets), SCHEMA)
