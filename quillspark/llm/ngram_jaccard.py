@@ -13,10 +13,10 @@ and are left out of a sketch that has enough others to be sure of an agreement;
 of those others only the first ones in an order that all sketches share are sent,
 one more than can differ, for two partners must have one of them in common.
 
-Parts meet in buckets.  Documents sharing a part form a run; one member of each run
-is compared with all of it, short sketches screen the pairs by the same bound, and
-what is left is verified on the whole sets.  A second member does the same in runs
-that still hold several components.  Then members of a run that are still in
+Parts meet in buckets.  Documents sharing a part form a run; its first members are
+compared with all of it, short sketches screen the pairs by the same bound, and
+what is left is verified on the whole sets.  Other members do the same in runs that
+still hold several components.  Then members of a run that are still in
 different components are compared in full, so no link that could join two
 components is missed, yet copies are never expanded into all their pairs.
 
@@ -45,6 +45,8 @@ from quillspark.llm.messages import SCHEMA, messages, table, unpacked
 from quillspark.llm.repeats import GROUP_BYTES, group_of, pack_texts, part_of, unpack_texts
 
 FIRST, COMMON, BLOCK, BUCKET_BYTES = 4, 64, 8, 8 << 20
+#: Members of a run that are compared with all of it: at first, and again in each round while it holds several components.
+CENTRES, MORE, ROUNDS = 2, 3, 2
 ENTRY, ENTRY_OF_COMMON, MEMBER = 0, 1, 2
 
 
@@ -325,7 +327,7 @@ def _placed(runs: DataFrame, roots: DataFrame) -> DataFrame:
 def _mixed(placed: DataFrame) -> DataFrame:
     """Members of runs that hold several components."""
     runs = placed.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return placed.join(runs.select("run"), "run")
+    return placed.join(runs.select("run"), "run", "left_semi")
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -371,15 +373,18 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         pairs = centres.alias("c").join(runs.alias("r"), F.expr(f"c.run = r.run and {apart}"))
         return pairs.select(F.expr("least(c.centre, r.node)").alias("a"), F.expr("greatest(c.centre, r.node)").alias("b"))
 
-    done = scratch.cut(screened(star(runs, runs.where("rank = 0").select("run", F.col("node").alias("centre")))))
+    done = scratch.cut(screened(star(runs, runs.where(F.col("rank") < CENTRES).select("run", F.col("node").alias("centre")))))
     links = scratch.cut(verified(done))
     roots = scratch.cut(components(links, scratch))
     placed = scratch.cut(_placed(runs, roots))
-    mixed = _mixed(placed)
-    chosen = F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(1)))
-    centres = mixed.groupBy("run").agg(chosen.alias("c")).select("run", F.col("c.node").alias("centre"), F.col("c.root").alias("root"))
-    more = scratch.cut(screened(star(mixed, centres)).join(done, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
+    for turn in range(ROUNDS):
+        mixed = _mixed(placed)
+        chosen = F.array(*(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(MORE * turn + k))) for k in range(MORE)))
+        centres = mixed.groupBy("run").agg(chosen.alias("c")).select("run", F.explode(F.array_distinct("c")).alias("c"))
+        centres = centres.select("run", F.col("c.node").alias("centre"), F.col("c.root").alias("root"))
+        more = scratch.cut(screened(star(mixed, centres)).join(done, ["a", "b"], "left_anti"))
+        if not more.limit(1).count():
+            break
         links = links.unionByName(scratch.cut(verified(more)))
         roots = scratch.cut(components(links, scratch))
         placed = scratch.cut(_placed(runs, roots))
