@@ -320,8 +320,8 @@ def _linked(percent: int):
     return run
 
 
-def _placed(runs: DataFrame, roots: DataFrame) -> DataFrame:
-    return runs.join(roots, "node", "left").select("run", "node", F.coalesce("root", "node").alias("root"))
+def _placed(known: DataFrame, roots: DataFrame) -> DataFrame:
+    return known.drop("rank").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -362,36 +362,32 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         both = both.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
         return both.mapInArrow(_linked(percent), "a bigint, b bigint")
 
-    def screened(pairs: DataFrame) -> DataFrame:
-        """Different pairs that pass the bound."""
-        pairs = pairs.distinct().alias("p").join(about.alias("u"), F.expr("p.a = u.node")).join(about.alias("v"), F.expr("p.b = v.node"))
-        return pairs.where(_differ(percent, "u", "v")).select("p.a", "p.b")
-
     def star(runs: DataFrame, centres: DataFrame) -> DataFrame:
-        """Each run's centre with every other member (in another component, if `runs` has roots)."""
-        apart = "c.centre <> r.node" + (" and c.root <> r.root" if "root" in runs.columns else "")
-        pairs = centres.alias("c").join(runs.alias("r"), F.expr(f"c.run = r.run and {apart}"))
-        return pairs.select(F.expr("least(c.centre, r.node)").alias("a"), F.expr("greatest(c.centre, r.node)").alias("b"))
+        """Each run's centres with every other member (in another component, if there are roots) that passes the bound."""
+        apart = "c.node <> r.node" + (" and c.root <> r.root" if "root" in runs.columns else "")
+        pairs = centres.alias("c").join(runs.alias("r"), F.expr(f"c.run = r.run and {apart} and {_differ(percent, 'c', 'r')}"))
+        return pairs.select(F.expr("least(c.node, r.node)").alias("a"), F.expr("greatest(c.node, r.node)").alias("b")).distinct()
 
-    done = scratch.cut(screened(star(runs, runs.where(F.col("rank") < CENTRES).select("run", F.col("node").alias("centre")))))
+    known = scratch.cut(runs.join(about, "node"))
+    done = scratch.cut(star(known, known.where(F.col("rank") < CENTRES)))
     links = scratch.cut(verified(done))
     roots = scratch.cut(components(links, scratch))
-    placed = scratch.cut(_placed(runs, roots))
+    placed = scratch.cut(_placed(known, roots))
     for turn in range(ROUNDS):
         mixed = _mixed(placed)
-        chosen = F.array(*(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(MORE * turn + k))) for k in range(MORE)))
-        centres = mixed.groupBy("run").agg(chosen.alias("c")).select("run", F.explode(F.array_distinct("c")).alias("c"))
-        centres = centres.select("run", F.col("c.node").alias("centre"), F.col("c.root").alias("root"))
-        more = scratch.cut(screened(star(mixed, centres)).join(done, ["a", "b"], "left_anti"))
+        member = F.struct(*(c for c in mixed.columns if c != "run"))
+        chosen = F.array(*(F.min_by(member, F.xxhash64("node", F.lit(MORE * turn + k))) for k in range(MORE)))
+        centres = mixed.groupBy("run").agg(chosen.alias("c")).select("run", F.explode(F.array_distinct("c")).alias("c")).select("run", "c.*")
+        more = scratch.cut(star(mixed, centres).join(done, ["a", "b"], "left_anti"))
         if not more.limit(1).count():
             break
         links = links.unionByName(scratch.cut(verified(more)))
         roots = scratch.cut(components(links, scratch))
-        placed = scratch.cut(_placed(runs, roots))
+        placed = scratch.cut(_placed(known, roots))
         done = done.unionByName(more)
 
     # Runs that still hold several components: their members across components.
-    open_ = _mixed(placed).join(about, "node")
+    open_ = _mixed(placed)
     across = open_.alias("u").join(open_.alias("v"), F.expr(f"u.run = v.run and u.node < v.node and u.root <> v.root and {_differ(percent, 'u', 'v')}"))
     across = scratch.cut(across.select(F.col("u.node").alias("a"), F.col("v.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
     if across.limit(1).count():
