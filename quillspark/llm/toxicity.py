@@ -3,16 +3,18 @@
 The lexicon is learned from labelled texts: words, and word beginnings of four
 letters or more (an inflected stem is one entry), that stand in toxic texts and
 hardly in clean ones.  It is kept as a trie.  A word is looked up by running the
-Levenshtein automaton of its letters along the trie, so that a whole-word entry
-of five letters or more is also found with one letter changed, missing or added.
+Levenshtein automaton of its letters along the trie, so that an entry of five
+letters or more, a word as well as a beginning, is also found with one letter
+changed, missing or added (of a beginning, not its last).  Two words with one digit or mark between them are
+also looked up as one misspelled word.
 
 Each find weighs as much as its entry tells; a misspelled one less, and one in
 a context window with quotation marks or a reporting word much less.  A logistic
 model turns the weights of a text into its score.
 
 Fitting uses at most about `per_class` labelled rows of each class, drawn by a
-hash of doc_id, and keeps at most `max_entries` entries: both bounds hold at any
-input size.  Scores read whole texts and nothing but the text.
+hash of doc_id, and keeps at most `max_entries` entries and the words below its
+beginnings, ten times that many at most: the bounds hold at any input size.  Scores read whole texts and nothing but the text.
 
 Defined cases: a null or empty text scores what no find at all scores; without
 labelled rows of both classes every score is the share of toxic labels (0 without
@@ -44,6 +46,7 @@ class Trie:
 
     def __init__(self, entries: list[tuple[str, bool, float]]):
         self.root: dict = {}
+        self.depth = max((len(text) for text, _, _ in entries), default=0)
         for text, is_open, weight in entries:
             node = self.root
             for c in text:
@@ -63,23 +66,29 @@ class Trie:
                 best = max(best, node["exact"][0])
         if best:
             return best, False
-        # States are rows of edit distances; a branch whose row has no entry up to 1 is cut.
+        # States are edit distances to the word's beginnings one letter shorter, as long and one longer than the entry's;
+        # others are above 1, and a branch without one up to 1 is cut.  No entry reaches past its length and one letter more.
+        word = word[: self.depth + 2]
         n = len(word)
-        stack = [(self.root, list(range(n + 1)))]
+        stack = [(self.root, 0, 2, 0, 1)]
         while stack:
-            node, row = stack.pop()
+            node, d, shorter, same, longer = stack.pop()
             got = node.get("exact")
-            if got and row[n] <= 1 and got[1] >= FUZZY_LEAST:
+            if got and got[1] >= FUZZY_LEAST and (shorter, same, longer, 2)[min(max(n - d + 1, -1), 3)] <= 1:
                 best = max(best, got[0])
-            if min(row) > 1:
-                continue
+            w0, w1, w2 = word[d - 1] if 0 < d <= n else None, word[d] if d < n else None, word[d + 1] if d + 1 < n else None
             for c, child in node.items():
                 if len(c) != 1:
                     continue
-                nxt = [row[0] + 1]
-                for j in range(1, n + 1):
-                    nxt.append(min(row[j] + 1, nxt[j - 1] + 1, row[j - 1] + (word[j - 1] != c)))
-                stack.append((child, nxt))
+                x = min(same + 1, shorter + (w0 != c)) if d <= n else 2
+                y = min(longer + 1, same + (w1 != c), x + 1) if d < n else 2
+                z = min(longer + (w2 != c), y + 1) if d + 1 < n else 2
+                got = child.get("open")
+                # A beginning must keep its last letter; without it, it is only a shorter one.
+                if got and got[1] >= FUZZY_LEAST and ((shorter <= 1 and w0 == c) or (same <= 1 and w1 == c) or (longer <= 1 and w2 == c)):
+                    best = max(best, got[0])
+                if x <= 1 or y <= 1 or z <= 1:
+                    stack.append((child, d + 1, x, y, z))
         return best, best > 0
 
 
@@ -92,8 +101,16 @@ class Finder:
         self.cache: dict[bytes, tuple[float, bool]] = {}
         # One edit leaves one half of an entry whole, at the word's same end and at a length that differs by one at most.
         ends: dict[tuple[int, int, int, int], set[int]] = {}
+        inner: dict[tuple[int, int], set[int]] = {}
         for text, is_open, _ in entries:
             raw, n = text.encode(), len(text)
+            if is_open and n >= FUZZY_LEAST:
+                # The second half stands further on or back by the bytes of one letter.
+                head, part = text[: n // 2].encode(), text[n // 2 :].encode()[:8]
+                ends.setdefault((0, min(8, len(head)), len(raw) - 4, 1 << 30), set()).add(self._pack(head[:8]))
+                for at in range(max(0, len(head) - 4), len(head) + 5):
+                    inner.setdefault((at, len(part)), set()).add(self._pack(part))
+                continue
             if is_open or n < FUZZY_LEAST:
                 most = 1 << 30 if is_open else len(raw)
                 ends.setdefault((0, min(8, len(raw)), len(raw), most), set()).add(self._pack(raw[:8]))
@@ -101,6 +118,7 @@ class Finder:
             for side, part in ((0, text[: n // 2].encode()[:8]), (1, text[n // 2 :].encode()[-8:][::-1])):
                 ends.setdefault((side, len(part), len(raw) - 4, len(raw) + 4), set()).add(self._pack(part))
         self.ends = {k: np.array(sorted(v), np.uint64) for k, v in ends.items()}
+        self.inner = {k: np.array(sorted(v), np.uint64) for k, v in inner.items()}
 
     @staticmethod
     def _pack(raw: bytes) -> int:
@@ -118,30 +136,60 @@ class Finder:
     def finds(self, chunk: Chunk) -> list[list[tuple[int, int, float, bool]]]:
         """(first byte, end byte, weight, misspelled) of each find of each text."""
         out: list[list] = [[] for _ in range(len(chunk))]
-        _, starts, stops, firsts = self.table.words(chunk)
+        names, starts, stops, firsts = self.table.words(chunk)
         if not len(starts):
             return out
+        # Each different word is looked up once.
+        _, one, which = np.unique(names, return_index=True, return_inverse=True)
+        got = self._look_up(chunk.data, starts[one], stops[one])
+        weight, wrong = got[0][which], got[1][which]
+        found = np.flatnonzero(weight)
+        rows = [found], [starts[found]], [stops[found]], [weight[found]], [wrong[found]]
+        # Neighbours with one digit or mark between them, neither of them a find.
+        near = np.flatnonzero((starts[1:] == stops[:-1] + 1) & (weight[:-1] == 0) & (weight[1:] == 0))
+        mark = chunk.data[stops[near]]
+        near = near[(mark > 32) & (mark < 127) & ~np.isin(near + 1, firsts)]
+        if len(near):
+            got = self._look_up(chunk.data, starts[near], stops[near + 1])
+            kept = np.flatnonzero(got[0])
+            for row, more in zip(rows, (near[kept], starts[near[kept]], stops[near[kept] + 1], got[0][kept], got[1][kept]), strict=True):
+                row.append(more)
+        at, first, end, weight, wrong = map(np.concatenate, rows)
+        order = np.argsort(at, kind="stable")
+        doc = np.searchsorted(firsts, at, side="right") - 1
+        for d, *find in zip(*(x[order].tolist() for x in (doc, first, end, weight, wrong)), strict=True):
+            out[d].append(tuple(find))
+        return out
+
+    def _look_up(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight (0 for none) of each word, and whether it is misspelled."""
         size = stops - starts
         maybe = np.zeros(len(starts), bool)
-        packed = [self._edges(chunk.data, starts, 1, size), self._edges(chunk.data, stops - 1, -1, size)]
+        packed = [self._edges(data, starts, 1, size), self._edges(data, stops - 1, -1, size)]
         for (side, k, least, most), table in self.ends.items():
-            mask = np.uint64(((1 << 8 * k) - 1) << (64 - 8 * k))
-            maybe |= (size >= max(k, least)) & (size <= most) & in_sorted(table, packed[side] & mask)
-        doc = np.searchsorted(firsts, np.flatnonzero(maybe), side="right") - 1
-        for d, a, b in zip(doc.tolist(), starts[maybe].tolist(), stops[maybe].tolist(), strict=True):
-            raw = chunk.data[a:b].tobytes()
+            maybe |= (size >= max(k, least)) & (size <= most) & in_sorted(table, packed[side] & self._mask(k))
+        further = {at: self._edges(data, starts + at, 1, size - at) for at in {at for at, _ in self.inner}}
+        for (at, k), table in self.inner.items():
+            maybe |= (size >= at + k) & in_sorted(table, further[at] & self._mask(k))
+        weight, wrong = np.zeros(len(starts)), np.zeros(len(starts), bool)
+        for i in np.flatnonzero(maybe).tolist():
+            raw = data[starts[i] : stops[i]].tobytes()
             got = self.cache.get(raw)
             if got is None:
                 if len(self.cache) > 200_000:
                     self.cache.clear()
                 word = raw.decode("utf-8", "replace")
-                got = (0.0, False) if len(raw) > 64 else self.trie.find(word)
+                got = self.trie.find(word)
                 if got[1] and word in self.skip:
                     got = (0.0, False)
-                self.cache[raw] = got
-            if got[0]:
-                out[d].append((a, b, *got))
-        return out
+                if len(raw) <= 64:
+                    self.cache[raw] = got
+            weight[i], wrong[i] = got
+        return weight, wrong
+
+    @staticmethod
+    def _mask(k: int) -> np.uint64:
+        return np.uint64(((1 << 8 * k) - 1) << (64 - 8 * k))
 
 
 def quoted(data: np.ndarray, a: int, b: int, low: int, high: int, reach: int = 40) -> bool:
@@ -226,7 +274,9 @@ def _entries(sample: DataFrame, least: int, max_entries: int) -> list[tuple[str,
         .limit(10 * max_entries)
         .collect()
     )
-    return pruned([(r["entry"], r["open"], r["bad"], float(np.log((r["bad"] + 0.5) / (r["good"] + 0.5)))) for r in counts])[:max_entries]
+    found = [(r["entry"], r["open"], r["bad"], float(np.log((r["bad"] + 0.5) / (r["good"] + 0.5)))) for r in counts]
+    entries = pruned(found)[:max_entries]
+    return entries + below(found, entries)
 
 
 def pruned(found: list[tuple[str, bool, int, float]]) -> list[tuple[str, bool, float]]:
@@ -251,6 +301,17 @@ def pruned(found: list[tuple[str, bool, int, float]]) -> list[tuple[str, bool, f
     ]
 
 
+def below(found: list[tuple[str, bool, int, float]], entries: list[tuple[str, bool, float]]) -> list[tuple[str, bool, float]]:
+    """The whole words at and below the beginnings among `entries`: their misspellings count as well."""
+    stems = {text: weight for text, is_open, weight in entries if is_open}
+    out = []
+    for text, is_open, _, _ in found:
+        weights = [stems[text[:k]] for k in range(4, len(text) + 1) if text[:k] in stems]
+        if weights and not is_open:
+            out.append((text, False, max(weights)))  # the word itself stays a find of its beginning
+    return out
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 1500, max_entries: int = 400, least_share: float = 0.01
 ) -> dict:
