@@ -5,9 +5,10 @@ windows of `window` words; a shorter text is one window.  All windows form one
 automaton, and each document's normalised text runs through it once.  Matches
 come back as word numbers and as code-point spans of the original text.
 
-The windows are broadcast.  Their number is checked: a benchmark of more than
-`max_windows` windows is taken in blocks of that many, each block against all
-documents, and the blocks' findings are merged per document.
+The distinct windows are a Spark table and are broadcast.  Their number is checked:
+a benchmark of more than `max_windows` windows is taken in blocks of about that
+many, each block against all documents.  Findings depend on the text alone, so the
+blocks' findings are merged by a hash of the text, whatever the ids are.
 
 Defined cases: a null or empty text has no words and no hits; a null item text
 has no windows; repeated rows give repeated results; other columns are ignored.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
+KEY = "sha2(cast(text as binary), 256)"
 SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>, part int"
 
 
@@ -115,31 +117,36 @@ def _scan(windows_broadcast, part: int):
     return run
 
 
-def _blocks(benchmark: DataFrame, window: int, max_windows: int) -> list[dict[bytes, list[str]]]:
-    """Windows and the items that have them, in blocks of bounded size."""
+def _windows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = sorted(item_windows(words_of(text), window))
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array(found, pa.binary())], ["item_id", "w"])
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, window: int, max_windows: int) -> Iterator[dict[bytes, list[str]]]:
+    """Windows and the items that have them, in blocks of about `max_windows`, read one by one."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks: list[dict[bytes, list[str]]] = [{}]
-    for row in items.where("text is not null").toLocalIterator():
-        for w in item_windows(words_of(row["text"]), window):
-            for known in blocks:
-                if w in known:
-                    known[w].append(row["item_id"])
-                    break
-            else:
-                if len(blocks[-1]) >= max_windows:
-                    blocks.append({})
-                blocks[-1][w] = [row["item_id"]]
-    return [{w: [i for i in names if i is not None] for w, names in block.items()} for block in blocks]
+    table = items.mapInArrow(_windows(window), "item_id string, w binary").groupBy("w").agg(F.collect_set("item_id").alias("items")).persist()
+    try:
+        n = max(1, -(-table.count() // max_windows))
+        for k in range(n):
+            yield {bytes(r["w"]): r["items"] for r in table.where(F.pmod(F.xxhash64("w"), F.lit(n)) == k).toLocalIterator()}
+    finally:
+        table.unpersist()
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 200_000) -> DataFrame:
     """The rows of `docs` that are not contaminated."""
-    blocks = _blocks(benchmark, window, max_windows)
-    if len(blocks) > 1:
-        bad = decontaminate(docs, benchmark, window, max_windows).where("contaminated").select("doc_id")
-        return docs.join(bad.distinct(), "doc_id", "left_anti").select(*docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
     plain = docs.withColumn("text", F.col("text").cast("string"))
+    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, window, max_windows)]
+    if len(blocks) > 1:
+        bad = _judged(_found(plain.select(F.lit(None).cast("bigint").alias("doc_id"), "text"), blocks)).where("contaminated").select("key")
+        return plain.withColumn("_key", F.expr(KEY)).join(bad.withColumnRenamed("key", "_key").distinct(), "_key", "left_anti").select(*docs.columns)
+    shared = blocks[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = build(shared.value)
@@ -161,28 +168,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_w
 
     A document is contaminated when at least a twentieth of its words lie in benchmark windows.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = _blocks(benchmark, window, max_windows)
-    found = [texts.mapInArrow(_scan(spark.sparkContext.broadcast(b), k), SCHEMA) for k, b in enumerate(blocks)]
-    out = found[0].drop("part")
-    if len(found) > 1:
-        out = _merged(texts, found)
-    return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, window, max_windows)]
+    return _judged(_found(texts, blocks)).drop("key")
+
+
+def _judged(found: DataFrame) -> DataFrame:
+    return found.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+
+
+def _found(texts: DataFrame, blocks: list) -> DataFrame:
+    if len(blocks) == 1:
+        return texts.mapInArrow(_scan(blocks[0], 0), SCHEMA).drop("part")
+    return _merged(texts.withColumn("key", F.expr(KEY)), blocks)
 
 
-def _merged(texts: DataFrame, found: list[DataFrame]) -> DataFrame:
+def _merged(texts: DataFrame, blocks: list) -> DataFrame:
     """Findings of several blocks: spans and items unite, and hit words are counted anew in the united spans."""
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    by_doc = (
-        rows.where("n_hit > 0")
-        .groupBy("doc_id")
-        .agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-            F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
-        )
+    scanned = texts.where("key is not null").select(F.col("key").alias("doc_id"), "text")
+    rows = None
+    for k, block in enumerate(blocks):
+        more = scanned.mapInArrow(_scan(block, k), SCHEMA.replace("doc_id bigint", "doc_id string")).where("n_hit > 0")
+        rows = more if rows is None else rows.unionByName(more)
+    by_text = rows.groupBy(F.col("doc_id").alias("key")).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
     )
 
     def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +214,7 @@ def _merged(texts: DataFrame, found: list[DataFrame]) -> DataFrame:
                     [
                         {
                             "doc_id": row["doc_id"],
+                            "key": row["key"],
                             "n_words": len(words),
                             "n_hit": hit,
                             "items": row["items"] or [],
@@ -213,6 +224,7 @@ def _merged(texts: DataFrame, found: list[DataFrame]) -> DataFrame:
                     pa.schema(
                         [
                             ("doc_id", pa.int64()),
+                            ("key", pa.string()),
                             ("n_words", pa.int64()),
                             ("n_hit", pa.int64()),
                             ("items", pa.list_(pa.string())),
@@ -221,4 +233,4 @@ def _merged(texts: DataFrame, found: list[DataFrame]) -> DataFrame:
                     ),
                 )
 
-    return texts.join(by_doc, "doc_id", "left").mapInArrow(recount, SCHEMA.removesuffix(", part int"))
+    return texts.join(by_text, "key", "left").mapInArrow(recount, SCHEMA.removesuffix(", part int").replace("n_words", "key string, n_words", 1))
