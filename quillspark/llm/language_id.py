@@ -5,9 +5,10 @@ hashed byte n-grams predicts whether the text's language has that bit; decoding
 adds up the logistic loss of every bit against each codeword and takes the
 nearest word.  The gap to the runner-up flags ambiguity.
 
-Fitting uses a bounded sample: at most about `per_language` labelled texts of
-each of the `max_languages` most frequent languages, chosen by a hash of doc_id,
-so what the driver receives never grows with the input.  Prediction reads whole
+Fitting learns every label, from at most about `per_language` labelled texts of
+each, chosen by a hash of doc_id; with more than 64 labels there are fewer of each,
+but LEAST of each that has them.  What the driver receives grows with the number of
+labels at most, never with the input.  Prediction reads whole
 texts and nothing but the text.
 
 Defined cases: a null text or one without a letter gets `und`, score 0 and is
@@ -38,6 +39,8 @@ _SALT = rng_table(11, 3) | np.uint64(1)
 UNDETERMINED = "und"
 #: A smaller gap in loss between the two nearest codewords is ambiguous.
 DOUBT = 1.0
+#: Texts of each language at least, however many languages there are.
+LEAST = 20
 
 
 def codewords(n: int, seed: int = 5) -> np.ndarray:
@@ -49,7 +52,7 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
         return np.array([[1.0 if i == 0 or i in s else -1.0 for s in rest] for i in range(n)])
     bits = int(np.ceil(10 * np.log2(n)))
     rng, best, gap = np.random.default_rng(seed), None, -1.0
-    for _ in range(200):
+    for _ in range(max(1, 200 * 64 // max(n, 64))):
         m = rng.choice([-1.0, 1.0], size=(n, bits))
         far = (bits - (m @ m.T) + 2 * bits * np.eye(n)).min() / 2
         if far > gap and np.all(np.abs(m.sum(0)) < n):
@@ -96,7 +99,7 @@ def decode(x: np.ndarray, w: np.ndarray, code: np.ndarray) -> tuple[np.ndarray,
     if len(code) == 1:
         return np.zeros(len(x), np.int64), np.ones(len(x)), np.full(len(x), np.inf)
     z = np.clip(x @ w[:-1] + w[-1], -15, 15).astype(np.float64)
-    loss = np.logaddexp(0.0, -z[:, None, :] * code[None]).sum(2)
+    loss = np.logaddexp(0.0, -z) @ (code > 0).T + np.logaddexp(0.0, z) @ (code < 0).T
     belief = np.exp(-(loss - loss.min(1, keepdims=True)))
     belief /= belief.sum(1, keepdims=True)
     two = np.sort(loss, axis=1)[:, :2]
@@ -114,18 +117,19 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(docs: DataFrame, train: Column, per_language: int = 400, max_languages: int = 64) -> dict:
+def fit(docs: DataFrame, train: Column, per_language: int = 400) -> dict:
     """A model from the rows where `train` holds and text and lang are known."""
     rows = docs.where(train & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in counts)
     if len(langs) < 2:
         return {"langs": langs, "w": np.zeros((WIDTH + 1, 1), np.float32), "code": codewords(len(langs))}
-    share = F.create_map([F.lit(y) for r in counts for y in (r["lang"], min(1.0, per_language / r["count"]))])
+    per = min(per_language, max(LEAST, 64 * per_language // len(langs)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per / r["count"])) for r in counts], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    got = rows.where(draw < share[F.col("lang")]).mapInArrow(_featured, "lang string, x binary").collect()
+    got = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select(*rows.columns).mapInArrow(_featured, "lang string, x binary").collect()
     if not got:
         return {"langs": langs[:1], "w": np.zeros((WIDTH + 1, 1), np.float32), "code": codewords(1)}
     x = np.stack([np.frombuffer(r["x"], np.float16).astype(np.float32) for r in got])
