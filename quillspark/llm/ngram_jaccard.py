@@ -14,15 +14,21 @@ of those others only the first ones in an order that all sketches share are sent
 one more than can differ, for two partners must have one of them in common.
 
 Parts meet in buckets.  Documents sharing a part form a run; its first members are
-compared with all of it, short sketches screen the pairs by the same bound, and
-what is left is verified on the whole sets.  Other members do the same in runs that
-still hold several components.  Then members of a run that are still in
-different components are compared in full, so no link that could join two
+compared with all of it.  Two sketches screen the pairs by the same bound: one of 256
+bits, which every member of a run carries, and one that grows with the set (some
+sixteen bits for each n-gram that may differ; a longer one is folded to a shorter
+one's length), which is looked up once for each pair.  What is left is verified on the
+whole sets, which are made for the documents of such pairs alone.  Other members do
+the same in runs that still hold several components.  Then members of a run that are
+still in different components are screened and verified, too, each pair in the first
+run that both have among their own first ones; so no link that could join two
 components is missed, yet copies are never expanded into all their pairs.
 
 Equal sets are one node from the start.  A part common to very many sets of one
 chunk sends only its first ones to the bucket; the rest join the run directly.
 
+Equality of n-grams and of sets rests on 64-bit names.
+
 Defined cases: a text of fewer than n words is one n-gram of all its words; a
 null, empty or wordless text has no n-grams and is its own component; rows with
 one doc_id are rows of one document; a null doc_id never names a component if
@@ -38,22 +44,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillspark.llm.common import BLANKS, Chunk, Scratch, WordTable, groups_for, mix, pair_hash, text_bytes, text_chunks, window_hashes
 from quillspark.llm.components import components
 from quillspark.llm.messages import SCHEMA, messages, table, unpacked
-from quillspark.llm.repeats import GROUP_BYTES, group_of, pack_texts, part_of, unpack_texts
 
 FIRST, COMMON, BLOCK, BUCKET_BYTES = 4, 64, 8, 8 << 20
 #: Members of a run that are compared with all of it: at first, and again in each round while it holds several components.
-CENTRES, MORE, ROUNDS = 2, 3, 2
+CENTRES, MORE, ROUNDS = 1, 3, 2
+#: Bits of the longer sketch for each n-gram that may differ; runs of a set among which a pair looks for the one that makes it.
+SHARP, FIRSTS = 16, 8
 ENTRY, ENTRY_OF_COMMON, MEMBER = 0, 1, 2
 
 
 class Bands:
     """Size bands and, for each band with its upper neighbour, the parts of a sketch."""
 
-    def __init__(self, percent: int, most: int = 1 << 26):
+    def __init__(self, percent: int, most: int = 1 << 31):
         lows = [1]
         while lows[-1] < most:
             lows.append(lows[-1] * 100 // percent + 1)
@@ -83,6 +91,12 @@ class Bands:
         return 1, 2 * d + 4
 
 
+def sharp_bits(size: np.ndarray, percent: int) -> np.ndarray:
+    """Bits of the longer sketch of sets of these sizes: a power of two."""
+    want = np.maximum(256, SHARP * (100 - percent) * 2 * size // (100 + percent))
+    return (1 << np.ceil(np.log2(want)).astype(np.int64)).astype(np.int64)
+
+
 class Shingles:
     """Sets of n-grams of a chunk's texts, row by row."""
 
@@ -122,6 +136,22 @@ class Shingles:
         odd = (np.bincount(self.doc * 256 + bit, minlength=n * 256) & 1).astype(np.uint8).reshape(n, 256)
         return np.packbits(odd, axis=1, bitorder="little").view(np.int64).reshape(n, 4)
 
+    def sharp(self, percent: int) -> list[bytes]:
+        """Parity of each text's n-grams over bits enough to tell sets apart that differ too much."""
+        out = [b""] * len(self.size)
+        bits = sharp_bits(self.size, percent)
+        h = mix(self.gram + np.uint64(19))
+        for size in np.unique(bits[self.size > 0]).tolist():
+            rows = np.flatnonzero((bits == size) & (self.size > 0))
+            local = np.zeros(len(bits), np.int64)
+            local[rows] = np.arange(len(rows))
+            pick = bits[self.doc] == size
+            at = local[self.doc[pick]] * size + (h[pick] & np.uint64(size - 1)).astype(np.int64)
+            odd = (np.bincount(at, minlength=len(rows) * size) & 1).astype(np.uint8).reshape(len(rows), size)
+            for row, packed in zip(rows.tolist(), np.packbits(odd, axis=1, bitorder="little"), strict=True):
+                out[row] = packed.tobytes()
+        return out
+
     def parts(self, bands: Bands):
         """(document, group, part, name) of the parts by which each text is dealt."""
         out = []
@@ -161,7 +191,7 @@ class Shingles:
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _nodes(n: int):
+def _nodes(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTable(BLANKS, lower=True)
         for batch in batches:
@@ -169,8 +199,8 @@ def _nodes(n: int):
                 s = Shingles(words, chunk, n)
                 bits = s.sketches()
                 yield pa.RecordBatch.from_arrays(
-                    [chunk.ids, pa.array(s.size), pa.array(s.name.view(np.int64)), *(pa.array(bits[:, k]) for k in range(4))],
-                    ["doc_id", "n", "node", "s0", "s1", "s2", "s3"],
+                    [batch.column(2).slice(chunk.rows[0], len(chunk)), chunk.ids, pa.array(s.size), pa.array(s.name.view(np.int64)), *(pa.array(bits[:, k]) for k in range(4)), pa.array(s.sharp(percent), pa.binary())],
+                    ["at", "doc_id", "n", "node", "s0", "s1", "s2", "s3", "sharp"],
                 )
 
     return run
@@ -259,47 +289,36 @@ def _differ(percent: int, a: str, b: str) -> str:
     )
 
 
-def _sets(s: Shingles, keep: np.ndarray) -> pa.Table:
-    """node and grams of the kept texts, each node once."""
-    own = s.name.view(np.int64)
-    keep = keep[np.unique(own[keep], return_index=True)[1]]
-    blobs = [s.gram[s.first[k] : s.first[k] + s.size[k]].tobytes() for k in keep.tolist()]
-    return pa.table([pa.array(own[keep]), pa.array(blobs, pa.binary())], ["node", "grams"])
-
+def _sharper(percent: int):
+    """Pairs whose longer sketches still allow a link."""
 
-def _nameless_grams(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(BLANKS, lower=True)
         for batch in batches:
-            for chunk in text_chunks(batch):
-                s = Shingles(words, chunk, n)
-                yield from _sets(s, np.flatnonzero(s.size)).to_batches()
+            both = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (100 - percent) // (100 + percent)
+            keep = []
+            for most, x, y in zip(both.tolist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                while len(x) != len(y):
+                    long, short = (x, y) if len(x) > len(y) else (y, x)
+                    x, y = long[: len(long) // 2] ^ long[len(long) // 2 :], short
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= most)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _ask(groups: int):
-    """Messages to the texts' groups: which document's n-grams stand for which set."""
+def _sets(n: int):
+    """node and grams of each text, each node once a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordTable(BLANKS, lower=True)
         for batch in batches:
-            ids, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield from table(list(messages(group_of(ids, groups), ids, nodes))).to_batches()
-
-    return run
-
-
-def _answer(n: int):
-    """Sets asked for; a text that isn't the one meant (of another row with the same doc_id) is left out."""
-
-    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        chunk = unpack_texts(texts.column("m").to_pylist()) if told.num_rows else None
-        if chunk is None:
-            return pa.table({"node": pa.array([], pa.int64()), "grams": pa.array([], pa.binary())})
-        ids, nodes = unpacked(told.column("m").to_pylist())
-        chunk = part_of(chunk, np.flatnonzero(np.isin(chunk.ids, ids)))
-        s = Shingles(WordTable(BLANKS, lower=True), chunk, n)
-        return _sets(s, np.flatnonzero((s.size > 0) & np.isin(s.name.view(np.int64), nodes)))
+            for chunk in text_chunks(batch):
+                s = Shingles(words, chunk, n)
+                keep = np.flatnonzero(s.size)
+                keep = keep[np.unique(s.name[keep], return_index=True)[1]]
+                blobs = [s.gram[s.first[k] : s.first[k] + s.size[k]].tobytes() for k in keep.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(s.name.view(np.int64)[keep]), pa.array(blobs, pa.binary())], ["node", "grams"])
 
     return run
 
@@ -320,47 +339,49 @@ def _linked(percent: int):
     return run
 
 
-def _placed(known: DataFrame, roots: DataFrame) -> DataFrame:
-    return known.drop("rank").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def _mixed(placed: DataFrame) -> DataFrame:
-    """Members of runs that hold several components."""
+def _mixed(scratch: Scratch, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of runs that hold several components, with their roots."""
+    placed = scratch.cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     runs = placed.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return placed.join(runs.select("run"), "run", "left_semi")
-
+    mixed = scratch.cut(placed.join(runs.select("run"), "run", "left_semi"))
+    scratch.drop(placed)
+    return mixed
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of `docs`.
 
-    Two documents link when their sets of word n-grams have a Jaccard similarity of `percent`/100 or more.
-    """
+def _placed(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node, n and root of every row with an n-gram, and doc_id of those without; both written."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size, least = text_bytes(texts), int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, split, bands = max(least, groups_for(size, BUCKET_BYTES)), 1 + size // (1 << 30), Bands(percent)
 
-    nodes = scratch.cut(texts.mapInArrow(_nodes(n), "doc_id bigint, n bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"))
-    runs = texts.mapInArrow(_send_parts(n, bands, buckets, split), SCHEMA).groupBy("k").applyInArrow(_runs, "run bigint, node bigint, rank int")
+    # Where a set's text can be read again: by its document's id or, without one, by a hash of the text.
+    texts = texts.withColumn("at", F.coalesce("doc_id", F.xxhash64("text")))
+    nodes = scratch.cut(texts.mapInArrow(_nodes(n, percent), "at bigint, doc_id bigint, n bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, sharp binary"))
+    runs = texts.select("doc_id", "text").mapInArrow(_send_parts(n, bands, buckets, split), SCHEMA).groupBy("k").applyInArrow(_runs, "run bigint, node bigint, rank int")
     runs = scratch.cut(runs.groupBy("run", "node").agg(F.min("rank").alias("rank")))
-    # One document stands for each set that shares a part: what is known of it, and its n-grams.
-    stands = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")))
-    stands = scratch.cut(stands.join(runs.select("node").distinct(), "node", "left_semi"))
-    groups = max(least, groups_for(size, GROUP_BYTES))
-    packed = texts.where("doc_id is not null").mapInArrow(pack_texts(groups), SCHEMA)
-    asked = stands.where("doc_id is not null").select("doc_id", "node").mapInArrow(_ask(groups), SCHEMA)
-    grams = packed.groupBy("k").cogroup(asked.groupBy("k")).applyInArrow(_answer(n), "node bigint, grams binary")
-    # Sets that only rows without a doc_id have.
-    nameless = texts.where("doc_id is null").mapInArrow(_nameless_grams(n), "node bigint, grams binary")
-    nameless = nameless.join(stands.where("doc_id is null").select("node"), "node", "left_semi").dropDuplicates(["node"])
-    grams = scratch.cut(grams.unionByName(nameless))
-    about = stands.drop("doc_id")
+    # One row stands for each set that shares a part.
+    stands = nodes.join(runs.select("node").distinct(), "node", "left_semi")
+    stands = scratch.cut(stands.groupBy("node").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3", "sharp"))))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-        both = both.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_linked(percent), "a bigint, b bigint")
+        """Links among the pairs: by the longer sketch, then on whole sets, which are made for what is left."""
+        both = pairs
+        for side in ("a", "b"):
+            about = stands.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sharp").alias(f"s{side}"))
+            both = both.join(about, side)
+        left = scratch.cut(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sharper(percent), "a bigint, b bigint"))
+        asked = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        # Written, so that Spark knows the size before it chooses to broadcast the places or to shuffle.
+        places = scratch.cut(stands.join(asked, "node", "left_semi").select("at").distinct())
+        sets = texts.join(places, "at", "left_semi").select("doc_id", "text").mapInArrow(_sets(n), "node bigint, grams binary").dropDuplicates(["node"])
+        sets = scratch.cut(sets)
+        found = left.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+        found = found.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
+        found = scratch.cut(found.mapInArrow(_linked(percent), "a bigint, b bigint"))
+        for table_ in (left, places, sets):
+            scratch.drop(table_)
+        return found
 
     def star(runs: DataFrame, centres: DataFrame) -> DataFrame:
         """Each run's centres with every other member (in another component, if there are roots) that passes the bound."""
@@ -368,46 +389,113 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         pairs = centres.alias("c").join(runs.alias("r"), F.expr(f"c.run = r.run and {apart} and {_differ(percent, 'c', 'r')}"))
         return pairs.select(F.expr("least(c.node, r.node)").alias("a"), F.expr("greatest(c.node, r.node)").alias("b")).distinct()
 
-    known = scratch.cut(runs.join(about, "node"))
+    def joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Components after more links; what they had before is known by the roots."""
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        new = components(links, scratch)
+        if roots is not None:
+            scratch.drop(roots)
+        return new
+
+    known = scratch.cut(runs.join(stands.select("node", "n", "s0", "s1", "s2", "s3"), "node"))
+    scratch.drop(runs)
     done = scratch.cut(star(known, known.where(F.col("rank") < CENTRES)))
-    links = scratch.cut(verified(done))
-    roots = scratch.cut(components(links, scratch))
-    placed = scratch.cut(_placed(known, roots))
+    links = verified(done)
+    roots = joined(links, None)
+    scratch.drop(links)
+    open_ = scratch.cut(_mixed(scratch, known.drop("rank"), roots))
+    scratch.drop(known)
     for turn in range(ROUNDS):
-        mixed = _mixed(placed)
-        member = F.struct(*(c for c in mixed.columns if c != "run"))
+        member = F.struct(*(c for c in open_.columns if c != "run"))
         chosen = F.array(*(F.min_by(member, F.xxhash64("node", F.lit(MORE * turn + k))) for k in range(MORE)))
-        centres = mixed.groupBy("run").agg(chosen.alias("c")).select("run", F.explode(F.array_distinct("c")).alias("c")).select("run", "c.*")
-        more = scratch.cut(star(mixed, centres).join(done, ["a", "b"], "left_anti"))
-        if not more.limit(1).count():
+        centres = open_.groupBy("run").agg(chosen.alias("c")).select("run", F.explode(F.array_distinct("c")).alias("c")).select("run", "c.*")
+        more = scratch.cut(star(open_, centres).join(done, ["a", "b"], "left_anti"))
+        if more.isEmpty():
             break
-        links = links.unionByName(scratch.cut(verified(more)))
-        roots = scratch.cut(components(links, scratch))
-        placed = scratch.cut(_placed(known, roots))
-        done = done.unionByName(more)
-
-    # Runs that still hold several components: their members across components.
-    open_ = _mixed(placed)
-    across = open_.alias("u").join(open_.alias("v"), F.expr(f"u.run = v.run and u.node < v.node and u.root <> v.root and {_differ(percent, 'u', 'v')}"))
+        links = verified(more)
+        both = scratch.cut(done.unionByName(more))
+        scratch.drop(done)
+        scratch.drop(more)
+        done = both
+        if links.isEmpty():
+            continue
+        roots = joined(links, roots)
+        scratch.drop(links)
+        still = scratch.cut(_mixed(scratch, open_.drop("root"), roots))
+        scratch.drop(open_)
+        open_ = still
+
+    # Runs that still hold several components: their members across components, each pair once (but for pairs whose first runs differ).
+    firsts = open_.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("run")), 1, FIRSTS).alias("firsts"))
+    told = scratch.cut(open_.join(firsts, "node"))
+    scratch.drop(open_)
+    here = "coalesce(get(array_intersect(u.firsts, v.firsts), 0), u.run) = u.run"
+    across = told.alias("u").join(told.alias("v"), F.expr(f"u.run = v.run and u.node < v.node and u.root <> v.root and {_differ(percent, 'u', 'v')} and {here}"))
     across = scratch.cut(across.select(F.col("u.node").alias("a"), F.col("v.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
-    if across.limit(1).count():
-        links = links.unionByName(scratch.cut(verified(across)))
-        roots = scratch.cut(components(links, scratch))
+    if not across.isEmpty():
+        links = verified(across)
+        roots = joined(links, roots)
+        scratch.drop(links)
+    for table_ in (told, stands, across, done):
+        scratch.drop(table_)
+    placed = scratch.cut(nodes.where("n > 0").join(roots, "node", "left").select("doc_id", "node", "n", F.coalesce("root", "node").alias("root")))
+    none = scratch.cut(nodes.where("n = 0").select("doc_id"))
+    scratch.drop(nodes)
+    scratch.drop(roots)
+    return placed, none
 
-    placed = scratch.cut(
-        nodes.where("n > 0").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    )
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of `docs`.
+
+    Two documents link when their sets of word n-grams have a Jaccard similarity of `percent`/100 or more.
+    """
+    scratch = Scratch(docs.sparkSession)
+    placed, none = _placed(docs, n, percent, scratch)
     # Written first, so that a component of very many documents meets its id in a join Spark can split.
     least_id = scratch.cut(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return (
         placed.join(least_id, "root")
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        .unionByName(nodes.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        .unionByName(none.select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     )
 
 
+def _named_rows(n: int):
+    """Rows with the name of their set (`_quill_node`); of a batch's rows with one name and id, the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordTable(BLANKS, lower=True)
+        for batch in batches:
+            of = lambda c: batch.column(batch.schema.get_field_index(c))
+            rows = pa.RecordBatch.from_arrays([of("_quill_id"), of("_quill_text")], ["doc_id", "text"])
+            names = [Shingles(words, chunk, n).name for chunk in text_chunks(rows)]
+            name = pa.array(np.concatenate(names).view(np.int64) if names else [], pa.int64())
+            at = pa.table([name, of("_quill_id"), pa.array(range(len(name)), pa.int64())], ["name", "id", "at"])
+            firsts = at.group_by(["name", "id"]).aggregate([("at", "min")])["at_min"].combine_chunks()
+            cols = [*batch.select([c for c in batch.schema.names if c not in ("_quill_text", "_quill_node")]).columns, name]
+            names = [*(c for c in batch.schema.names if c not in ("_quill_text", "_quill_node")), "_quill_node"]
+            yield pa.RecordBatch.from_arrays(cols, names).take(firsts.sort())
+
+    return run
+
+
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that name their component: one document of each group. Rows without a doc_id stay."""
-    keep = join(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row of `docs` for each component: a row with its smallest doc_id (null is largest) and, of these, the least set name.
+
+    Rows of one id and one set are repeats; any one of them stays.  Texts without a word are in no component, and all rows with such a text stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    placed, none = _placed(docs, n, percent, scratch)
+    scratch.drop(none)
+    no_id = (1 << 63) - 1
+    named = F.struct(F.coalesce("doc_id", F.lit(no_id)).alias("_quill_id"), F.col("node").alias("_quill_node"))
+    winners = scratch.cut(placed.groupBy("root").agg(F.min(named).alias("w")).select("w.*"))
+    scratch.drop(placed)
+    text = F.col("text").cast("string")
+    word = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.where(word).withColumn("_quill_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(no_id))).withColumn("_quill_text", text)
+    schema = StructType([*keyed.drop("_quill_text").schema.fields, StructField("_quill_node", LongType())])
+    rows = keyed.mapInArrow(_named_rows(n), schema).join(winners, ["_quill_node", "_quill_id"], "left_semi")
+    return rows.dropDuplicates(["_quill_node", "_quill_id"]).select(*docs.columns).unionByName(docs.where(~word))
