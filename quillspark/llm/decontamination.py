@@ -2,16 +2,19 @@
 
 Every benchmark text (questions and answers alike) is lower-cased and cut into
 windows of `window` words; a shorter text is one window.  All windows form one
-automaton, and each document's normalised text runs through it once.  Matches
-come back as word numbers and as code-point spans of the original text.
+automaton over the numbers of the benchmark's words, and each document's
+normalised words run through it once.  Matches are word numbers, which are mapped
+to code-point spans of the original text.
 
-The distinct windows are a Spark table and are broadcast.  Their number is checked:
-a benchmark of more than `max_windows` windows is taken in blocks of about that
-many, each block against all documents.  Findings depend on the text alone, so the
-blocks' findings are merged by a hash of the text, whatever the ids are.
+The distinct windows are a Spark table.  Their number is counted before anything is
+broadcast: a block of at most about `max_windows` of them at a time.  A benchmark
+of more windows takes several blocks; each row then carries what earlier blocks
+found in its own text, so results depend neither on the blocks nor on ids.
 
 Defined cases: a null or empty text has no words and no hits; a null item text
-has no windows; repeated rows give repeated results; other columns are ignored.
+has no windows; a null item_id is no item's name, but its windows count as hits;
+repeated rows and rows that share an id are judged each by its own text; an empty
+benchmark hits nothing; other columns are ignored (`uncontaminated` keeps them).
 """
 
 from __future__ import annotations
@@ -23,13 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from quillspark.llm.common import Scratch, groups_for
 
 #: A-Z folds to a-z; every other ASCII character but 0-9 and a-z parts words.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
-KEY = "sha2(cast(text as binary), 256)"
-SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>, part int"
+#: What a row carries from block to block: hit words as first and past-last number of each stretch, and items.
+_CARRIED = {"_quill_hits": "array<bigint>", "_quill_items": "array<string>"}
+RESULT = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -44,79 +52,119 @@ def item_windows(words: list[bytes], window: int) -> set[bytes]:
     return {b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)}
 
 
-def build(windows: dict[bytes, list[str]]):
-    auto = ahocorasick.Automaton()
-    for text, items in windows.items():
-        auto.add_word(f" {text.decode()} ", (len(text.split(b" ")), items))
-    auto.make_automaton()
-    return auto
-
-
-def match(auto, text: str | None):
-    """(number of words, hit word numbers, items) of one text."""
-    words = words_of(text)
-    if not words or not len(auto):
-        return len(words), [], ()
-    line = f" {b' '.join(words).decode()} "
-    hits: list[tuple[int, int]] = []
-    items: set[str] = set()
-    for end, (length, names) in auto.iter(line):
-        hits.append((end, length))
-        items.update(names)
+class Matcher:
+    """An automaton over word numbers; a word that no window has is number 0."""
+
+    def __init__(self, windows: pa.Table):
+        self.number: dict[bytes, int] = {}
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for text, items in zip(windows["w"].to_pylist(), windows["items"].to_pylist(), strict=True):
+            key = tuple(self.number.setdefault(w, len(self.number) + 1) for w in text.split(b" "))
+            self.auto.add_word(key, (len(key), items))
+        self.auto.make_automaton()
+
+    def match(self, words: list[bytes]) -> tuple[list[int], set[str]]:
+        """Stretches of hit words (first, past the last, ...) and items."""
+        if not len(self.auto):
+            return [], set()
+        get = self.number.get
+        line = tuple([get(w, 0) for w in words])
+        ends: list[tuple[int, int]] = []
+        items: set[str] = set()
+        for last, (length, names) in self.auto.iter(line):
+            ends.append((last + 1 - length, last + 1))
+            items.update(names)
+        return stretches(ends), items
+
+
+def stretches(ranges: list[tuple[int, int]]) -> list[int]:
+    """The union of ranges, in order: first, past the last, first, ..."""
+    out: list[int] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += (a, b)
+    return out
+
+
+def spans_of(text: str, hits: list[int]) -> list[dict]:
+    """Stretches of hit words as code-point spans of the original text."""
     if not hits:
-        return len(words), [], ()
-    lengths = np.fromiter((len(w.decode()) for w in words), np.int64, len(words))
-    closing = np.cumsum(lengths + 1)  # where the blank after each word stands in `line`
-    mark = np.zeros(len(words) + 1, np.int64)
-    for end, length in hits:
-        last = int(np.searchsorted(closing, end))
-        mark[last + 1] -= 1
-        mark[last + 1 - length] += 1
-    return len(words), np.flatnonzero(np.cumsum(mark[:-1]) > 0).tolist(), items
-
-
-def spans_of(text: str, hit: list[int]) -> list[dict]:
-    """Hit words as code-point spans of the original text, neighbours joined."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    inside = np.frombuffer(text.encode().translate(_FOLD), np.uint8) != 32
+        return []
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.frombuffer(raw.translate(_FOLD), np.uint8) != 32
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
     point = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     starts, ends = point[np.flatnonzero(edge == 1)], point[np.flatnonzero(edge == -1)]
-    out: list[dict] = []
-    for k, w in enumerate(hit):
-        if k and hit[k - 1] == w - 1:
-            out[-1]["end"] = int(ends[w])
-        else:
-            out.append({"start": int(starts[w]), "end": int(ends[w])})
-    return out
+    return [{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in zip(hits[::2], hits[1::2], strict=True)]
+
+
+def _found(matcher: Matcher, batch: pa.RecordBatch):
+    """(text, words, hits, items) of each row, with what earlier blocks found."""
+    of = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
+    for text, hits, items in zip(of("text"), of("_quill_hits"), of("_quill_items"), strict=True):
+        words = words_of(text)
+        more, names = matcher.match(words)
+        if hits:
+            more = stretches([*zip(hits[::2], hits[1::2], strict=True), *zip(more[::2], more[1::2], strict=True)])
+            names.update(items)
+        yield text, len(words), more, sorted(names)
+
+
+def _hit(hits: list[int]) -> int:
+    return sum(hits[1::2]) - sum(hits[::2])
 
 
-def _scan(windows_broadcast, part: int):
+def _carry(block):
+    """What one block finds, added to what the rows carry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(block.value)
+        for batch in batches:
+            rows = [(hits, items) for _, _, hits, items in _found(matcher, batch)]
+            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+            cols["_quill_hits"] = pa.array([h for h, _ in rows], pa.list_(pa.int64()))
+            cols["_quill_items"] = pa.array([i for _, i in rows], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    return run
+
+
+def _tell(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = build(windows_broadcast.value)
+        matcher = Matcher(block.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                texts = piece.column(1).to_pylist()
-                found = [match(auto, t) for t in texts]
+                rows = list(_found(matcher, piece))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column(0),
-                        pa.array([n for n, _, _ in found], pa.int64()),
-                        pa.array([len(h) for _, h, _ in found], pa.int64()),
-                        pa.array([sorted(i) for _, _, i in found], pa.list_(pa.string())),
-                        pa.array(
-                            [spans_of(t, h) if h else [] for t, (_, h, _) in zip(texts, found, strict=True)],
-                            pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
-                        ),
-                        pa.array([part] * len(texts), pa.int32()),
+                        piece.column(piece.schema.get_field_index("doc_id")),
+                        pa.array([n for _, n, _, _ in rows], pa.int64()),
+                        pa.array([_hit(h) for _, _, h, _ in rows], pa.int64()),
+                        pa.array([i for *_, i in rows], pa.list_(pa.string())),
+                        pa.array([spans_of(t, h) for t, _, h, _ in rows], _SPANS),
                     ],
-                    ["doc_id", "n_words", "n_hit", "items", "spans", "part"],
+                    ["doc_id", "n_words", "n_hit", "items", "spans"],
                 )
 
     return run
 
 
+def _keep(block):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(block.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                piece = batch.slice(at, 512)
+                keep = [not h or 20 * _hit(h) < n for _, n, h, _ in _found(matcher, piece)]
+                yield piece.select([c for c in piece.schema.names if c not in _CARRIED]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,40 +175,28 @@ def _windows(window: int):
     return run
 
 
-def _blocks(benchmark: DataFrame, window: int, max_windows: int) -> Iterator[dict[bytes, list[str]]]:
-    """Windows and the items that have them, in blocks of about `max_windows`, read one by one."""
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, max_windows: int, last, schema: StructType | str) -> DataFrame:
+    """`docs` past every block of windows; `last` makes the result from what the last block adds."""
+    scratch = Scratch(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    table = items.mapInArrow(_windows(window), "item_id string, w binary").groupBy("w").agg(F.collect_set("item_id").alias("items")).persist()
-    try:
-        n = max(1, -(-table.count() // max_windows))
-        for k in range(n):
-            yield {bytes(r["w"]): r["items"] for r in table.where(F.pmod(F.xxhash64("w"), F.lit(n)) == k).toLocalIterator()}
-    finally:
-        table.unpersist()
+    windows = items.mapInArrow(_windows(window), "item_id string, w binary").groupBy("w").agg(F.collect_set("item_id").alias("items"))
+    windows = scratch.cut(windows)
+    n = groups_for(windows.count(), max_windows)
+    rows = docs.select(*(F.col(c) for c in docs.columns), *(F.lit(None).cast(t).alias(c) for c, t in _CARRIED.items()))
+    for k in range(n):
+        block = docs.sparkSession.sparkContext.broadcast(windows.where(F.pmod(F.xxhash64("w"), F.lit(n)) == k).toArrow())
+        if k < n - 1:
+            carried = scratch.cut(rows.mapInArrow(_carry(block), rows.schema))
+            scratch.drop(rows)
+            rows = carried
+    scratch.drop(windows)
+    return rows.mapInArrow(last(block), schema)
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 200_000) -> DataFrame:
-    """The rows of `docs` that are not contaminated."""
+    """The rows of `docs` that are not contaminated, each judged by its own text; nulls, repeats and ties as above."""
     plain = docs.withColumn("text", F.col("text").cast("string"))
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, window, max_windows)]
-    if len(blocks) > 1:
-        bad = _judged(_found(plain.select(F.lit(None).cast("bigint").alias("doc_id"), "text"), blocks)).where("contaminated").select("key")
-        return plain.withColumn("_key", F.expr(KEY)).join(bad.withColumnRenamed("key", "_key").distinct(), "_key", "left_anti").select(*docs.columns)
-    shared = blocks[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = build(shared.value)
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            for first in range(0, batch.num_rows, 512):
-                piece = batch.slice(first, 512)
-                keep = []
-                for text in piece.column(at).to_pylist():
-                    n, hit, _ = match(auto, text)
-                    keep.append(not hit or 20 * len(hit) < n)
-                yield piece.filter(pa.array(keep, pa.bool_()))
-
-    return plain.mapInArrow(run, plain.schema)
+    return _scanned(plain, benchmark, window, max_windows, _keep, plain.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 200_000) -> DataFrame:
@@ -169,68 +205,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_w
     A document is contaminated when at least a twentieth of its words lie in benchmark windows.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, window, max_windows)]
-    return _judged(_found(texts, blocks)).drop("key")
-
-
-def _judged(found: DataFrame) -> DataFrame:
+    found = _scanned(texts, benchmark, window, max_windows, _tell, RESULT)
     return found.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
-
-
-def _found(texts: DataFrame, blocks: list) -> DataFrame:
-    if len(blocks) == 1:
-        return texts.mapInArrow(_scan(blocks[0], 0), SCHEMA).drop("part")
-    return _merged(texts.withColumn("key", F.expr(KEY)), blocks)
-
-
-def _merged(texts: DataFrame, blocks: list) -> DataFrame:
-    """Findings of several blocks: spans and items unite, and hit words are counted anew in the united spans."""
-    scanned = texts.where("key is not null").select(F.col("key").alias("doc_id"), "text")
-    rows = None
-    for k, block in enumerate(blocks):
-        more = scanned.mapInArrow(_scan(block, k), SCHEMA.replace("doc_id bigint", "doc_id string")).where("n_hit > 0")
-        rows = more if rows is None else rows.unionByName(more)
-    by_text = rows.groupBy(F.col("doc_id").alias("key")).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
-    )
-
-    def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                text = row["text"] or ""
-                inside = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                mark = np.zeros(len(inside) + 1, np.int64)
-                for s in row["spans"] or []:
-                    mark[s["start"]] += 1
-                    mark[s["end"]] -= 1
-                words = words_of(text)
-                starts = [s["start"] for s in spans_of(text, list(range(0, len(words), 2)))]
-                starts += [s["start"] for s in spans_of(text, list(range(1, len(words), 2)))]
-                covered = np.cumsum(mark)[:-1] > 0
-                hit = int(covered[starts].sum()) if starts else 0
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0])))) if len(covered) else []
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {
-                            "doc_id": row["doc_id"],
-                            "key": row["key"],
-                            "n_words": len(words),
-                            "n_hit": hit,
-                            "items": row["items"] or [],
-                            "spans": [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)],
-                        }
-                    ],
-                    pa.schema(
-                        [
-                            ("doc_id", pa.int64()),
-                            ("key", pa.string()),
-                            ("n_words", pa.int64()),
-                            ("n_hit", pa.int64()),
-                            ("items", pa.list_(pa.string())),
-                            ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        ]
-                    ),
-                )
-
-    return texts.join(by_text, "key", "left").mapInArrow(recount, SCHEMA.removesuffix(", part int").replace("n_words", "key string, n_words", 1))
