@@ -28,12 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Chunk, WordTable, in_sorted, text_chunks
 
 _PARTS = bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122))
+#: Characters beyond ASCII that part words, too: marks, blanks, signs.
+_BEYOND = regex.compile(r"[^\x00-\x7F\p{L}]+")
 _QUOTES = '"“”„«»‹›'
 #: Words that introduce what someone else said.
 _REPORTING = {"said", "says", "quote", "quoted", "quoting", "wrote", "called", "word", "term", "insult", "slur", "dit", "dijo", "sagte"}
@@ -92,6 +95,15 @@ class Trie:
         return best, best > 0
 
 
+def _ascii_edges(chunk: Chunk) -> Chunk:
+    """The chunk with blanks, byte for byte, for what parts words beyond ASCII."""
+    if not len(chunk.data) or chunk.data.max() < 128:
+        return chunk
+    texts = [chunk.raw(i) for i in range(len(chunk))]
+    texts = [raw if raw.isascii() else _BEYOND.sub(lambda m: " " * len(m[0].encode()), raw.decode()).encode() for raw in texts]
+    return Chunk(chunk.rows, chunk.ids, chunk.null, np.frombuffer(b"".join(texts), np.uint8), chunk.offsets)
+
+
 class Finder:
     """Finds entries in chunks of lower-cased text; only words that could match meet the automaton."""
 
@@ -136,7 +148,7 @@ class Finder:
     def finds(self, chunk: Chunk) -> list[list[tuple[int, int, float, bool]]]:
         """(first byte, end byte, weight, misspelled) of each find of each text."""
         out: list[list] = [[] for _ in range(len(chunk))]
-        names, starts, stops, firsts = self.table.words(chunk)
+        names, starts, stops, firsts = self.table.words(_ascii_edges(chunk))
         if not len(starts):
             return out
         # Each different word is looked up once.

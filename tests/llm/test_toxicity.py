@@ -71,3 +71,10 @@ def test_automaton_against_edit_distance():
     trie = toxicity.Trie([(e, False, 1.0) for e in entries])
     for w in words:
         assert (trie.find(w)[0] > 0) == any(distance(w, e) <= 1 for e in entries), w
+
+
+def test_marks_beyond_ascii_part_words():
+    assert finds("a “villain” or «villain», a\u00a0villain\u2014no villain…") == [("villain", 2.0, False)] * 4
+    raw = "so “villain” it was".encode()
+    at = raw.index(b"villain")
+    assert toxicity.quoted(np.frombuffer(raw, np.uint8), at, at + 7, 0, len(raw))
