@@ -69,6 +69,19 @@ class Windows:
         """First and end byte of units first..last of the chunk that `units` saw last."""
         raise NotImplementedError
 
+    def settle(self, stretches: Chunk):
+        """(stretch, number of the window in it) of every window of the stretches that one with a smaller id has, too; by the units themselves."""
+        raise NotImplementedError
+
+
+def least_owner(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest id of each row's group; groups are numbered from 0."""
+    n = int(group.max()) + 1 if len(group) else 0
+    low, high = np.full(n, NO_ID, np.int64), np.full(n, -NO_ID, np.int64)
+    np.minimum.at(low, group, ids)
+    np.maximum.at(high, group, ids)
+    return low[group], high[group]
+
 
 class Runs:
     """Runs of a chunk's windows: document, first window, number of windows, digit name, run name."""
@@ -276,27 +289,27 @@ def _send_windows(kind: Windows, buckets: int):
         out = [table(rows, STRETCH)]
         at, doc = runs.windows(np.flatnonzero(open_))
         if len(at):
-            hashes, ids = runs.hashes[at], chunk.ids[doc]
-            order = np.lexsort((ids, hashes))
-            hashes, ids = hashes[order], ids[order]
-            new = np.append(True, hashes[1:] != hashes[:-1])
+            hashes, ids, check = runs.hashes[at], chunk.ids[doc], window_hashes(mix(runs.units + np.uint64(29)), kind.length)[at]
+            order = np.lexsort((ids, check, hashes))
+            hashes, ids, check = hashes[order], ids[order], check[order]
+            new = np.append(True, (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1]))
             fresh = new | np.append(True, ids[1:] != ids[:-1])
             bucket = (hashes % np.uint64(buckets)).astype(np.int64)
             least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
             state = (ids == least).astype(np.uint8)
             spread = (mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             bucket[state == 0] = spread[state == 0]
-            out.append(table(list(messages(bucket[fresh], ids[fresh], hashes[fresh], state[fresh])), WINDOW))
+            out.append(table(list(messages(bucket[fresh], ids[fresh], hashes[fresh], check[fresh], state[fresh])), WINDOW))
         return pa.concat_tables(out)
 
     return run
 
 
-def _first_owner(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each row the smallest id that has the row's hash."""
-    order = np.lexsort((ids, hashes))
-    hashes, ids = hashes[order], ids[order]
-    new = np.append(True, hashes[1:] != hashes[:-1])
+def _first_owner(hashes: np.ndarray, check: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row the smallest id that has the row's window, by both of its hashes."""
+    order = np.lexsort((ids, check, hashes))
+    hashes, check, ids = hashes[order], check[order], ids[order]
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1]))
     out = np.empty(len(ids), np.int64)
     out[order] = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
     return out
@@ -325,19 +338,14 @@ def _settle_windows(kind: Windows, groups: int):
             real[(np.cumsum(sizes + 1) - 1)[:-1]] = False
             data = data[real]
             stretch = Chunk((0, len(ids)), ids, None, data, np.cumsum(np.append(0, sizes)))
-            units, firsts = kind.units(stretch)
-            hashes = window_hashes(units, kind.length)
-            count = np.diff(firsts) - kind.length + 1
-            at = np.repeat(firsts[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            which = np.repeat(np.arange(len(ids)), count)
-            hit = _first_owner(hashes[at], ids[which]) < ids[which]
+            which, at = kind.settle(stretch)
             mask = np.zeros(len(ids), np.uint64)
-            np.bitwise_or.at(mask, which[hit], np.uint64(1) << (at - firsts[which])[hit].astype(np.uint64))
+            np.bitwise_or.at(mask, which, np.uint64(1) << at.astype(np.uint64))
             some = mask > 0
             out.append(table(list(messages(group_of(ids[some], groups), ids[some], names[some], mask[some])), MASK))
         if windows := tagged(told, WINDOW):
-            own, name, state = unpacked(windows)
-            hit = (state == 0) | (_first_owner(name, own) < own)
+            own, name, check, state = unpacked(windows)
+            hit = (state == 0) | (_first_owner(name, check, own) < own)
             out.append(table(list(messages(group_of(own[hit], groups), own[hit], name[hit])), HIT))
         return pa.concat_tables(out)
 
@@ -422,6 +430,8 @@ def _apply(kind: Windows, by_word: bool):
 
 def remove(docs: DataFrame, kind: Windows, by_word: bool) -> DataFrame:
     """doc_id, n_units, n_removed, n_spans, spans, kept of every row of `docs`."""
+    if not 1 <= kind.length <= 64:
+        raise ValueError("a window has 1 to 64 units: the hits of a run are bits of one number")
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size, least = text_bytes(texts), int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,7 +8,9 @@ goes the stretch of words that decided it; inside a repeated window all symbols
 whose stretch lies in the window are the same wherever the window occurs.
 
 A window is dealt by the least-named symbol of the highest level that it decides;
-groups of one document drop out, and what is left is verified by whole windows.
+groups of one document drop out.  What is left is verified on the words themselves:
+a task numbers its different words, then pairs of words, pairs of pairs and so on
+from one table each, so that equal windows, and they alone, get one number.
 Words of a text that a window of `length` words covers are removed if the window
 also starts in a document with a smaller id.  See `repeats` for the flow.
 """
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from quillspark.llm import repeats
 from quillspark.llm.common import BLANKS, Chunk, WordTable, mix, pair_hash, window_hashes
+from quillspark.llm.repeats import least_owner
 
 
 class Symbols:
@@ -129,6 +132,40 @@ class WordWindows(repeats.Windows):
     def stretch(self, first: np.ndarray, last: np.ndarray):
         return self.starts[first], self.stops[last]
 
+    def settle(self, stretches: Chunk):
+        _, starts, stops, firsts = self.table.words(stretches)
+        count = np.maximum(np.diff(firsts) - self.length + 1, 0)
+        which = np.repeat(np.arange(len(count)), count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        if not len(at):
+            return which, at
+        group, ids = numbered_windows(numbered_words(stretches.data, starts, stops), self.length)[firsts[which] + at], stretches.ids[which]
+        hit = least_owner(np.unique(group, return_inverse=True)[1], ids)[0] < ids
+        return which[hit], at[hit]
+
+
+def numbered_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A number for each word: equal for equal words, and for them alone."""
+    raw, number = data.tobytes(), {}
+    return np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.int64)
+
+
+def numbered_windows(names: np.ndarray, length: int) -> np.ndarray:
+    """A number for each run of `length` words: equal for equal runs, and for them alone."""
+    pair = lambda a, b: np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]  # noqa: E731  numbers stay below the square of a task's words
+    n = len(names) - length + 1
+    have, at, out, level, width = length, 0, None, names, 1
+    while have:
+        if have & width:
+            piece = level[at : at + n]
+            out = piece if out is None else pair(out, piece)
+            at += width
+            have -= width
+        if have:
+            level = pair(level[:-width], level[width:])
+            width *= 2
+    return out
+
 
 def deduplicate(docs: DataFrame, length: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, spans (removed, in words), kept (words joined by one blank) of every row."""

@@ -1,15 +1,16 @@
 """Suffix-array deduplication of bytes, by depth-limited radix passes.
 
 Only the order of suffixes through their first `length` bytes matters, and only
-who shares a prefix of that depth.  The passes therefore deal suffixes by their
-most significant digits and drop every group that one document owns alone:
+who shares a prefix of that depth.
 
-* digit 1 is a run of 16 bytes that each suffix picks from its first `length`
-  bytes (the one whose name is smallest), so neighbouring suffixes share it and
-  travel as one run;
-* digit 2 is the whole run; equal runs are settled by the smallest document;
-* digit 3 is the full depth, for the suffixes of groups that are still mixed.
-  Groups equal through it are exactly the repeated windows.
+* Suffixes are dealt to tasks by a string of 16 bytes that each picks from its
+  first `length` bytes (the one whose name is smallest), so that neighbouring
+  suffixes share it and travel as one run.  Equal runs are settled by the smallest
+  document: both the 64-bit name of the string and that of the run must agree.
+* The suffixes of runs that are still open meet as stretches of text.  Passes by the
+  most significant digit order them: a digit is the next eight bytes, and a group
+  that one document owns alone is dropped after each pass.  Groups equal through
+  `length` bytes are exactly the repeated windows; no hash decides there.
 
 Bytes of a text that such a window covers are removed if the window also starts
 in a document with a smaller id.  See `repeats` for the flow and its bounds.
@@ -22,6 +23,9 @@ from pyspark.sql import DataFrame
 
 from quillspark.llm import repeats
 from quillspark.llm.common import Chunk, rng_table, window_hashes
+from quillspark.llm.repeats import least_owner
+
+DIGIT = 8
 
 
 class ByteWindows(repeats.Windows):
@@ -57,6 +61,39 @@ class ByteWindows(repeats.Windows):
     def stretch(self, first: np.ndarray, last: np.ndarray):
         return first, last + 1
 
+    def settle(self, stretches: Chunk):
+        which, at, ids, group = radix_groups(stretches, self.length)
+        hit = least_owner(group, ids)[0] < ids
+        return which[hit], at[hit]
+
+
+def radix_groups(stretches: Chunk, length: int):
+    """(stretch, place, id, group) of suffixes equal through `length` bytes that several ids own; by most-significant-digit passes."""
+    count = np.maximum(np.diff(stretches.offsets) - length + 1, 0)
+    which = np.repeat(np.arange(len(count)), count)
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    ids = stretches.ids[which]
+    # The bytes at each place as one big-endian number; what lies past the end of the data is never part of a digit.
+    data = np.concatenate((stretches.data, np.zeros(DIGIT, np.uint8))).astype(np.uint64)
+    value = np.zeros(len(stretches.data), np.uint64)
+    for k in range(DIGIT):
+        value |= data[k : k + len(value)] << np.uint64(8 * (DIGIT - 1 - k))
+    group = np.zeros(len(at), np.int64)
+    for depth in range(0, length, DIGIT):
+        if not len(at):
+            break
+        digit = value[stretches.offsets[which] + at + depth]
+        if length - depth < DIGIT:
+            digit >>= np.uint64(8 * (DIGIT - length + depth))
+        order = np.lexsort((digit, group))
+        which, at, ids, group, digit = which[order], at[order], ids[order], group[order], digit[order]
+        new = np.append(True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1]))
+        group = np.cumsum(new) - 1
+        low, high = least_owner(group, ids)
+        shared = low < high
+        which, at, ids, group = which[shared], at[shared], ids[shared], group[shared]
+    return which, at, ids, group
+
 
 def deduplicate(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (removed, in bytes), kept (bytes) of every row."""
