@@ -7,6 +7,7 @@ finds and hashes every word of a chunk with whole-array operations.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -20,8 +21,10 @@ BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; our own only where none is named."""
+    """The folder that driver and executors share; our own only where none is named and all run in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return named or "/tmp/quillspark-checkpoints"
 
 

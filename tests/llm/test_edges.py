@@ -106,6 +106,36 @@ def test_common_windows(spark):
     assert plain(b, "doc_id", "n_words", "n_removed", "sha") == sorted(brute.substring(rows), key=repr)
 
 
+def test_windows_of_very_common_digits(spark):
+    """Open runs sent window by window, and windows longer than may be."""
+    rows = [(k, f"s{k} t{k} " + PASSAGE[: 200 + k] + f" u{k % 7} " + "z " * 20 + f"v{k}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    a = suffix_dedup.deduplicate(docs).withColumn("sha", F.sha2("kept", 256))
+    assert plain(a, "doc_id", "n_bytes", "n_removed", "n_spans", "sha") == sorted(brute.suffix(rows), key=repr)
+    b = substring_dedup.deduplicate(docs).withColumn("sha", F.sha2("kept", 256))
+    assert plain(b, "doc_id", "n_words", "n_removed", "sha") == sorted(brute.substring(rows), key=repr)
+    with pytest.raises(ValueError):
+        suffix_dedup.deduplicate(docs, 65)
+
+
+def test_one_row_of_each_group(spark):
+    rows = [(6, PASSAGE), (6, PASSAGE), (6, "quite other words"), (None, PASSAGE), (None, PASSAGE.upper()), (None, "lone words here"), (None, "lone words here"), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", k) for k, (d, t) in enumerate(rows)], "doc_id bigint, text string, lang string, k int").repartition(3)
+    got = plain(ngram_jaccard.one_of_each(docs), "doc_id", "text")
+    assert got == sorted([(6, PASSAGE), (6, "quite other words"), (None, "lone words here"), (9, ""), (9, ""), (None, None)], key=repr)
+    assert ngram_jaccard.one_of_each(docs).columns == docs.columns
+
+
+def test_components_of_many_shares(spark, tmp_path):
+    from quillspark.llm.common import Scratch
+    from quillspark.llm.components import components
+
+    edges = [(k, k + 7) for k in range(0, 700, 7)] + [(3000 - k, 3001 - k) for k in range(200)] + [(5, 9000 + k) for k in range(300)] + [(1, 1)]
+    links = spark.createDataFrame(edges, "a bigint, b bigint").repartition(4)
+    outs = [plain(components(links, Scratch(spark), share), "node", "root") for share in (1 << 20, 50)]
+    assert outs[0] == outs[1] and {r for _, r in outs[0]} == {0, 2801, 5} and len(outs[0]) == 101 + 201 + 301
+
+
 def test_secrets(spark):
     got = secret_scan.scan(table(spark, ROWS))
     base = secret_scan.joined("filter(findings, f -> f.kind in ('assign', 'access', 'hex'))")
@@ -117,6 +147,31 @@ def test_secrets(spark):
     assert text == 'token="[SECRET]" token=abc [SECRET] [SECRET]'
 
 
+def test_spans_of_many_matches_and_of_whole_tokens(spark):
+    """More matches than a block, a jwt and a pem block, against Python's own matching."""
+    import re
+
+    jwt = "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + ".sig-nature"
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab1+" * 20 + "\n-----END RSA PRIVATE KEY-----"
+    many = " é ".join(f"{k:x}".zfill(24 + k % 3) for k in range(1000))
+    texts = [(1, f"see {jwt} and\n{pem}\nend"), (2, many), (3, "é" * 9 + jwt + " " + jwt)]
+    got = {r["doc_id"]: r["s"] for r in secret_scan.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).select("doc_id", F.expr(secret_scan.joined("findings")).alias("s")).collect()}
+    want = {}
+    for d, t in texts:
+        spans = [(m.start(), k, r.kind, m.end()) for k, r in enumerate(secret_scan.RULES) if not r.group for m in re.finditer(r.pattern, t) if m.end() - m.start() >= r.least]
+        want[d] = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(spans))
+    assert got == want and "jwt" in got[1] and "pem" in got[1] and got[2].count("hex") == 1000
+
+
+def test_changed_rules_make_a_new_version(spark):
+    docs = spark.createDataFrame([(1, "AKIA" + "C" * 20, "a/b", 1), (1, "AKIA" + "D" * 20, "a/c", 2), (2, None, None, 1)], "doc_id bigint, text string, path string, version int")
+    ledger = secret_scan.update_ledger(docs)
+    fewer = secret_scan.RULES[:2]
+    assert secret_scan.update_ledger(docs, ledger, fewer).count() == 3 and secret_scan.update_ledger(docs, ledger).count() == 0
+    got = plain(secret_scan.scan(docs, ledger, paths=("path", "version")).withColumn("k", F.size("findings")), "path", "version", "k")
+    assert got == [("a/b", 1, 1), ("a/c", 2, 1), (None, 1, 0)]
+
+
 def test_secrets_scan_only_unseen_blobs(spark):
     docs = table(spark, ROWS, clash=False)
     ledger = secret_scan.update_ledger(docs)
