@@ -15,13 +15,14 @@ one more than can differ, for two partners must have one of them in common.
 
 Parts meet in buckets.  Documents sharing a part form a run; its first members are
 compared with all of it.  Two sketches screen the pairs by the same bound: one of 256
-bits, which every member of a run carries, and one that grows with the set (some
-sixteen bits for each n-gram that may differ; a longer one is folded to a shorter
-one's length), which is looked up once for each pair.  What is left is verified on the
+bits, which every member of a run carries, and one that grows with the set (eight bits
+or more for each n-gram that may differ; a longer one is folded to a shorter one's
+length), which is looked up once for each pair.  What is left is verified on the
 whole sets, which are made for the documents of such pairs alone.  Other members do
 the same in runs that still hold several components.  Then members of a run that are
-still in different components are screened and verified, too, each pair in the first
-run that both have among their own first ones; so no link that could join two
+still in different components are screened and verified, too; there they carry the
+longer sketch, up to a bounded length, and each pair is made in the first run that
+both have among their own first ones.  So no link that could join two
 components is missed, yet copies are never expanded into all their pairs.
 
 Equal sets are one node from the start.  A part common to very many sets of one
@@ -54,7 +55,9 @@ FIRST, COMMON, BLOCK, BUCKET_BYTES = 4, 64, 8, 8 << 20
 #: Members of a run that are compared with all of it: at first, and again in each round while it holds several components.
 CENTRES, MORE, ROUNDS = 1, 3, 2
 #: Bits of the longer sketch for each n-gram that may differ; runs of a set among which a pair looks for the one that makes it.
-SHARP, FIRSTS = 16, 8
+SHARP, FIRSTS = 8, 8
+#: Numbers of 64 bits to which the longer sketch is folded where every member of a run carries it.
+CARRIED = 64
 ENTRY, ENTRY_OF_COMMON, MEMBER = 0, 1, 2
 
 
@@ -136,9 +139,9 @@ class Shingles:
         odd = (np.bincount(self.doc * 256 + bit, minlength=n * 256) & 1).astype(np.uint8).reshape(n, 256)
         return np.packbits(odd, axis=1, bitorder="little").view(np.int64).reshape(n, 4)
 
-    def sharp(self, percent: int) -> list[bytes]:
+    def sharp(self, percent: int) -> list[np.ndarray]:
         """Parity of each text's n-grams over bits enough to tell sets apart that differ too much."""
-        out = [b""] * len(self.size)
+        out = [np.zeros(0, np.int64)] * len(self.size)
         bits = sharp_bits(self.size, percent)
         h = mix(self.gram + np.uint64(19))
         for size in np.unique(bits[self.size > 0]).tolist():
@@ -149,7 +152,7 @@ class Shingles:
             at = local[self.doc[pick]] * size + (h[pick] & np.uint64(size - 1)).astype(np.int64)
             odd = (np.bincount(at, minlength=len(rows) * size) & 1).astype(np.uint8).reshape(len(rows), size)
             for row, packed in zip(rows.tolist(), np.packbits(odd, axis=1, bitorder="little"), strict=True):
-                out[row] = packed.tobytes()
+                out[row] = packed.view(np.int64)
         return out
 
     def parts(self, bands: Bands):
@@ -199,7 +202,7 @@ def _nodes(n: int, percent: int):
                 s = Shingles(words, chunk, n)
                 bits = s.sketches()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(2).slice(chunk.rows[0], len(chunk)), chunk.ids, pa.array(s.size), pa.array(s.name.view(np.int64)), *(pa.array(bits[:, k]) for k in range(4)), pa.array(s.sharp(percent), pa.binary())],
+                    [batch.column(2).slice(chunk.rows[0], len(chunk)), chunk.ids, pa.array(s.size), pa.array(s.name.view(np.int64)), *(pa.array(bits[:, k]) for k in range(4)), pa.array(s.sharp(percent), pa.list_(pa.int64()))],
                     ["at", "doc_id", "n", "node", "s0", "s1", "s2", "s3", "sharp"],
                 )
 
@@ -289,22 +292,11 @@ def _differ(percent: int, a: str, b: str) -> str:
     )
 
 
-def _sharper(percent: int):
-    """Pairs whose longer sketches still allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (100 - percent) // (100 + percent)
-            keep = []
-            for most, x, y in zip(both.tolist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                while len(x) != len(y):
-                    long, short = (x, y) if len(x) > len(y) else (y, x)
-                    x, y = long[: len(long) // 2] ^ long[len(long) // 2 :], short
-                keep.append(int(np.bitwise_count(x ^ y).sum()) <= most)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _sharply(percent: int, a: str, b: str, bits: str, n: str) -> str:
+    """SQL: the same by the longer sketches, the longer of the two folded."""
+    k = f"least(size({a}.{bits}), size({b}.{bits}))"
+    term = f"{a}.{bits}[i] ^ {b}.{bits}[i] ^ coalesce(get({a}.{bits}, i + {k}), 0L) ^ coalesce(get({b}.{bits}, i + {k}), 0L)"
+    return f"{100 + percent} * aggregate(sequence(0, {k} - 1), 0, (h, i) -> h + bit_count({term})) <= {100 - percent} * ({a}.{n} + {b}.{n})"
 
 
 def _sets(n: int):
@@ -317,24 +309,9 @@ def _sets(n: int):
                 s = Shingles(words, chunk, n)
                 keep = np.flatnonzero(s.size)
                 keep = keep[np.unique(s.name[keep], return_index=True)[1]]
-                blobs = [s.gram[s.first[k] : s.first[k] + s.size[k]].tobytes() for k in keep.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(s.name.view(np.int64)[keep]), pa.array(blobs, pa.binary())], ["node", "grams"])
-
-    return run
-
-
-def _linked(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                both = int((x[at] == y).sum()) if len(x) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], ["a", "b"])
+                grams = s.gram.view(np.int64)
+                sets = [grams[s.first[k] : s.first[k] + s.size[k]] for k in keep.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(s.name.view(np.int64)[keep]), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
     return run
 
@@ -357,7 +334,7 @@ def _placed(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[Da
 
     # Where a set's text can be read again: by its document's id or, without one, by a hash of the text.
     texts = texts.withColumn("at", F.coalesce("doc_id", F.xxhash64("text")))
-    nodes = scratch.cut(texts.mapInArrow(_nodes(n, percent), "at bigint, doc_id bigint, n bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, sharp binary"))
+    nodes = scratch.cut(texts.mapInArrow(_nodes(n, percent), "at bigint, doc_id bigint, n bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, sharp array<bigint>"))
     runs = texts.select("doc_id", "text").mapInArrow(_send_parts(n, bands, buckets, split), SCHEMA).groupBy("k").applyInArrow(_runs, "run bigint, node bigint, rank int")
     runs = scratch.cut(runs.groupBy("run", "node").agg(F.min("rank").alias("rank")))
     # One row stands for each set that shares a part.
@@ -366,19 +343,18 @@ def _placed(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[Da
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among the pairs: by the longer sketch, then on whole sets, which are made for what is left."""
-        both = pairs
-        for side in ("a", "b"):
-            about = stands.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sharp").alias(f"s{side}"))
-            both = both.join(about, side)
-        left = scratch.cut(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sharper(percent), "a bigint, b bigint"))
+        about = stands.select("node", "n", "sharp")
+        both = pairs.join(about.alias("u"), F.expr("a = u.node")).join(about.alias("v"), F.expr("b = v.node"))
+        left = scratch.cut(both.where(_sharply(percent, "u", "v", "sharp", "n")).select("a", "b"))
         asked = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         # Written, so that Spark knows the size before it chooses to broadcast the places or to shuffle.
         places = scratch.cut(stands.join(asked, "node", "left_semi").select("at").distinct())
-        sets = texts.join(places, "at", "left_semi").select("doc_id", "text").mapInArrow(_sets(n), "node bigint, grams binary").dropDuplicates(["node"])
+        sets = texts.join(places, "at", "left_semi").select("doc_id", "text").mapInArrow(_sets(n), "node bigint, grams array<bigint>").dropDuplicates(["node"])
         sets = scratch.cut(sets)
         found = left.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-        found = found.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
-        found = scratch.cut(found.mapInArrow(_linked(percent), "a bigint, b bigint"))
+        found = found.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+        found = found.withColumn("both", F.expr("size(array_intersect(x, y))")).where(f"{100 + percent} * both >= {percent} * (size(x) + size(y))")
+        found = scratch.cut(found.select("a", "b"))
         for table_ in (left, places, sets):
             scratch.drop(table_)
         return found
@@ -428,16 +404,18 @@ def _placed(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[Da
 
     # Runs that still hold several components: their members across components, each pair once (but for pairs whose first runs differ).
     firsts = open_.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("run")), 1, FIRSTS).alias("firsts"))
-    told = scratch.cut(open_.join(firsts, "node"))
-    scratch.drop(open_)
+    fold = f"transform(sequence(0, {CARRIED - 1}), i -> aggregate(sequence(0, size(sharp) div {CARRIED} - 1), 0L, (h, j) -> h ^ sharp[j * {CARRIED} + i]))"
+    wide = stands.select("node", F.expr(f"case when size(sharp) <= {CARRIED} then sharp else {fold} end").alias("wide"))
+    told = open_.join(firsts, "node").join(wide, "node")
     here = "coalesce(get(array_intersect(u.firsts, v.firsts), 0), u.run) = u.run"
-    across = told.alias("u").join(told.alias("v"), F.expr(f"u.run = v.run and u.node < v.node and u.root <> v.root and {_differ(percent, 'u', 'v')} and {here}"))
+    bound = f"{_differ(percent, 'u', 'v')} and {here} and {_sharply(percent, 'u', 'v', 'wide', 'n')}"
+    across = told.alias("u").join(told.alias("v"), F.expr(f"u.run = v.run and u.node < v.node and u.root <> v.root and {bound}"))
     across = scratch.cut(across.select(F.col("u.node").alias("a"), F.col("v.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
     if not across.isEmpty():
         links = verified(across)
         roots = joined(links, roots)
         scratch.drop(links)
-    for table_ in (told, stands, across, done):
+    for table_ in (open_, stands, across, done):
         scratch.drop(table_)
     placed = scratch.cut(nodes.where("n > 0").join(roots, "node", "left").select("doc_id", "node", "n", F.coalesce("root", "node").alias("root")))
     none = scratch.cut(nodes.where("n = 0").select("doc_id"))
