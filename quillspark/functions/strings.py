@@ -67,14 +67,27 @@ def handles(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, numbers))))
 
 
-#: Openings of commands to a model.
-_COMMANDS = "always never ignore remember forget act pretend respond answer reply write use do don't stop".split()
+#: Phrases and marks of text aimed at a model, and bare imperatives.
+OVERRIDES = (
+    "ignore previous", "ignore all previous", "ignore the above", "ignore your", "disregard", "system prompt", "system message", "previous instructions",
+    "new instructions", "from now on", "act as", "acts as if you", "pretend to be", "you are now", "override", "jailbreak",
+)
+MARKUP = ("```", "<|", "|>", "\x00")
+IMPERATIVES = (
+    "answer reply respond say tell write output print speak translate format avoid mention include provide give treat assume act pretend remember forget ignore use do make be start stop only please"
+).split()
+HEDGES = ("always", "never")
+SECOND_PERSON = r"\b(you|your|yours|yourself|you're|youre)\b"
 
 
 def reads_as_an_instruction(text: Column) -> Column:
-    low = F.lower(F.trim(text))
-    first = F.regexp_extract(low, r"^([\w']+)", 1)
-    return first.isin(*_COMMANDS) | low.rlike(r"\byou (must|should|are|will|have to)\b") | low.rlike(r"\b(system prompt|previous instructions)\b")
+    """The sentence is aimed at a reader: second person, a phrase or mark of prompts, or a bare imperative, also after always and never."""
+    low = F.lower(text)
+    words = F.regexp_extract_all(low, F.lit("[a-z']+"), F.lit(0))
+    first, second = F.get(words, F.lit(0)), F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+    order = first.isin(*HEDGES) & (second.isin("", *IMPERATIVES) | ~second.endswith("s"))
+    holds = lambda of, parts: F.array_contains(F.transform(F.array(*(F.lit(p) for p in parts)), lambda p: F.contains(of, p)), True)
+    return low.rlike(SECOND_PERSON) | holds(low, OVERRIDES) | holds(text, MARKUP) | F.coalesce(first.isin(*IMPERATIVES) | order, F.lit(False))
 
 
 def layered(*maps: Column) -> Column:

@@ -10,20 +10,21 @@ def scored(items: DataFrame, k: int) -> DataFrame:
     """item_id and recall, precision, rr, hit of each item (retrieved: array in rank order, relevant: array, both of ids).
 
     Precision divides by what was retrieved (up to k), and is 0 for nothing; recall counts different hits.
-    An item without relevant ids is negative: precision is 1 if nothing was retrieved, else 0; the rest is null.
+    An item marked `negative` wants nothing: precision is 1 if nothing was retrieved, else 0; the rest is null.
+    An item that isn't negative and has no relevant ids at this level says nothing: all is null.
     """
     top = F.slice(F.coalesce("retrieved", F.expr("cast(array() as array<bigint>)")), 1, k)
     rel = F.array_distinct(F.coalesce("relevant", F.expr("cast(array() as array<bigint>)")))
-    rows = items.select("item_id", top.alias("top"), rel.alias("rel"))
+    rows = items.select("item_id", F.coalesce("negative", F.lit(False)).alias("negative"), top.alias("top"), rel.alias("rel"))
     rows = rows.withColumn("good", F.expr("filter(transform(top, (x, i) -> if(array_contains(rel, x), i + 1, null)), p -> p is not null)"))
-    negative = F.size("rel") == 0
+    negative, labelled = F.col("negative"), ~F.col("negative") & (F.size("rel") > 0)
     return rows.select(
         "item_id",
-        negative.alias("negative"),
-        F.when(~negative, F.size(F.array_intersect("top", "rel")) / F.size("rel")).alias("recall"),
-        F.when(negative, (F.size("top") == 0).cast("double")).otherwise(F.coalesce(F.try_divide(F.size("good"), F.size("top")), F.lit(0.0))).alias("precision"),
-        F.when(~negative, F.coalesce(1 / F.try_element_at("good", F.lit(1)), F.lit(0.0))).alias("rr"),
-        F.when(~negative, (F.size("good") > 0).cast("double")).alias("hit"),
+        "negative",
+        F.when(labelled, F.size(F.array_intersect("top", "rel")) / F.size("rel")).alias("recall"),
+        F.when(negative, (F.size("top") == 0).cast("double")).when(labelled, F.coalesce(F.try_divide(F.size("good"), F.size("top")), F.lit(0.0))).alias("precision"),
+        F.when(labelled, F.coalesce(1 / F.try_element_at("good", F.lit(1)), F.lit(0.0))).alias("rr"),
+        F.when(labelled, (F.size("good") > 0).cast("double")).alias("hit"),
     )
 
 

@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 SEGMENTS = (("em", "embedding_model"), ("tk", "tokenizer"), ("ch", "chunking"), ("sm", "summarization"), ("xv", "extraction"))
 
 
+#: States in which nothing works on a document any more.
+FINAL = ("indexed", "failed", "skipped")
+
+
 def reconcile(listing: DataFrame, documents: DataFrame) -> DataFrame:
-    """key and what a resync does with it: added, updated, unchanged, skipped (not in a final state) or deleted."""
-    both = listing.select("key", F.col("etag").alias("new")).join(documents.select("key", F.col("etag").alias("old"), "status"), "key", "full_outer")
+    """key and what a resync does with it: added, updated, unchanged, skipped (listed, in work), deleted or kept (not listed, in work).
+
+    A null etag is an etag like others; a document without a status is in work.
+    """
+    listed = listing.select("key", F.col("etag").alias("new"), F.lit(True).alias("listed"))
+    known = documents.select("key", F.col("etag").alias("old"), F.coalesce(F.col("status").isin(*FINAL), F.lit(False)).alias("final"))
+    both = listed.join(known, "key", "full_outer")
     return both.select(
         "key",
-        F.when(F.col("status").isNull(), "added")
-        .when(F.col("new").isNull(), "deleted")
-        .when(~F.col("status").isin("indexed", "failed"), "skipped")
+        F.when(F.col("final").isNull(), "added")
+        .when(F.col("listed").isNull(), F.when(F.col("final"), "deleted").otherwise("kept"))
+        .when(~F.col("final"), "skipped")
         .when(F.col("new").eqNullSafe(F.col("old")), "unchanged")
         .otherwise("updated")
         .alias("action"),

@@ -18,18 +18,25 @@ def rank(similarity: Column, confidence: Column, last_seen_at: Column, now: Colu
 
 
 def recall(facts: DataFrame, now: Column, k: int) -> DataFrame:
-    """The k best live facts of each user: those always recalled first, then by rank, ties by id."""
+    """The k first live facts of each user: those always recalled, newest first, then the others by rank; ties by id."""
     rows = facts.where(live(now)).withColumn("score", F.round(rank(F.col("similarity"), F.col("confidence"), F.col("last_seen_at"), now), 9))
-    w = Window.partitionBy("end_user_id").orderBy(F.desc("always"), F.desc("score"), "fact_id")
+    newest = F.when(F.col("always"), F.unix_micros(F.col("last_seen_at").cast("timestamp")))
+    w = Window.partitionBy("end_user_id").orderBy(F.desc("always"), F.desc_nulls_last(newest), F.desc(F.when(~F.col("always"), F.col("score"))), "fact_id")
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("end_user_id", "fact_id", "place", "score")
 
 
 def over_budget(facts: DataFrame, now: Column, bound: int) -> DataFrame:
-    """Facts to evict: dead ones beyond twice the bound in all, and the worst live ones beyond the bound."""
+    """Facts to evict, dead ones before live ones.
+
+    Where more facts than `bound` are live, every dead fact goes and the worst live ones beyond the bound;
+    otherwise dead ones, worst first, until twice the bound are left in all.
+    """
     rows = facts.withColumn("live", live(now)).withColumn("score", F.round(rank(F.lit(1.0), F.col("confidence"), F.col("last_seen_at"), now), 9))
     best = Window.partitionBy("end_user_id").orderBy(F.desc("live"), F.desc("score"), F.desc("fact_id"))
     placed = rows.withColumn("place", F.row_number().over(best))
-    return placed.where((F.col("live") & (F.col("place") > bound)) | (~F.col("live") & (F.col("place") > 2 * bound))).select("end_user_id", "fact_id")
+    placed = placed.withColumn("n_live", F.count_if("live").over(Window.partitionBy("end_user_id")))
+    allowed = F.when(F.col("n_live") > bound, bound).otherwise(2 * bound)
+    return placed.where((F.col("place") > allowed) & (~F.col("live") | (F.col("n_live") > bound))).select("end_user_id", "fact_id")
 
 
 def supersede(facts: DataFrame, closings: DataFrame) -> DataFrame:
@@ -58,9 +65,10 @@ def session_keys(messages: DataFrame) -> DataFrame:
 
 
 def tail(messages: DataFrame, budget: int = 12_000) -> DataFrame:
-    """The most recent whole turns of each conversation within `budget` characters, at least one."""
+    """The most recent whole turns of each conversation within `budget` characters, at least one; a turn costs its text, its role and 2."""
     back = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    rows = messages.withColumn("n", F.length(F.coalesce("text", F.lit(""))))
+    length = lambda c: F.length(F.coalesce(c, F.lit("")))
+    rows = messages.withColumn("n", length("text") + length("role") + 2)
     rows = rows.withColumn("used", F.sum("n").over(back.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(back))
     return rows.where((F.col("used") <= budget) | (F.col("place") == 1)).select("conv_id", "turn", "role", "n")
 

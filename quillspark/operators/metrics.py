@@ -250,3 +250,9 @@ def alerts(ratios: DataFrame, above: float, seconds: int, least: int) -> DataFra
     hot = hot.withColumn("island", F.col("n") - F.row_number().over(Window.orderBy("n")))
     out = hot.groupBy("island").agg(F.min("bucket").alias("since"), F.max("bucket").alias("until"), F.count("*").alias("buckets"))
     return out.where(F.col("buckets") >= least).drop("island")
+
+
+def min_by_gauge(samples: DataFrame) -> DataFrame:
+    """The least of each gauge's newest values (several sources may report at one time)."""
+    newest = samples.groupBy("gauge", "ts").agg(F.min("value").alias("low"))
+    return newest.groupBy("gauge").agg(F.max_by("low", "ts").alias("low"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.strings import text_hash, word_tokens
-from quillspark.functions.vectors import cosine, norm
+from quillspark.functions.vectors import dot, norm
 
 MAX_QUERIES = 1000
 
@@ -15,13 +15,22 @@ MAX_QUERIES = 1000
 def knn(points: DataFrame, queries: DataFrame, k: int, min_score: float = -1.0, exclude_self: bool = False) -> DataFrame:
     """query_id, id, rank, score: the k points of highest cosine of each query, ties by id.
 
-    The queries are a stated set of at most MAX_QUERIES and go to every block of points;
-    each block keeps its own k best with a map-side maximum, so that only queries * k rows a block are shuffled.
+    The queries are a stated set.  They go to all points in blocks of about MAX_QUERIES, which are counted
+    first, so that what is broadcast at a time is bounded; each block of points keeps its own k best, so that
+    only queries * k rows a block are shuffled.  Lengths are computed once a vector, not once a pair.
     """
-    asked = F.broadcast(queries.limit(MAX_QUERIES + 1).agg(F.collect_list(F.struct("query_id", "query")).alias("qs")))
-    asked = asked.withColumn("qs", F.when(F.size("qs") <= MAX_QUERIES, F.col("qs")).otherwise(F.raise_error(F.lit(f"more than {MAX_QUERIES} queries"))))
-    pairs = points.crossJoin(asked).select("id", "embedding", F.explode("qs").alias("q"))
-    pairs = pairs.select(F.col("q.query_id").alias("query_id"), "id", F.round(cosine("q.query", "embedding"), 6).alias("score")).where(F.col("score") >= min_score)
+    blocks = max(1, -(-queries.count() // MAX_QUERIES))
+    asked = queries.select("query_id", "query", norm("query").alias("norm"))
+    measured = points.select("id", "embedding", norm("embedding").alias("norm"))
+    pairs = None
+    for number in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        block = block.agg(F.collect_list(F.struct("query_id", "query", "norm")).alias("qs"))
+        some = measured.crossJoin(F.broadcast(block)).select("id", "embedding", "norm", F.explode("qs").alias("q"))
+        score = F.coalesce(F.try_divide(dot("q.query", "embedding"), F.col("q.norm") * F.col("norm")), F.lit(0.0))
+        some = some.select(F.col("q.query_id").alias("query_id"), "id", F.round(score, 6).alias("score"))
+        pairs = some if pairs is None else pairs.unionByName(some)
+    pairs = pairs.where(F.col("score") >= min_score)
     if exclude_self:
         pairs = pairs.where("id <> query_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -30,9 +39,10 @@ def knn(points: DataFrame, queries: DataFrame, k: int, min_score: float = -1.0,
 
 
 def dedupe(matches: DataFrame) -> DataFrame:
-    """Matches of each query, best first, without neighbours of a kept chunk of the same document and repeated texts.
+    """Matches of each query, best first, without neighbours of a kept chunk and repeated texts of the same document.
 
-    Input: query_id, id, document_id, chunk_index, radius, score, text, kind; summaries are exempt.
+    Input: query_id, id, document_id, chunk_index, radius, score, text, kind; summaries are exempt.  Texts are
+    the same when they agree but for white space; empty ones repeat nothing.
     The choice depends on its own earlier choices, so each query's bounded list is one group.
     """
 
@@ -44,11 +54,12 @@ def dedupe(matches: DataFrame) -> DataFrame:
         for r in rows.itertuples():
             if r.kind != "summary":
                 near = places.setdefault(r.document_id, [])
-                folded = " ".join((r.text or "").split()).casefold()
+                folded = (r.document_id, " ".join((r.text or "").split()))
                 if folded in texts or any(abs(r.chunk_index - i) <= max(r.radius, radius, 1) for i, radius in near):
                     continue
                 near.append((r.chunk_index, r.radius))
-                texts.add(folded)
+                if folded[1]:
+                    texts.add(folded)
             kept.append(r.Index)
         return rows.loc[kept, ["query_id", "id", "score"]]
 
@@ -73,9 +84,9 @@ def norms(points: DataFrame) -> DataFrame:
 
 
 def identical(points: DataFrame) -> DataFrame:
-    """Groups of vectors that agree to six places."""
+    """Groups of vectors that agree to six places though their texts (by `text_hash`) differ."""
     key = F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: F.format_number(x.cast("double"), 6))), 256)
-    return points.groupBy(key.alias("k")).agg(F.count("*").alias("points"), F.min("id").alias("first_id")).where("points > 1").drop("k")
+    return points.groupBy(key.alias("k")).agg(F.count("*").alias("points"), F.count_distinct("text_hash").alias("texts"), F.min("id").alias("first_id")).where("texts > 1").drop("k")
 
 
 def agreement(neighbours: DataFrame, points: DataFrame) -> DataFrame:
@@ -120,19 +131,34 @@ def histogram(chunks: DataFrame, size: int, buckets: int = 12) -> DataFrame:
     return every.join(counts, "bucket", "left").select("bucket", (F.col("bucket") * width).alias("low"), F.coalesce("c", F.lit(0)).alias("chunks"))
 
 
-def outliers(documents: DataFrame, factor: float = 3.0, least: int = 5) -> DataFrame:
-    """Documents whose chunks a kilobyte are `factor` times the median of their connector, or a `factor`th of it."""
-    density = documents.withColumn("density", F.col("chunks") * 1024 / F.greatest(F.col("size_bytes"), F.lit(1)))
-    mid = density.groupBy("connector_id").agg(F.median("density").alias("mid"), F.count("*").alias("n")).where(F.col("n") >= least)
-    found = density.join(mid, "connector_id").where((F.col("density") > factor * F.col("mid")) | (F.col("density") * factor < F.col("mid")))
-    return found.select("connector_id", "doc_id", "density")
+def outliers(documents: DataFrame, factor: float = 3.0, least: int = 5, shown: int = 10) -> DataFrame:
+    """The `shown` documents of each connector whose chunks a kilobyte are furthest from the median, `factor` times it or a `factor`th.
+
+    Documents of no size say nothing and count nowhere; `n` is how many there are in all.
+    """
+    density = documents.where("size_bytes > 0").withColumn("density", F.col("chunks") * 1024 / F.col("size_bytes"))
+    mid = density.groupBy("connector_id").agg(F.median("density").alias("mid"), F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("mid") > 0))
+    found = density.join(mid.drop("n"), "connector_id").where((F.col("density") > factor * F.col("mid")) | (F.col("density") < F.col("mid") / factor))
+    far = F.round(F.coalesce(F.abs(F.ln(F.col("density") / F.col("mid"))), F.lit(float("inf"))), 9)
+    w = Window.partitionBy("connector_id")
+    placed = found.withColumn("place", F.row_number().over(w.orderBy(F.desc(far), "doc_id"))).withColumn("n", F.count("*").over(w))
+    return placed.where(F.col("place") <= shown).select("connector_id", "doc_id", "density", "place", "n")
+
+
+#: Ranges of values in which `spread` numbers rows: one small row each.
+RANGES = 1024
 
 
 def spread(rows: DataFrame, count: int, by: str = "id") -> DataFrame:
-    """An even sample: the rows numbered floor(i * n / count) in the order of `by`, without sorting all of them in one task."""
-    ranged = rows.repartitionByRange(by).withColumn("_p", F.spark_partition_id())
+    """An even sample: the rows numbered floor(i * n / count) in the order of `by` (whole numbers), without sorting all of them in one task.
+
+    Rows are numbered within equal ranges of values, which the rows' own values name, so every reading gives
+    the same numbers; the ranges' counts, RANGES rows at most, say where each begins.
+    """
+    ends = rows.agg(F.min(by).alias("_low"), F.max(by).alias("_high"))
+    ranged = rows.crossJoin(F.broadcast(ends)).withColumn("_p", F.expr(f"int(least({RANGES - 1}, floor(({by} - _low) * {RANGES}.0D / (_high - _low + 1))))"))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    base = sizes.withColumn("_base", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy()))
+    base = sizes.withColumn("_base", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy())).drop("_c")
     numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(by)) - 1)
     numbered = numbered.join(F.broadcast(base), "_p").withColumn("_i", F.col("_i") + F.col("_base"))
     picked = F.floor((F.floor(F.col("_i") * count / F.col("_n")) + F.when((F.col("_i") * count) % F.col("_n") == 0, 0).otherwise(1)) * F.col("_n") / count)

@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import strings
 from quillspark.operators import evaluation, ledgers, lifecycle, memory, metrics, retrieval, text
+from quillspark.plans.registry import query
 from quillspark.sources.tables import SQL_REQUESTS, requests, scoped, table
 from quillspark.streaming import limits
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 WINDOW = metrics.Filters("2024-01-05", "2024-01-20")
 IN = WINDOW.sql()
 NOW = "2024-02-01 00:00:00"
 R = f"with {SQL_REQUESTS}"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _pct(col: str, prefix: str) -> str:
     return ", ".join(f"cast(quantile_disc({col}, {p}) as int) as {prefix}_{n}" for n, p in metrics.P)
 
@@ -269,20 +256,21 @@ def limit_ceilings(spark, sf):
     return ledgers.ceilings(rows, ("rpm", "tpm"))
 
 
-_NEW = "select o_orderkey as key, o_orderkey % 5 as etag from orders where o_orderkey % 11 <> 0"
-_OLD = "select o_orderkey as key, case when o_orderkey % 13 = 0 then -1 else o_orderkey % 5 end as etag, case when o_orderkey % 17 = 0 then 'parsing' else 'indexed' end as status from orders where o_orderkey % 7 <> 0"
+_ETAG = "case when o_orderkey % 5 > 0 then o_orderkey % 5 end"
+_STATUS = "case when o_orderkey % 17 = 0 then 'parsing' when o_orderkey % 17 = 1 then 'skipped' when o_orderkey % 17 > 2 then 'indexed' end"
+_NEW = f"select o_orderkey as key, {_ETAG} as etag from orders where o_orderkey % 11 <> 0"
+_OLD = f"select o_orderkey as key, case when o_orderkey % 13 = 0 then -1 else {_ETAG} end as etag, {_STATUS} as status from orders where o_orderkey % 7 <> 0"
 
 
 @query(
-    f"""select coalesce(a.key, b.key) as key, case when b.status is null then 'added' when a.key is null then 'deleted' when b.status not in ('indexed', 'failed') then 'skipped'
+    f"""select coalesce(a.key, b.key) as key, case when b.key is null then 'added' when a.key is null then case when b.status in ('indexed', 'failed', 'skipped') then 'deleted' else 'kept' end
+  when coalesce(b.status not in ('indexed', 'failed', 'skipped'), true) then 'skipped'
   when a.etag is not distinct from b.etag then 'unchanged' else 'updated' end as action from ({_NEW}) a full join ({_OLD}) b on a.key = b.key"""
 )
 def lifecycle_reconcile(spark, sf):
     rows = table(spark, sf, "orders")
-    listing = rows.where("o_orderkey % 11 <> 0").selectExpr("o_orderkey as key", "o_orderkey % 5 as etag")
-    known = rows.where("o_orderkey % 7 <> 0").selectExpr(
-        "o_orderkey as key", "case when o_orderkey % 13 = 0 then -1 else o_orderkey % 5 end as etag", "case when o_orderkey % 17 = 0 then 'parsing' else 'indexed' end as status"
-    )
+    listing = rows.where("o_orderkey % 11 <> 0").selectExpr("o_orderkey as key", f"{_ETAG} as etag")
+    known = rows.where("o_orderkey % 7 <> 0").selectExpr("o_orderkey as key", f"case when o_orderkey % 13 = 0 then -1 else {_ETAG} end as etag", f"{_STATUS} as status")
     return lifecycle.reconcile(listing, known)
 
 
@@ -362,11 +350,11 @@ def _points(spark, sf):
 
 
 def _asked(spark, sf):
-    return table(spark, sf, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 _COS = "round(list_cosine_similarity(q.embedding::double[], p.embedding::double[]), 6)"
-_KNN = f"select q.vec_id as query_id, p.vec_id as id, {_COS} as score from embeddings q join embeddings p on q.vec_id < 20"
+_KNN = f"select q.vec_id as query_id, p.vec_id as id, {_COS} as score from embeddings q join embeddings p on q.vec_id % 50 = 0"
 
 
 @query(f"select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank, score from ({_KNN}) qualify rank <= 10")
@@ -396,9 +384,13 @@ def audit_norms(spark, sf):
     return retrieval.norms(_points(spark, sf))
 
 
-@query("select count(*) as points, min(vec_id) as first_id from embeddings group by list_transform(embedding, lambda x: round(x::double, 6)) having count(*) > 1")
+@query(
+    """with v as (select vec_id as id, [round(embedding[1]::double, 1), 0.5] as e, sha256(cast(label as varchar)) as h from embeddings)
+select count(*) as points, count(distinct h) as texts, min(id) as first_id from v group by e having count(distinct h) > 1"""
+)
 def audit_identical(spark, sf):
-    return retrieval.identical(_points(spark, sf).select("id", "embedding"))
+    vectors = F.expr("array(round(cast(embedding[0] as double), 1), 0.5D)")
+    return retrieval.identical(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), vectors.alias("embedding"), F.sha2(F.col("label").cast("string"), 256).alias("text_hash")))
 
 
 def _tokens(text: str) -> str:
@@ -442,12 +434,13 @@ def audit_histogram(spark, sf):
     return retrieval.histogram(_line_chunks(spark, sf), 400)
 
 
-_DENSE = "select o_custkey % 5 as connector_id, o_orderkey as doc_id, (o_orderkey % 40) * 1024 / greatest(o_orderkey * 37 % 9000, 1) as density from orders"
+_DENSE = "select o_custkey % 5 as connector_id, o_orderkey as doc_id, (o_orderkey % 40) * 1024 / (o_orderkey * 37 % 9000) as density from orders where o_orderkey * 37 % 9000 > 0"
 
 
 @query(
-    f"""with d as ({_DENSE}), m as (select connector_id, median(density) as mid from d group by 1 having count(*) >= 5)
-select connector_id, doc_id, density from d join m using (connector_id) where density > 3 * mid or density * 3 < mid"""
+    f"""with d as ({_DENSE}), m as (select connector_id, median(density) as mid from d group by 1 having count(*) >= 5 and median(density) > 0),
+o as (select *, round(case when density > 0 then abs(ln(density / mid)) else 'inf'::double end, 9) as far from d join m using (connector_id) where density > 3 * mid or density < mid / 3)
+select connector_id, doc_id, density, row_number() over (partition by connector_id order by far desc, doc_id) as place, count(*) over (partition by connector_id) as n from o qualify place <= 10"""
 )
 def audit_outliers(spark, sf):
     docs = table(spark, sf, "orders").selectExpr("o_custkey % 5 as connector_id", "o_orderkey as doc_id", "o_orderkey % 40 as chunks", "o_orderkey * 37 % 9000 as size_bytes")
@@ -459,21 +452,23 @@ def audit_spread(spark, sf):
     return retrieval.spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), 97)
 
 
-_LISTS = "select l_orderkey as item_id, list(l_partkey order by l_linenumber, l_partkey, l_returnflag) as retrieved, list(l_partkey order by l_linenumber, l_partkey, l_returnflag) filter (l_returnflag = 'R') as relevant from lineitem group by 1"
+_LISTS = "select l_orderkey as item_id, l_orderkey % 11 = 0 as negative, case when l_orderkey % 22 <> 0 then list(l_partkey order by l_linenumber, l_partkey, l_returnflag) else [] end as retrieved, list(l_partkey order by l_linenumber, l_partkey, l_returnflag) filter (l_returnflag = 'R') as relevant from lineitem group by 1"
 
 
 def _items(spark, sf):
     line = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag")))
     rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("item_id")).agg(line.alias("s"))
-    return rows.select("item_id", F.col("s.l_partkey").alias("retrieved"), F.transform(F.filter("s", lambda x: x["l_returnflag"] == "R"), lambda x: x["l_partkey"]).alias("relevant"))
+    found = F.when(F.col("item_id") % 22 != 0, F.col("s.l_partkey"))
+    return rows.select("item_id", (F.col("item_id") % 11 == 0).alias("negative"), found.alias("retrieved"), F.transform(F.filter("s", lambda x: x["l_returnflag"] == "R"), lambda x: x["l_partkey"]).alias("relevant"))
 
 
 def _scored_sql(k: int) -> str:
-    return f"""select item_id, len(rel) = 0 as negative, case when len(rel) > 0 then len(list_intersect(list_distinct(top), rel)) / len(rel) end as recall,
-  case when len(rel) = 0 then cast(len(top) = 0 as double) else coalesce(len(good) / nullif(len(top), 0), 0.0) end as precision,
-  case when len(rel) > 0 then coalesce(1 / good[1], 0.0) end as rr, case when len(rel) > 0 then cast(len(good) > 0 as double) end as hit
+    said = "len(rel) > 0 and not negative"
+    return f"""select item_id, negative, case when {said} then len(list_intersect(list_distinct(top), rel)) / len(rel) end as recall,
+  case when negative then cast(len(top) = 0 as double) when {said} then coalesce(len(good) / nullif(len(top), 0), 0.0) end as precision,
+  case when {said} then coalesce(1 / good[1], 0.0) end as rr, case when {said} then cast(len(good) > 0 as double) end as hit
 from (select *, list_filter(range(1, len(top) + 1), lambda i: list_contains(rel, top[i])) as good
-  from (select item_id, retrieved[1:{k}] as top, coalesce(list_distinct(relevant), []) as rel from ({_LISTS})))"""
+  from (select item_id, negative, retrieved[1:{k}] as top, coalesce(list_distinct(relevant), []) as rel from ({_LISTS})))"""
 
 
 @query(_scored_sql(3))
@@ -506,14 +501,14 @@ def _facts(spark, sf):
     )
 
 
-_FACTS = f"""with f as (select user_id as end_user_id, event_id as fact_id, (event_id % 10) / 10.0::double as confidence, (event_id % 7) / 7.0::double as similarity, event_id % 50 = 1 as always,
+_FACTS = f"""with f as (select user_id as end_user_id, event_id as fact_id, (event_id % 10) / 10.0::double as confidence, (event_id % 7) / 7.0::double as similarity, event_id % 50 = 1 as always, ts,
   event_id % 9 <> 0 and (event_id % 4 <> 0 or ts + interval 20 days > timestamp '{NOW}') as live,
   power(0.5::double, greatest(0, epoch(timestamp '{NOW}') - floor(epoch(ts))) / 86400 / 90) as recency from events)"""
 
 
 @query(
     f"""{_FACTS}, s as (select *, round(similarity * confidence * recency, 9) as score from f where live)
-select end_user_id, fact_id, row_number() over (partition by end_user_id order by always desc, score desc, fact_id) as place, score from s qualify place <= 5"""
+select end_user_id, fact_id, row_number() over (partition by end_user_id order by always desc, case when always then ts end desc nulls last, case when not always then score end desc, fact_id) as place, score from s qualify place <= 5"""
 )
 def memory_recall(spark, sf):
     return memory.recall(_facts(spark, sf), F.lit(NOW).cast("timestamp_ntz"), 5)
@@ -521,10 +516,11 @@ def memory_recall(spark, sf):
 
 @query(
     f"""{_FACTS}, s as (select *, row_number() over (partition by end_user_id order by live desc, round(confidence * recency, 9) desc, fact_id desc) as place from f)
-select end_user_id, fact_id from s where (live and place > 20) or (not live and place > 40)"""
+select end_user_id, fact_id from (select *, count(*) filter (live) over (partition by end_user_id) as n from s)
+where case when n > 6 then place > 6 else not live and place > 12 end"""
 )
 def memory_over_budget(spark, sf):
-    return memory.over_budget(_facts(spark, sf), F.lit(NOW).cast("timestamp_ntz"), 20)
+    return memory.over_budget(_facts(spark, sf), F.lit(NOW).cast("timestamp_ntz"), 6)
 
 
 @query(
@@ -551,7 +547,7 @@ def memory_session_keys(spark, sf):
 
 
 @query(
-    """with n as (select *, cast(length(coalesce(text, '')) as int) as n, row_number() over (partition by conv_id order by turn desc) as p from conversations)
+    """with n as (select *, cast(length(coalesce(text, '')) + length(coalesce(role, '')) + 2 as int) as n, row_number() over (partition by conv_id order by turn desc) as p from conversations)
 select conv_id, turn, role, n from (select *, sum(n) over (partition by conv_id order by turn desc rows unbounded preceding) as used from n) where used <= 600 or p = 1"""
 )
 def memory_tail(spark, sf):

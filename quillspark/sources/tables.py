@@ -57,3 +57,47 @@ SQL_REQUESTS = (
     "r as (select " + ", ".join(f"{_duck(e)} as {c}" for c, e in REQUESTS.items())
     + " from (select *, cast(json_extract_string(props, '$.k') as int) as k from events))"
 )
+
+
+#: Documents of connectors: one row per order, every column an expression.
+DOCUMENTS = {
+    "id": "o_orderkey",
+    "organization_id": "o_custkey % 4",
+    "connector_id": "o_custkey % 25",
+    "source_uri": "concat('drop/', cast(o_orderkey as string), '.txt')",
+    "etag": "o_orderkey % 5",
+    "status": "case o_orderkey % 7 when 0 then 'failed' when 1 then 'parsing' when 2 then 'skipped' else 'indexed' end",
+    "reason": "case when o_orderkey % 7 = 0 then case o_orderkey % 3 when 0 then 'missing_object' when 1 then 'too_large' end end",
+    "mime_type": "case o_orderkey % 8 when 0 then 'text/html' when 1 then 'application/pdf' when 2 then 'text/markdown' when 3 then 'application/x-unknown' when 4 then 'text/plain' when 5 then 'text/x-python' when 6 then 'text/csv' end",
+    "size_bytes": "o_orderkey * 37 % 9000",
+    "chunks": "o_orderkey % 40",
+    "index_fingerprint": "case when o_orderkey % 5 > 1 then concat('ch=', cast(o_orderkey % 3 as string), ';em=m', cast(o_custkey % 2 as string), ';tk=w;sm=n;xv=1') when o_orderkey % 5 = 1 then 'old' end",
+    "index_status": "case o_orderkey % 4 when 0 then 'stale' when 1 then 'reprocessing' else 'current' end",
+    "run_id": "case when o_orderkey % 9 = 0 then o_custkey % 3 end",
+}
+
+#: Transcripts of requests: one row per event whose bodies are kept.
+TRANSCRIPTS = {
+    "id": "event_id",
+    "created_at": "ts",
+    "session_id": "case when k % 5 > 0 then concat('s', cast(k % 4 as string)) end",
+    "request_body": "case when k % 3 > 0 then concat(case when event_id % 2 = 0 then 'What is  Café' else 'what is cafe' end, ' no. ', cast(k as string), '?') end",
+    "response_body": "concat('answer ', event_type)",
+    "distilled_at": "case when k % 4 = 0 then ts end",
+}
+
+
+def documents_of_connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(*(F.expr(e).alias(c) for c, e in DOCUMENTS.items()))
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return events.select(*(F.expr(e).alias(c) for c, e in TRANSCRIPTS.items()))
+
+
+SQL_DOCUMENTS = "d as (select " + ", ".join(f"{_duck(e)} as {c}" for c, e in DOCUMENTS.items()) + " from orders)"
+SQL_TRANSCRIPTS = (
+    "t as (select " + ", ".join(f"{_duck(e)} as {c}" for c, e in TRANSCRIPTS.items())
+    + " from (select *, cast(json_extract_string(props, '$.k') as int) as k from events))"
+)

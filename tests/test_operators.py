@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import strings
 from quillspark.operators import evaluation, lifecycle, metrics, retrieval, text
-from quillspark.plans.queries import QUERIES
+import quillspark.plans.all  # noqa: F401
+from quillspark.plans.registry import QUERIES
 from quillspark.streaming import limits
 
 
@@ -23,10 +24,11 @@ def test_intervals():
 
 
 def test_item_scores(spark):
-    items = [(1, [1, 2, 3, 4, 5, 6], [2, 5, 9]), (2, [], []), (3, [1], []), (4, None, [7]), (5, [1, 2, 3, 4, 5, 6, 7], [7])]
-    got = {r["item_id"]: tuple(r)[1:] for r in evaluation.scored(spark.createDataFrame(items, "item_id int, retrieved array<bigint>, relevant array<bigint>"), 6).collect()}
+    items = [(1, False, [1, 2, 3, 4, 5, 6], [2, 5, 9]), (2, True, [], []), (3, True, [1], []), (4, None, None, [7]), (5, False, [1, 2, 3, 4, 5, 6, 7], [7]), (6, False, [1], [])]
+    got = {r["item_id"]: tuple(r)[1:] for r in evaluation.scored(spark.createDataFrame(items, "item_id int, negative boolean, retrieved array<bigint>, relevant array<bigint>"), 6).collect()}
     assert got[1] == (False, pytest.approx(2 / 3), pytest.approx(2 / 6), 0.5, 1.0)
     assert got[2] == (True, None, 1.0, None, None) and got[3] == (True, None, 0.0, None, None)
+    assert got[6] == (False, None, None, None, None)
     assert got[4] == (False, 0.0, 0.0, 0.0, 0.0) and got[5] == (False, 0.0, 0.0, 0.0, 0.0)
 
 
@@ -69,14 +71,16 @@ def test_dedupe(spark):
         (1, 5, 7, 5, 1, 0.5, "a", "summary"), (1, 6, 9, 1, 3, 0.4, "d", "source"), (1, 7, 9, 4, 1, 0.3, "e", "source"), (2, 8, 7, 5, 1, 0.9, "a", "source"),
     ]
     df = spark.createDataFrame(rows, "query_id bigint, id bigint, document_id bigint, chunk_index int, radius int, score double, text string, kind string")
-    assert sorted(r["id"] for r in retrieval.dedupe(df).collect()) == [1, 3, 5, 6, 8]
+    assert sorted(r["id"] for r in retrieval.dedupe(df).collect()) == [1, 3, 4, 5, 6, 8]
+    empty = spark.createDataFrame([(1, k, 7, 10 * k, 1, 0.9, None, "source") for k in range(3)], df.schema)
+    assert retrieval.dedupe(empty).count() == 3
 
 
-def test_knn_refuses_an_unbounded_query_set(spark):
-    points = spark.createDataFrame([(1, [1.0])], "id bigint, embedding array<float>")
+def test_knn_takes_any_number_of_queries(spark):
+    points = spark.createDataFrame([(1, [1.0]), (2, [-1.0])], "id bigint, embedding array<float>")
     queries = spark.range(retrieval.MAX_QUERIES + 1).selectExpr("id as query_id", "array(1.0F) as query")
-    with pytest.raises(Exception, match="more than"):
-        retrieval.knn(points, queries, 1).collect()
+    got = retrieval.knn(points, queries, 1).collect()
+    assert {tuple(r)[1:] for r in got} == {(1, 1, 1.0)} and {r["query_id"] for r in got} == set(range(retrieval.MAX_QUERIES + 1))
 
 
 def test_extractors():
@@ -84,7 +88,10 @@ def test_extractors():
     assert text.html_sections(page) == [("A", "A\none two"), ("A > B", "B\nthree"), ("C", "C")]
     assert text.markdown_sections("# A\nx\n```\n# no\n```\n## B\ny") == [("A", "# A\nx\n```\n# no\n```"), ("A > B", "## B\ny")]
     assert text.json_sections('{"a": {"b": [1, null, {"c": "x"}]}}') == [("", "a.b.0: 1\na.b.2.c: x")]
-    assert text.jsonl_sections('{"a": 1}\nbad\n{"a": 2}') == [("", "a: 1"), ("", "a: 2")]
+    assert text.jsonl_sections('{"a": 1}\nbad\n{"a": 2}') == [("", "a: 1\n\na: 2")]
+    assert text.markdown_sections("# A\n```\n~~~\n# no\n```\n### C\ny\n## B") == [("A", "# A\n```\n~~~\n# no\n```"), ("A > C", "### C\ny"), ("A > B", "## B")]
+    assert text.html_sections("<h1></h1><dl><dt>a</dt><dd>b</dd></dl>c<hr>d<td>e</td>") == [("", "a\nb\nc\nde")]
+    assert text.csv_sections("n,\na,1,2\n") == [("", "n: a\ncolumn 2: 1\ncolumn 3: 2")]
     assert text.csv_sections("n;v\na;1\n;\nb;") == [("", "n: a\nv: 1\n\nn: b")]
 
 

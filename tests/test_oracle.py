@@ -2,7 +2,8 @@
 
 import pytest
 
-from quillspark.plans.queries import QUERIES, SQL
+import quillspark.plans.all  # noqa: F401
+from quillspark.plans.registry import QUERIES, SQL
 from tests.oracle import both
 
 SF = "/root/testdata/sf0.01"
