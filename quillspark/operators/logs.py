@@ -23,12 +23,13 @@ def of_session(session_id: str | None) -> Column:
     return F.col("session_id").eqNullSafe(F.lit(session_id).cast("string"))
 
 
-def retrieval_questions(requests: DataFrame, transcripts: DataFrame, limit: int, uncited: bool | None = None) -> DataFrame:
-    """Newest logged requests that retrieved something and whose question was kept, at most `limit`; optionally cited or uncited ones."""
+def retrieval_questions(requests: DataFrame, transcripts: DataFrame, limit: int | None = None, uncited: bool | None = None) -> DataFrame:
+    """Logged requests that retrieved something and whose question was kept, the newest `limit` or all; optionally cited or uncited ones."""
     rows = requests.where("n_retrieved > 0")
     if uncited is not None:
         rows = rows.where("n_cited = 0" if uncited else "n_cited > 0")
-    return rows.join(transcripts.where("request_body is not null"), KEY).orderBy(F.desc("id")).limit(limit)
+    asked = rows.join(transcripts.where("request_body is not null"), KEY)
+    return asked if limit is None else asked.orderBy(F.desc("id")).limit(limit)
 
 
 def log_detail(requests: DataFrame, transcripts: DataFrame, log_id: int) -> DataFrame:

@@ -96,7 +96,7 @@ select key, id, question, case when n_cited > 0 then 'citation' else 'log' end a
 qualify row_number() over (partition by key order by id desc) = 1 order by id desc limit 500"""
 )
 def log_import_questions(spark, sf):
-    found = logs.retrieval_questions(*_within(spark, sf), 10**9).select("id", F.col("request_body").alias("question"), "n_cited")
+    found = logs.retrieval_questions(*_within(spark, sf)).select("id", F.col("request_body").alias("question"), "n_cited")
     return logs.importable(found, transcripts(spark, sf).where("id % 50 = 0 and request_body is not null").select(F.col("request_body").alias("question")), 500)
 
 
