@@ -1,7 +1,8 @@
 """Line-first cleaning with DataFrame functions only.
 
 Every line is judged on its own: it must close with punctuation, must not be a
-navigation or symbol line, must not be shouted and must not be boilerplate.
+navigation line (short items with marks between them) or a symbol line, must not be
+shouted and must not be boilerplate.
 Lines that fail are removed, and a document that loses more than
 `most_lost` percent of its word characters that way is rejected.
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 CLOSED = r"[.!?:;…\"'”»)\]][\x20\x09-\x0D]*$"
+#: A navigation line: three or more short items with marks between them.
+NAVIGATION = "^[^|»›•·>]{1,30}([|»›•·>][^|»›•·>]{1,30}){2,}$"
 #: Phrases of page furniture; a line of at most 30 words that has one is boilerplate.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "enable javascript", "javascript is disabled", "privacy policy",
@@ -38,9 +41,11 @@ def line_fails(line: str) -> str:
     """SQL condition under which a line (a SQL expression) is removed."""
     words = f"size(split({line}, {_sql(BLANK + '+')}))"
     marks = f"length(regexp_replace({line}, {_sql('[^#*$%&|<>]+')}, ''))"
-    phrases = " or ".join(f"contains(lower({line}), '{p}')" for p in BOILERPLATE)
+    # The line is lowered once for all phrases.
+    phrases = f"exists(array(lower({line})), x -> " + " or ".join(f"contains(x, '{p}')" for p in BOILERPLATE) + ")"
     return (
         f"(not ({line} rlike {_sql(CLOSED)})"
+        f" or {line} rlike {_sql(NAVIGATION)}"
         f" or 4 * {marks} >= {words}"
         f" or ({line} = upper({line}) and {line} <> lower({line}) and {words} >= 3)"
         f" or ({words} <= 30 and ({phrases})))"
@@ -107,6 +112,7 @@ def _duck_fails(line: str) -> str:
     closed = CLOSED.replace("'", "\\x27").replace("$", "\\z")
     return (
         f"(not regexp_matches({line}, '{closed}')"
+        f" or regexp_matches({line}, '{NAVIGATION[:-1]}\\z')"
         f" or 4 * length(regexp_replace({line}, '[^#*$%&|<>]+', '', 'g')) >= {words}"
         f" or ({line} = upper({line}) and {line} <> lower({line}) and {words} >= 3)"
         f" or ({words} <= 30 and ({phrases})))"

@@ -185,6 +185,25 @@ def test_quality(spark):
     assert plain(quality_rules.clean(table(spark, ROWS)), *cols) == sorted(((d, *brute.quality(t)) for d, t in PAIRS), key=repr)
 
 
+def test_lines(spark):
+    """Which lines are removed, by the rules read anew in Python."""
+    import re
+
+    lines = [
+        "Home | About us | Contact.", "Home > News > Today!", "A | b.", "It was | as one says | a day of very long and unending walks through the park.", "NO SHOUTING HERE.", "An open line",
+        "Click here to go on.", "* * * $ x.", "« Bien sûr, dit-il. »", "Fine.", "ONE TWO.", "Items • of • a • menu.", "",
+    ]
+    kept = []
+    for x in filter(str.strip, lines):
+        words, marks = len(re.split(r"[\x20\x09-\x0D]+", x)), len(re.findall(r"[#*$%&|<>]", x))
+        items = re.split("[|»›•·>]", x)
+        bad = x.rstrip()[-1] not in ".!?:;…\"'”»)]" or (len(items) >= 3 and all(1 <= len(i) <= 30 for i in items)) or 4 * marks >= words
+        bad = bad or (x == x.upper() and x != x.lower() and words >= 3) or (words <= 30 and any(p in x.lower() for p in quality_rules.BOILERPLATE))
+        kept += [] if bad else [x]
+    row = quality_rules.clean(spark.createDataFrame([(1, "\n".join(lines))], "doc_id bigint, text string")).first()
+    assert row["cleaned"].split("\n") == kept and row["n_lines_removed"] == len(lines) - 1 - len(kept) and "Fine." in kept and len(kept) == 4
+
+
 def test_license(spark):
     rows = [(1, None), (2, ""), (3, "Licensed under the Apache License, Version 2.0.\nSee it."), (4, "SPDX-License-Identifier: MIT")]
     got = plain(license_scan.recognise(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "licenses")
