@@ -20,6 +20,7 @@ benchmark hits nothing; other columns are ignored (`uncontaminated` keeps them).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -67,8 +68,7 @@ class Matcher:
         """Stretches of hit words (first, past the last, ...) and items."""
         if not len(self.auto):
             return [], set()
-        get = self.number.get
-        line = tuple([get(w, 0) for w in words])
+        line = tuple(map(self.number.get, words, repeat(0)))
         ends: list[tuple[int, int]] = []
         items: set[str] = set()
         for last, (length, names) in self.auto.iter(line):
