@@ -173,9 +173,9 @@ def template_fingerprints(log: DataFrame, filters: Filters) -> DataFrame:
 
 
 def calibration(log: DataFrame, filters: Filters, chars_per_token: float = 4.0, drift: float = 0.15) -> DataFrame:
-    """Reported against estimated prompt tokens by model, and the characters a token that would make them agree."""
-    ok = (F.col("status_code") < 400) & F.col("prompt_tokens").isNotNull() & F.col("estimated_prompt_tokens").isNotNull() & F.col("model_name").isNotNull()
-    sums = log.where(filters.column() & ok).groupBy("model_name").agg(
+    """Reported against estimated prompt tokens by model and tokenizer, and the characters a token that would make them agree."""
+    ok = (F.col("status_code") < 400) & F.col("prompt_tokens").isNotNull() & F.col("estimated_prompt_tokens").isNotNull() & F.col("model_name").isNotNull() & F.col("tokenizer").isNotNull()
+    sums = log.where(filters.column() & ok).groupBy("model_name", "tokenizer").agg(
         F.sum("estimated_prompt_tokens").alias("estimated"), F.sum("prompt_tokens").alias("reported"), F.count("*").alias("samples")
     )
     ratio = F.try_divide(F.col("reported"), F.col("estimated"))

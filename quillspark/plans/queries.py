@@ -109,8 +109,8 @@ def metrics_templates(spark, sf):
 
 
 @query(
-    f"""{R}, s as (select model_name, cast(sum(estimated_prompt_tokens) as bigint) as estimated, cast(sum(prompt_tokens) as bigint) as reported, count(*) as samples
-from r where {IN} and status_code < 400 and prompt_tokens is not null and estimated_prompt_tokens is not null and model_name is not null group by 1)
+    f"""{R}, s as (select model_name, tokenizer, cast(sum(estimated_prompt_tokens) as bigint) as estimated, cast(sum(prompt_tokens) as bigint) as reported, count(*) as samples
+from r where {IN} and status_code < 400 and prompt_tokens is not null and estimated_prompt_tokens is not null and model_name is not null and tokenizer is not null group by 1, 2)
 select *, round(reported / estimated, 6) as ratio, abs(reported / estimated - 1) > 0.15 as drifts, round(greatest(1.0, least(20.0, 4.0 / (reported / estimated))), 3) as proposed from s"""
 )
 def metrics_calibration(spark, sf):
@@ -610,6 +610,35 @@ def text_chunks(spark, sf):
     return text.chunk(table(spark, sf, "documents"), "recursive", 250, 20)
 
 
+@query(None)
+def text_chunks_by_heading(spark, sf):
+    return text.chunk(table(spark, sf, "documents"), "by_heading", 250, 20)
+
+
+@query("select event_id, [1, 2, 3, event_id % 9 + 1, event_id % 9 + 2].list_distinct().list_sort() as handles from events")
+def citation_handles(spark, sf):
+    said = F.expr("concat('see [1], [3, 2] and [', event_id % 9 + 1, '-', event_id % 9 + 2, '] ```[77]```')")
+    return table(spark, sf, "events").select("event_id", strings.handles(said).cast("array<bigint>").alias("handles"))
+
+
+@query("select p_partkey, 'a: ' || case when p_partkey % 2 = 0 then 'gateway' else 'platform' end || ', b: ' || p_size as settings from part")
+def settings_layered(spark, sf):
+    """Parameters of three layers; a null layer's value leaves the one below."""
+    low, mid = F.expr("map('a', 'platform', 'b', '0')"), F.expr("map('a', case when p_partkey % 2 = 0 then 'gateway' end)")
+    top = F.expr("map('b', string(p_size))")
+    merged = strings.layered(low, mid, top)
+    return table(spark, sf, "part").select("p_partkey", F.concat(F.lit("a: "), merged["a"], F.lit(", b: "), merged["b"]).alias("settings"))
+
+
+@query(
+    """with s as (select vec_id, label, vec_id % 3 as v from embeddings) select vec_id, label, v from s where label not in (2, 4) union all select vec_id + 100000, label, 9 from s where label in (2, 4) and vec_id % 2 = 0"""
+)
+def lifecycle_replace_document(spark, sf):
+    points = table(spark, sf, "embeddings").selectExpr("vec_id", "label as document_id", "vec_id % 3 as v")
+    new = points.where("document_id in (2, 4) and vec_id % 2 = 0").selectExpr("vec_id + 100000 as vec_id", "document_id", "cast(9 as bigint) as v")
+    return lifecycle.replace_document(points, new).withColumnRenamed("document_id", "label")
+
+
 @query(None)
 def text_sentence_windows(spark, sf):
     return text.chunk(table(spark, sf, "documents"), "sentence_window")

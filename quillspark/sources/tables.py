@@ -21,6 +21,7 @@ REQUESTS = {
     "prompt_tokens": "case when event_type <> 'view' then k * 10 end",
     "completion_tokens": "case when event_type <> 'view' then k * 4 end",
     "estimated_prompt_tokens": "case when k % 5 <> 0 then k * 9 + 3 end",
+    "tokenizer": "case when k % 6 > 0 then concat('tk', cast(k % 2 as string)) end",
     "n_retrieved": "case when event_type <> 'signup' then k % 4 end",
     "n_cited": "k % 2",
     "template": "concat('t', cast(k % 7 as string))",
