@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 OUTCOME = "end_user_id bigint, fact_id bigint, outcome string, of_fact bigint, confidence double"
 
 
-def _cosine(a, b) -> float:
-    a, b = np.asarray(a, float), np.asarray(b, float)
-    n = np.sqrt(a @ a) * np.sqrt(b @ b)
-    return float(a @ b / n) if n else 0.0
+def _unit(v) -> np.ndarray:
+    """A vector of length 1; one without a length stays, and is like nothing."""
+    v = np.asarray(v, float)
+    n = np.sqrt(v @ v)
+    return v / n if n else v
 
 
 def reconcile(facts: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
@@ -28,29 +29,35 @@ def reconcile(facts: DataFrame, candidates: DataFrame, threshold: float) -> Data
     """
 
     def run(mine: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        known = {int(r.fact_id): [r.embedding, float(r.confidence), bool(r.live)] for r in mine.sort_values("fact_id").itertuples()}
-        fresh: list[int] = []
+        mine = mine.sort_values("fact_id")
+        ids = mine["fact_id"].to_numpy()
+        vectors = np.array([_unit(v) for v in mine["embedding"]]) if len(mine) else np.zeros((0, 1))
+        kept = np.ones(len(mine), bool)  # has a vector still
+        known = {int(f): [float(c), bool(x)] for f, c, x in zip(ids, mine["confidence"], mine["live"], strict=True)}
+        fresh: dict[int, np.ndarray] = {}
         out = []
         for c in new.sort_values(["place", "candidate_id"]).itertuples():
-            same = next((f for f in fresh if _cosine(c.embedding, known[f][0]) >= threshold), None)
-            if same is None:
-                near = [(-_cosine(c.embedding, v), f) for f, (v, _, _) in known.items() if f not in fresh and v is not None]
-                if near and -min(near)[0] >= threshold:
-                    same = min(near)[1]
-            if same is not None and known[same][2]:
-                had = known[same][1]
-                known[same][1] = min(1.0, max(had, had + (1 - had) / 3, float(c.confidence)))
-                out.append((c.end_user_id, int(c.candidate_id), "deduped", same, known[same][1]))
+            v = _unit(c.embedding)
+            same = next((f for f, x in fresh.items() if x @ v >= threshold), None)
+            if same is None and kept.any():
+                near = np.where(kept, vectors @ v, -2.0)
+                best = int(near.argmax())
+                same = int(ids[best]) if near[best] >= threshold else None
+            if same is not None and known[same][1]:
+                had = known[same][0]
+                known[same][0] = min(1.0, max(had, had + (1 - had) / 3, float(c.confidence)))
+                out.append((c.end_user_id, int(c.candidate_id), "deduped", same, known[same][0]))
                 continue
             written = int(c.candidate_id)
-            known[written] = [c.embedding, float(c.confidence), True]
-            fresh.append(written)
+            known[written] = [float(c.confidence), True]
+            fresh[written] = v
             out.append((c.end_user_id, written, "inserted", None, float(c.confidence)))
             for old in dict.fromkeys(c.supersedes if c.supersedes is not None else []):
-                if int(old) in known and known[int(old)][2] and int(old) != written:
-                    known[int(old)][2] = False
-                    known[int(old)][0] = None  # a retired fact keeps its row and loses its vector
-                    out.append((c.end_user_id, int(old), "superseded", written, known[int(old)][1]))
+                if int(old) in known and known[int(old)][1] and int(old) != written:
+                    known[int(old)][1] = False
+                    kept[ids == old] = False  # a retired fact keeps its row and loses its vector
+                    fresh.pop(int(old), None)
+                    out.append((c.end_user_id, int(old), "superseded", written, known[int(old)][0]))
         return pd.DataFrame(out, columns=[x.split()[0] for x in OUTCOME.split(", ")]).astype({"of_fact": "Int64"})
 
     # Own names for both sides: they may come from one table.
