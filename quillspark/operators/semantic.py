@@ -46,7 +46,7 @@ def distances(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spans.schema)
     with_vectors = spans.mapInPandas(embedded, f"{fields}, embedding array<double>")
     before = F.lag("embedding").over(Window.partitionBy(key).orderBy("section", "place"))
-    return with_vectors.withColumn("distance", F.round(1 - cosine(before, F.col("embedding")), 9)).drop("embedding")
+    return with_vectors.withColumn("distance", F.when(before.isNotNull(), F.round(1 - cosine(before, F.col("embedding")), 9))).drop("embedding")
 
 
 def nearest_rank(values: Column, percentile: int) -> Column:
