@@ -80,3 +80,12 @@ def log_entry(chunk: dict[str, Column], injected: Column, dropped: Column) -> Co
     }
     plain = [F.round(c, 6).alias(n) if n == "score" else c.alias(n) for n, c in chunk.items() if n not in extra]
     return F.to_json(F.struct(*plain, injected.alias("injected"), *(c.alias(n) for n, c in extra.items())))
+
+
+def retry_decision(attempt: Column, permanent: Column, error: Column, most: int = 5, base_seconds: float = 2.0, cap_seconds: float = 300.0) -> Column:
+    """action, reason, ceiling_seconds: dead for a permanent error or after the last attempt, else a retry within a doubling, capped delay."""
+    first_line = F.substring(F.regexp_extract(F.trim(error), r"^[^\r\n]*", 0), 1, 500)
+    spent = F.concat(F.lit("failed after "), attempt.cast("string"), F.lit(" attempts: "), first_line)
+    reason = F.when(permanent, error).when(attempt >= most, spent)
+    ceiling = F.least(F.lit(base_seconds) * F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt - 1)), F.lit(cap_seconds))
+    return F.struct(F.when(reason.isNull(), "retry").otherwise("dead").alias("action"), reason.alias("reason"), F.when(reason.isNull(), ceiling).alias("ceiling_seconds"))

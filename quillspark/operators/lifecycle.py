@@ -35,11 +35,12 @@ def orphans(things: DataFrame, owners: DataFrame, key: str) -> DataFrame:
     return things.join(owners.select(key), key, "left_anti")
 
 
-def retention(partitions: DataFrame, today: str, metadata_days: int, body_days: int) -> DataFrame:
-    """day and what happens to it: drop all, strip bodies, or keep; null windows keep forever."""
+def retention(partitions: DataFrame, today: str, metadata_days: int, body_days: int, floor: str | None = None) -> DataFrame:
+    """day and what happens to it: drop all, strip bodies, or keep; null windows keep forever, days before `floor` were done before."""
     day = F.col("day")
     before = lambda n: day < F.date_sub(F.lit(today).cast("date"), n)
-    return partitions.select("day", F.when(before(metadata_days), "drop").when(before(body_days), "strip").otherwise("keep").alias("action"))
+    settled = F.lit(False) if floor is None else day < F.lit(floor).cast("date")
+    return partitions.select("day", F.when(settled, "keep").when(before(metadata_days), "drop").when(before(body_days), "strip").otherwise("keep").alias("action"))
 
 
 def missing_days(existing: DataFrame, today: str, ahead: int, behind: int) -> DataFrame:
@@ -48,6 +49,13 @@ def missing_days(existing: DataFrame, today: str, ahead: int, behind: int) -> Da
     return calendar.join(existing.select("day"), "day", "left_anti")
 
 
+def partition_plan(existing: DataFrame, today: str, ahead: int, behind: int, keep_days: int) -> DataFrame:
+    """action and day: partitions to create around today, and those past `keep_days` to drop."""
+    old = existing.where(F.col("day") < F.date_sub(F.lit(today).cast("date"), keep_days))
+    create = missing_days(existing, today, ahead, behind).select(F.lit("create").alias("action"), "day")
+    return create.unionByName(old.select(F.lit("drop").alias("action"), "day"))
+
+
 def runway(existing: DataFrame, today: str) -> DataFrame:
     """days_ahead: how many days from `today` on are there without a gap. One row a day: a small window."""
     later = existing.where(F.col("day") >= F.lit(today).cast("date")).select("day").distinct()

@@ -25,6 +25,11 @@ def recall(facts: DataFrame, now: Column, k: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("end_user_id", "fact_id", "place", "score")
 
 
+def similar(facts: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
+    """Live facts among vector hits (fact_id, score), with the score as similarity; vectors whose fact is gone or closed drop out."""
+    return facts.where(live(now)).join(hits.select("fact_id", F.col("score").alias("similarity")), "fact_id")
+
+
 def over_budget(facts: DataFrame, now: Column, bound: int) -> DataFrame:
     """Facts to evict, dead ones before live ones.
 

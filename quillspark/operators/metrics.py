@@ -7,6 +7,7 @@ are exact and discrete (the ceil rule), null on no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +33,19 @@ class Filters:
     search: str | None = None
     uncited: bool | None = None
     template: str | None = None
+    session: str | None = None
+
+    def __post_init__(self):
+        days = (datetime.fromisoformat(self.end) - datetime.fromisoformat(self.start)).total_seconds() / 86400
+        if not 0 < days <= MAX_WINDOW_DAYS:
+            raise ValueError(f"the window must end after it starts and span at most {MAX_WINDOW_DAYS} days")
+        if self.status_class not in (None, "2xx", "3xx", "4xx", "5xx"):
+            raise ValueError(f"unknown status class {self.status_class!r}")
 
     def column(self) -> Column:
         at = F.col("created_at")
         out = (at >= F.lit(self.start).cast("timestamp_ntz")) & (at < F.lit(self.end).cast("timestamp_ntz"))
-        for name in ("gateway_id", "model_name", "end_user_id", "streamed", "template"):
+        for name in ("gateway_id", "model_name", "end_user_id", "streamed", "template", "session"):
             if (v := getattr(self, name)) is not None:
                 out &= F.col(name) == v
         if self.status_class:
@@ -45,7 +54,8 @@ class Filters:
         if self.min_latency_ms is not None:
             out &= F.col("latency_total_ms") >= self.min_latency_ms
         if self.search:
-            out &= F.contains(F.lower(F.coalesce("error_code", F.lit(""))), F.lit(self.search.lower()))
+            wanted = F.lit(self.search.lower())
+            out &= F.contains(F.lower(F.coalesce("error_code", F.lit(""))), wanted) | F.contains(F.lower(F.coalesce("error_message", F.lit(""))), wanted)
         if self.uncited is not None:
             out &= injected() & (F.col("n_cited") == 0 if self.uncited else F.col("n_cited") > 0)
         return out
@@ -55,14 +65,15 @@ class Filters:
         out = [f"created_at >= timestamp '{self.start}'", f"created_at < timestamp '{self.end}'"]
         for f in fields(self):
             v = getattr(self, f.name)
-            if f.name in ("gateway_id", "model_name", "end_user_id", "streamed", "template") and v is not None:
+            if f.name in ("gateway_id", "model_name", "end_user_id", "streamed", "template", "session") and v is not None:
                 out.append(f"{f.name} = {v!r}")
         if self.status_class:
             out.append(f"status_code // 100 = {self.status_class[0]}")
         if self.min_latency_ms is not None:
             out.append(f"latency_total_ms >= {self.min_latency_ms}")
         if self.search:
-            out.append(f"contains(lower(coalesce(error_code, '')), '{self.search.lower()}')")
+            wanted = self.search.lower().replace("'", "''")
+            out.append(f"(contains(lower(coalesce(error_code, '')), '{wanted}') or contains(lower(coalesce(error_message, '')), '{wanted}'))")
         if self.uncited is not None:
             out.append(f"status_code < 400 and coalesce(n_retrieved, 0) > 0 and n_cited {'= 0' if self.uncited else '> 0'}")
         return " and ".join(out)
@@ -155,6 +166,12 @@ def timeseries(log: DataFrame, filters: Filters, metric: str, interval_seconds:
     return wide.select(F.col("w.start").alias("bucket"), "grouping", F.expr(f"stack({len(named)}, {stack}) as (series, value)")).where("value is not null")
 
 
+def wide(series: DataFrame) -> DataFrame:
+    """bucket and a map from `group.series` (the series alone, if ungrouped) to its value."""
+    name = F.concat(F.coalesce(F.concat("grouping", F.lit(".")), F.lit("")), F.col("series"))
+    return series.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct(name.alias("name"), "value"))).alias("values"))
+
+
 def taxonomy(log: DataFrame, filters: Filters) -> DataFrame:
     """Requests by status class, error code and model."""
     keys = [status_class().alias("status_class"), F.coalesce("error_code", F.lit("")).alias("error_code"), grouping("model").alias("model_name")]

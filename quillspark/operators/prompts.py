@@ -174,3 +174,29 @@ def footer(citations: DataFrame, key: str) -> DataFrame:
     line = F.concat(F.lit("["), F.col("handle").cast("string"), F.lit("] "), F.col("label"))
     lines = citations.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("l"))
     return lines.select(key, F.concat(F.lit(f"\n\n{SOURCES_HEADING}\n"), F.array_join(F.col("l.line"), "\n")).alias("footer"))
+
+
+def delivered(answers: DataFrame, mode: str, prefix: Column | None = None, suffix: Column | None = None) -> DataFrame:
+    """id, text, citations, unresolved: answers (id, text, injected, cited, unresolved, spans, footer) as a client gets them.
+
+    off leaves the text alone, metadata adds the handles beside it, footer takes unresolved handles out and puts the
+    sources below.  Where nothing was injected no mode does anything.  Prefix and suffix go around the text in every mode.
+    """
+    if mode not in ("off", "metadata", "footer"):
+        raise ValueError(f"unknown citation mode {mode!r}")
+    some = F.col("injected") > 0
+    none = F.lit(None).cast("array<int>")
+    body = F.when(some, F.concat(without(F.col("text"), F.col("spans"), F.col("unresolved")), F.coalesce("footer", F.lit("")))).otherwise(F.col("text")) if mode == "footer" else F.col("text")
+    around = [c for c in (prefix, body, suffix) if c is not None]
+    beside = lambda c: F.when(some, F.col(c)) if mode == "metadata" else none
+    return answers.select("id", F.concat(*around).alias("text"), beside("cited").alias("citations"), beside("unresolved").alias("unresolved"))
+
+
+def without(text: Column, spans: Column, unresolved: Column) -> Column:
+    """The text with handles of unresolved numbers only taken out; spans are in order and apart."""
+    hollow = F.filter(spans, lambda s: F.forall(F.transform(F.regexp_extract_all(F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit(r"\d+"), F.lit(0)), lambda n: n.cast("int")), lambda n: F.array_contains(unresolved, n)))
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
+    done = F.aggregate(
+        hollow, start, lambda a, s: F.struct(F.concat(a["kept"], F.substring(text, a["at"] + 1, s["start"] - a["at"])).alias("kept"), s["end"].alias("at"))
+    )
+    return F.concat(done["kept"], F.substring(text, done["at"] + 1, F.length(text)))

@@ -130,3 +130,9 @@ def still_holds(labels: DataFrame, chunks: DataFrame, fold) -> DataFrame:
     """label_id, holds: the label's chunk is there and contains its folded text."""
     found = chunks.select("chunk_id", fold(F.col("text")).alias("body"))
     return labels.join(found, "chunk_id", "left").select("label_id", F.coalesce(F.contains("body", fold(F.col("label"))), F.lit(False)).alias("holds"))
+
+
+def reindex_estimate(points: DataFrame, chars_per_token: int = 4) -> DataFrame:
+    """points and tokens that embedding all of them again takes, from the mean length of what was embedded."""
+    mean = F.coalesce(F.avg(F.length("text")), F.lit(0.0))
+    return points.groupBy("organization_id").agg(F.count("*").alias("points"), F.floor(F.count("*") * mean / chars_per_token).alias("tokens"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import strings
 from quillspark.operators import evaluation, ledgers, lifecycle, memory, metrics, retrieval, text
-from quillspark.plans.registry import query
+from quillspark.plans.registry import SQL, query
 from quillspark.sources.tables import SQL_REQUESTS, requests, scoped, table
 from quillspark.streaming import limits
 
@@ -45,6 +45,14 @@ def metrics_summary_filtered(spark, sf):
     return metrics.summary(requests(spark, sf), _NARROW)
 
 
+_TALK = metrics.Filters("2024-01-03", "2024-01-25", session="s1", search="5 SAID no")
+
+
+@query(f"{R} {_SUMMARY} {_TALK.sql()})")
+def metrics_summary_of_session(spark, sf):
+    return metrics.summary(requests(spark, sf), _TALK)
+
+
 @query(f"{R} {_SUMMARY} organization_id = 1 and {IN})")
 def metrics_summary_of_organization(spark, sf):
     return metrics.summary(scoped(requests(spark, sf), 1), WINDOW)
@@ -52,7 +60,7 @@ def metrics_summary_of_organization(spark, sf):
 
 @query(f"{R} {_SUMMARY} created_at < timestamp '1999-01-01')")
 def metrics_summary_of_empty_window(spark, sf):
-    return metrics.summary(requests(spark, sf), metrics.Filters("1998-01-01", "1999-01-01"))
+    return metrics.summary(requests(spark, sf), metrics.Filters("1998-01-01", "1998-02-01"))
 
 
 def _series_sql(seconds: int, group: str, named: dict[str, str]) -> str:
@@ -89,6 +97,15 @@ def metrics_timeseries_retrieval(spark, sf):
     return metrics.timeseries(requests(spark, sf), WINDOW, "retrieval", 3600, "gateway")
 
 
+@query(
+    f"""with l as ({SQL["metrics_timeseries_tokens"]}) select bucket, string_agg(coalesce("grouping" || '.', '') || series, ',' order by coalesce("grouping" || '.', '') || series) as names, round(sum(value), 6) as total from l group by 1"""
+)
+def metrics_timeseries_wide(spark, sf):
+    rows = metrics.wide(metrics_timeseries_tokens(spark, sf))
+    total = F.aggregate(F.map_values("values"), F.lit(0.0), lambda a, v: a + v)
+    return rows.select("bucket", F.array_join(F.array_sort(F.map_keys("values")), ",").alias("names"), F.round(total, 6).alias("total"))
+
+
 @query(f"{R} select {_CLASS} as status_class, coalesce(error_code, '') as error_code, coalesce(model_name, '(unknown)') as model_name, count(*) as requests from r where {IN} group by all")
 def metrics_taxonomy(spark, sf):
     return metrics.taxonomy(requests(spark, sf), WINDOW)
@@ -292,6 +309,21 @@ def lifecycle_retention(spark, sf):
     return lifecycle.retention(_days(spark, sf), "2024-01-30", 20, 7)
 
 
+@query(
+    f"""select day, case when day < date '2024-01-05' then 'keep' when day < date '2024-01-30' - 20 then 'drop' when day < date '2024-01-30' - 7 then 'strip' else 'keep' end as action from {_DAYS}"""
+)
+def lifecycle_retention_from(spark, sf):
+    return lifecycle.retention(_days(spark, sf), "2024-01-30", 20, 7, floor="2024-01-05")
+
+
+@query(
+    f"""select 'create' as action, day from (select cast(unnest(generate_series(date '2024-01-15', date '2024-02-10', interval 1 day)) as date) as day) where day not in (select day from {_DAYS})
+union all select 'drop', day from {_DAYS} where day < date '2024-01-25' - 12"""
+)
+def lifecycle_partition_plan(spark, sf):
+    return lifecycle.partition_plan(_days(spark, sf), "2024-01-25", 16, 10, 12)
+
+
 @query(f"select day from (select cast(unnest(generate_series(date '2024-01-15', date '2024-02-10', interval 1 day)) as date) as day) where day not in (select day from {_DAYS})")
 def lifecycle_missing_days(spark, sf):
     return lifecycle.missing_days(_days(spark, sf), "2024-01-25", 16, 10)
@@ -533,6 +565,17 @@ def memory_supersede(spark, sf):
     return memory.supersede(_facts(spark, sf).select("fact_id", "superseded_at"), closings)
 
 
+@query(
+    f"""{_FACTS}, p as (select vec_id, label, round(list_cosine_similarity(embedding::double[], (select embedding from embeddings where vec_id = 0)::double[]), 6) as score from embeddings),
+h as (select * from p where score >= 0.0 order by score desc, vec_id limit 200)
+select fact_id, end_user_id, h.score as similarity from h join f on fact_id = vec_id where live"""
+)
+def memory_similar(spark, sf):
+    asked = _asked(spark, sf).where("query_id = 0")
+    hits = retrieval.knn(_points(spark, sf), asked, 200, 0.0).select(F.col("id").alias("fact_id"), "score")
+    return memory.similar(_facts(spark, sf).drop("similarity"), hits, F.lit(NOW).cast("timestamp_ntz")).select("fact_id", "end_user_id", "similarity")
+
+
 @query("select conv_id, turn, right(text, 4000) as question from conversations where role = 'user' and trim(text) <> '' qualify row_number() over (partition by conv_id order by turn desc) = 1")
 def memory_questions(spark, sf):
     return memory.questions(table(spark, sf, "conversations").dropDuplicates(["conv_id", "turn"]))
@@ -660,7 +703,7 @@ def retrieval_fit(spark, sf):
 
 
 @query(
-    r"""select doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(substring(coalesce(text, ''), 1, 100000),
+    r"""select doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
   '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), 'sk-[A-Za-z0-9]{16,}', '[KEY]', 'g'), '\d{3}-\d{2}-\d{4}', '[SSN]', 'g'), '(?:\d[ -]?){13,16}', '[CARD]', 'g')) as redacted_sha256 from documents"""
 )
 def text_redact(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import payloads
 from quillspark.functions.strings import folded
-from quillspark.operators import filetypes, semantic, threads, upkeep
+from quillspark.operators import filetypes, prompts, semantic, threads, upkeep
 from quillspark.plans.registry import query
 from quillspark.sources.tables import table
 
@@ -258,3 +258,31 @@ def evaluation_reanchored(spark, sf):
 @query()
 def text_chunks_semantic(spark, sf):
     return semantic.chunks(table(spark, sf, "documents").select("doc_id", F.lit(0).alias("section"), "text"), 200, percentile=90, floor=40)
+
+
+@query("select doc_id % 5 as organization_id, count(*) as points, cast(floor(count(*) * coalesce(avg(length(text)), 0) / 4) as bigint) as tokens from documents group by 1")
+def index_reindex_estimate(spark, sf):
+    return upkeep.reindex_estimate(table(spark, sf, "documents").select(F.expr("doc_id % 5").alias("organization_id"), "text"))
+
+
+@query(
+    """select event_id, case when event_id % 7 = 0 or event_id % 8 >= 5 then 'dead' else 'retry' end as action,
+  case when event_id % 7 = 0 then event_type || chr(10) || 'x' when event_id % 8 >= 5 then 'failed after ' || event_id % 8 || ' attempts: ' || event_type end as reason,
+  case when event_id % 7 <> 0 and event_id % 8 < 5 then least(2.0 * power(2, greatest(0, event_id % 8 - 1)), 10.0) end as ceiling_seconds from events"""
+)
+def job_retries(spark, sf):
+    error = F.concat("event_type", F.lit("\nx"))
+    decided = payloads.retry_decision(F.col("event_id") % 8, F.col("event_id") % 7 == 0, error, cap_seconds=10.0)
+    return table(spark, sf, "events").select("event_id", decided.alias("d")).select("event_id", "d.*")
+
+
+_SAID = "'Told in [' || event_id % 7 || '] and [9] twice.'"
+
+
+@query(
+    f"""select event_id as id, '> ' || case when event_id % 3 = 0 then {_SAID} else case when event_id % 7 between 1 and 4 then replace({_SAID}, '[9]', '') else replace(replace({_SAID}, '[9]', ''), '[' || event_id % 7 || ']', '') end
+  || case when event_id % 2 = 0 then chr(10) || 'S' else '' end end as text, cast(null as int[]) as citations, cast(null as int[]) as unresolved from events"""
+)
+def citation_delivered(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.expr("concat('Told in [', event_id % 7, '] and [9] twice.')").alias("text"), F.expr("if(event_id % 3 = 0, 0, 4)").alias("injected"), F.expr("if(event_id % 2 = 0, '\nS', null)").alias("footer"))
+    return prompts.delivered(rows.join(prompts.resolved(rows).select("id", "cited", "unresolved", "spans"), "id"), "footer", prefix=F.lit("> "))

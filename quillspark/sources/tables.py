@@ -14,6 +14,8 @@ REQUESTS = {
     "model_name": "case when k % 11 = 0 then null else concat('m', cast(k % 4 as string)) end",
     "status_code": "case when event_type = 'error' then case when k % 2 = 0 then 429 else 500 end else 200 end",
     "error_code": "case when event_type = 'error' then case when k % 2 = 0 then 'rate_limited' else 'upstream_error' end end",
+    "error_message": "case when event_type = 'error' then concat('upstream ', cast(k % 9 as string), ' said No') end",
+    "session": "case when k % 5 > 0 then concat('s', cast(k % 4 as string)) end",
     "streamed": "k % 3 = 0",
     "latency_total_ms": "cast(floor(value * 10) as int)",
     "latency_ttft_ms": "case when k % 3 = 0 then cast(floor(value * 3) as int) end",

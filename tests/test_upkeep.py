@@ -6,12 +6,13 @@ import re
 import uuid
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import quillspark.plans.all  # noqa: F401
-from quillspark.functions import payloads
+from quillspark.functions import configs, payloads
 from quillspark.functions.embedding import vector
-from quillspark.operators import filetypes, semantic, threads, upkeep
+from quillspark.operators import filetypes, metrics, semantic, threads, upkeep
 from quillspark.operators.text import chunks_of
 from quillspark.plans.registry import QUERIES
 
@@ -158,3 +159,23 @@ def test_changes_tell_missing_from_null(spark):
     after = spark.createDataFrame([(1, {"a": "2", "b": None}), (3, {"x": None})], fields)
     got = sorted(tuple(r) for r in upkeep.changes(before, after, "id").collect())
     assert got == [(1, "a", "1", "2", 0), (1, "c", None, None, 0), (3, "x", None, None, 0)]
+
+
+def test_chunking_configurations():
+    config = {"strategy": "recursive", "chunk_size": 400, "overlap": 40, "overrides": {"code": {"strategy": "code"}, "pdf": {"chunk_size": 20}}}
+    assert configs.effective(config, "code") == {"strategy": "code", "chunk_size": 400, "overlap": 40}
+    with pytest.raises(ValueError):
+        configs.effective(config, "pdf")
+    plain = {"strategy": "recursive", "chunk_size": 400, "overlap": 40}
+    other = {"strategy": "recursive", "chunk_size": 400, "overlap": 40, "overrides": {"code": {"strategy": "semantic"}}, "version": 2}
+    assert configs.changed_formats(plain, other, ("code", "html")) == {"code"}
+    assert configs.changed_formats(other, other, ("code", "html"), model_changed=True) == {"code"}
+    assert configs.changed_formats(plain, plain, ("code", "html"), tokenizer_changed=True) == {"code", "html"}
+    assert configs.digest(plain) == configs.digest(plain, embedding_model="m") != configs.digest(plain, tokenizer="t")
+    assert len(configs.digest(plain)) == 16
+
+
+def test_windows_are_checked():
+    for start, end, more in (("2024-01-02", "2024-01-02", {}), ("2024-01-01", "2024-06-01", {}), ("2024-01-01", "2024-01-02", {"status_class": "9xx"})):
+        with pytest.raises(ValueError):
+            metrics.Filters(start, end, **more)
