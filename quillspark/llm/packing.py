@@ -21,6 +21,7 @@ repeated rows are packed repeatedly; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -53,8 +54,25 @@ def _classes() -> np.ndarray:
     return table
 
 
+#: The normaliser and the split that PreTokens does by itself, as tokenizer files state them.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def parts_words(settings: dict) -> bool:
+    """The tokenizer's settings are those that PreTokens can look words up for."""
+    normalizer, split, model = (settings.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    first = (split.get("pretokenizers") or [{}])[0]
+    same = normalizer.get("normalizers") == NORMALIZER and first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
+    return same and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not settings.get("truncation")
+
+
 class PreTokens:
-    """Ids of many texts at once, for a tokenizer that lower-cases, drops white space and parts letters, digits and the rest."""
+    """Ids of many texts at once.
+
+    For a tokenizer that lower-cases, drops white space and parts letters, digits and the rest, words
+    are looked up in the cache; texts for any other go through the tokenizer whole.
+    """
 
     SLOTS = 1 << 20
     FLAT = 6_000_000
@@ -64,6 +82,8 @@ class PreTokens:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            self.by_word = parts_words(json.load(f))
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         for name, i in vocab.items():
@@ -142,6 +162,8 @@ class PreTokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
+        if not self.by_word:
+            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         normal = [self.normal(t) for t in texts]
         joined = "\n".join(normal)
         if not joined:
