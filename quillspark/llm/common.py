@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
+BATCH_ROWS_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _MASK = (1 << 64) - 1
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -44,7 +45,13 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         schema = df.schema
-        df.write.parquet(path)
+        # Whole texts go to Python: a batch is held by the JVM and by the worker, so its rows are kept few.
+        before = self.spark.conf.get(BATCH_ROWS_CONF)
+        self.spark.conf.set(BATCH_ROWS_CONF, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_ROWS_CONF, before)
         out = self.spark.read.schema(schema).parquet(path)
         out._quill_path = path
         return out
