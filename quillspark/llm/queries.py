@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, language_id, license_scan, ngram_jaccard, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
+from quillspark.llm import (
+    decontamination,
+    fill_in_middle,
+    hard_negatives,
+    language_id,
+    license_scan,
+    ngram_jaccard,
+    packing,
+    quality_rules,
+    secret_scan,
+    substring_dedup,
+    suffix_dedup,
+    topk_search,
+    toxicity,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +102,20 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("sentence_ids", "licenses")})
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label, F.expr("vec_id % 100 = 0"))
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.expr("vec_id % 50 = 0"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(documents(spark, sf_dir))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_secret_scan": op2_secret_scan,
@@ -99,10 +127,16 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_topk_search": op12_topk_search,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
     "op2_secret_scan": secret_scan.SQL,
     "op3_quality_rules": quality_rules.SQL,
     "op9_license_scan": license_scan.sql(),
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op12_topk_search": topk_search.SQL,
+    "op13_fill_in_middle": fill_in_middle.SQL,
 }
