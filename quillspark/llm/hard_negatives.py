@@ -203,8 +203,11 @@ class Join:
         low, high = np.full(n, np.inf), np.full(n, -np.inf)
         for r in bounds(first).collect():  # a row for each pivot
             low[r["pivot"]], high[r["pivot"]] = r["low"], r["high"]
-        slack = SLACK * (1 + np.sqrt(self.space.longest2)) if self.space.exact else np.inf
-        low, high = low - slack, high + slack
+        if self.space.exact:
+            slack = SLACK * (1 + np.sqrt(self.space.longest2))
+            low, high = low - slack, high + slack
+        else:  # no bound can be told: every partition is asked
+            low, high = np.full(n, -np.inf), np.full(n, np.inf)
         pairs = [(g, j) for g in range(n) for j in range(n) if g != j and self.parts[g] and self.columns[j] and high[g] >= low[g] and not (self.least[g, j] > high[g] or self.most[g, j] < low[g])]
         if not pairs:
             return first
@@ -235,9 +238,9 @@ def mine(vectors: DataFrame, label: Column, is_anchor: Column, positives: int =
         return join.anchors.join(kth, "key", "left").groupBy("pivot").agg(F.lit(0.0).alias("low"), F.max(reach).alias("high"))
 
     same = join.run(join.anchors, {}, _positives(positives), positives, near)
-    # 100 * n >= 30 * p and 100 * n <= 90 * p, in whole numbers; a negative p has no band.
-    bands = same.select("key", F.col("rank").alias("band"), F.col("other").alias("positive_id"), F.col("score").alias("positive_score"),
-        F.expr(f"bigint(score * {low_percent}L div 100 + int(score > 0 and pmod(score * {low_percent}L, 100L) > 0))").alias("low"), F.expr(f"score * {high_percent}L div 100").alias("high"))
+    # 100 * n >= 30 * p and 100 * n <= 90 * p, in whole numbers of any size; a negative p has no band.
+    part = lambda percent, more: F.expr(f"score div 100 * {percent}L + (score % 100 * {percent}L + {more}) div 100")
+    bands = same.select("key", F.col("rank").alias("band"), F.col("other").alias("positive_id"), F.col("score").alias("positive_score"), part(low_percent, 99).alias("low"), part(high_percent, 0).alias("high"))
     bands = scratch.cut(bands.where("positive_score >= 0"))
     listed = bands.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("band", "low", "high"))).alias("b"))
     asking = scratch.cut(join.anchors.join(listed, "key").select(*join.anchors.columns, F.expr("transform(b, x -> x.low)").alias("low"), F.expr("transform(b, x -> x.high)").alias("high"), F.expr("transform(b, x -> x.band)").alias("band_of")))
