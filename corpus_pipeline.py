@@ -31,8 +31,11 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked; n_chars follows the text."""
-    masked = secret_scan.redact(docs.withColumn("_old", F.length("text")))
-    return masked.withColumn("n_chars", F.expr("case when length(text) <> _old then bigint(length(text)) else n_chars end")).select(*docs.columns)
+    # A length that no longer fits follows the text; the old text's length travels in n_chars' own place.
+    both = docs.withColumn("n_chars", F.struct("n_chars", F.length("text").alias("was")))
+    masked = secret_scan.redact(both)
+    n_chars = F.when(F.length("text") != F.col("n_chars.was"), F.length("text").cast("bigint")).otherwise(F.col("n_chars.n_chars"))
+    return masked.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
