@@ -12,10 +12,13 @@ Every task packs its own partition and holds at most `pool_tokens` ids of
 unfinished pieces, so there is neither a shuffle nor a growing state.
 
 Tokenising looks each pre-token up in a cache of fixed size (its hash picks the
-slot) and sends only those not found through the tokenizer, each once a chunk.
+slot, its code points are compared) and sends only those not found through the
+tokenizer, each once a chunk.
 
-Defined cases: a null or empty text is one piece holding `end_id` alone;
-repeated rows are packed repeatedly; other columns are ignored.
+Defined cases: a null or empty text is one piece holding `end_id` alone; a text that
+names a special token holds its id, as the tokenizer says; a very long text is cut into
+full windows and a rest; pieces of equal length are taken latest first; repeated rows are
+packed repeatedly; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,7 +66,8 @@ def parts_words(settings: dict) -> bool:
     """The tokenizer's settings are those that PreTokens can look words up for."""
     normalizer, split, model = (settings.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
     first = (split.get("pretokenizers") or [{}])[0]
-    same = normalizer.get("normalizers") == NORMALIZER and first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
+    added = all(t.get("special") and not t.get("normalized") for t in settings.get("added_tokens") or ())
+    same = added and normalizer.get("normalizers") == NORMALIZER and first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
     return same and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not settings.get("truncation")
 
 
@@ -71,19 +75,22 @@ class PreTokens:
     """Ids of many texts at once.
 
     For a tokenizer that lower-cases, drops white space and parts letters, digits and the rest, words
-    are looked up in the cache; texts for any other go through the tokenizer whole.
+    are looked up in the cache, where a word's hash names its slot and its code points are compared.
+    Texts for any other tokenizer, and texts that hold one of its added tokens, go through it whole.
     """
 
     SLOTS = 1 << 20
-    FLAT = 6_000_000
+    #: Ids and code points that the cache holds.
+    FLAT, LETTERS = 6_000_000, 8_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.by_word = parts_words(json.load(f))
+            settings = json.load(f)
+        self.by_word = parts_words(settings)
+        self.added = [t["content"] for t in settings.get("added_tokens") or ()]
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         for name, i in vocab.items():
@@ -96,8 +103,11 @@ class PreTokens:
         self.key = np.zeros(self.SLOTS, np.uint64)
         self.at = np.zeros(self.SLOTS, np.int32)
         self.size = np.zeros(self.SLOTS, np.int32)
+        self.word_at = np.zeros(self.SLOTS, np.int32)
+        self.word_size = np.zeros(self.SLOTS, np.int32)
+        self.letters = np.zeros(self.LETTERS, np.uint32)
         self.flat = np.zeros(self.FLAT, np.uint16 if len(self.closes) <= 65536 else np.uint32)
-        self.used = 0
+        self.used = self.spelled = 0
 
     @staticmethod
     def normal(text: str) -> str:
@@ -160,61 +170,81 @@ class PreTokens:
         each = [self.tok.encode(w, add_special_tokens=False).ids for w in words]
         return np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each], np.int64)
 
+    def _known(self, h: np.ndarray, cps: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Which words stand in their slots, by hash, length and code points."""
+        slot = (h >> np.uint64(44)).astype(np.int64)
+        known = (self.key[slot] == h) & (self.word_size[slot] == length)
+        at = np.flatnonzero(known)
+        known[at[~alike(cps, first[at], self.letters, self.word_at[slot[at]], length[at])]] = False
+        return known
+
+    def _keep(self, names: np.ndarray, ids: np.ndarray, sizes: np.ndarray, cps: np.ndarray, first: np.ndarray, length: np.ndarray) -> None:
+        """Puts new words into the cache, which starts anew when full; words beyond its size are not kept."""
+        if len(ids) > self.FLAT or length.sum() > self.LETTERS:
+            return
+        if self.used + len(ids) > self.FLAT or self.spelled + length.sum() > self.LETTERS:
+            self.clear()
+        put = (names >> np.uint64(44)).astype(np.int64)
+        self.key[put], self.size[put], self.word_size[put] = names, sizes, length
+        self.at[put] = self.used + np.cumsum(sizes) - sizes
+        self.word_at[put] = self.spelled + np.cumsum(length) - length
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.letters[self.spelled : self.spelled + length.sum()] = cps[places(first, length)]
+        self.used += len(ids)
+        self.spelled += int(length.sum())
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         if not self.by_word:
             return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        normal = [self.normal(t) for t in texts]
+        whole = {i: np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32) for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        normal = ["" if i in whole else self.normal(t) for i, t in enumerate(texts)]
         joined = "\n".join(normal)
-        if not joined:
-            return [np.zeros(0, np.uint32) for _ in texts]
         cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        first, end = self.boundaries(cps)
+        first, end = self.boundaries(cps) if len(cps) else (np.zeros(0, np.int64),) * 2
         if not len(first):
-            return [np.zeros(0, np.uint32) for _ in texts]
-        h = self._hash(cps, first, end)
+            return [whole.get(i, np.zeros(0, np.uint32)) for i in range(len(texts))]
+        h, length = self._hash(cps, first, end), end - first
         slot = (h >> np.uint64(44)).astype(np.int64)
-        known = self.key[slot] == h
-        at, size = self.at[slot], self.size[slot]
+        known = self._known(h, cps, first, length)
+        at, size, source = self.at[slot].astype(np.int64), self.size[slot], self.flat
         miss = np.flatnonzero(~known)
         if len(miss):
             names, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            words = [joined[a:b] for a, b in zip(first[miss[where]].tolist(), end[miss[where]].tolist(), strict=True)]
+            chosen = miss[where]
+            # Different words of one hash: those that aren't like the first are encoded each by itself.
+            same = (length[chosen][back] == length[miss]) & alike(cps, first[miss], cps, first[chosen][back], np.minimum(length[miss], length[chosen][back]))
+            odd = miss[~same]
+            words = [joined[a:b] for k in (chosen, odd) for a, b in zip(first[k].tolist(), end[k].tolist(), strict=True)]
             ids, sizes = self._encode(words)
-            if self.used + len(ids) > len(self.flat):
-                kept = known.nonzero()[0]
-                old_flat, old_at = self.flat, at
-                self.clear()
-                if len(ids) > len(self.flat):
-                    self.flat = np.zeros(len(ids), self.flat.dtype)
-                base = len(old_flat)
-                self.flat[: len(ids)] = ids
-                self.used = len(ids)
-                begins = np.cumsum(sizes) - sizes
-                source = np.concatenate((old_flat, self.flat[: len(ids)]))
-                at = old_at.astype(np.int64)
-                at[miss] = begins[back] + base
-                size[miss] = sizes[back]
-                del kept
-            else:
-                begins = np.cumsum(sizes) - sizes + self.used
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                source = self.flat
-                at[miss], size[miss] = begins[back], sizes[back]
-                base = 0
-            begins = begins if source is self.flat else begins
-            put = (names >> np.uint64(44)).astype(np.int64)
-            self.key[put], self.at[put], self.size[put] = names, begins, sizes
-        else:
-            source = self.flat
+            begins = self.used + np.cumsum(sizes) - sizes
+            source = np.concatenate((self.flat[: self.used], ids.astype(self.flat.dtype)))
+            at[miss], size[miss] = begins[back], sizes[back]
+            at[odd], size[odd] = begins[len(chosen) :], sizes[len(chosen) :]
+            n = int(sizes[: len(chosen)].sum())
+            self._keep(names, ids[:n], sizes[: len(chosen)], cps, first[chosen], length[chosen])
         total = np.cumsum(size, dtype=np.int64)
-        pick = np.repeat(at.astype(np.int64) - (total - size), size) + np.arange(total[-1])
+        pick = np.repeat(at - (total - size), size) + np.arange(total[-1])
         ids = source[pick].astype(np.uint32)
         bounds = np.cumsum([0, *(len(t) + 1 for t in normal)])
         cut = np.searchsorted(first, bounds)
         ends = np.concatenate(([0], total))[cut]
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return [whole[i] if i in whole else ids[a:b] for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+
+
+def places(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The positions first[i] .. first[i] + length[i] - 1 of every i, one after another."""
+    before = np.cumsum(length) - length
+    return np.repeat(first - before, length) + np.arange(int(length.sum()))
+
+
+def alike(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which runs of `length` values of a and b are equal."""
+    out = np.ones(len(length), bool)
+    differ = a[places(a_first, length)] != b[places(b_first.astype(np.int64), length)]
+    if differ.any():
+        out[np.repeat(np.arange(len(length)), length)[differ]] = False
+    return out
 
 
 class Packer:

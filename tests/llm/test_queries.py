@@ -60,7 +60,6 @@ def assert_packed(pieces, docs, window=2048):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p["doc_id"]].append(p)
