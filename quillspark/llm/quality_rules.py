@@ -8,10 +8,12 @@ Lines that fail are removed, and a document that loses more than
 
 All of it is one projection over the scan: no shuffle, no Python.  Words repeated
 in 3-word windows are found by hashing the windows into an array; only where two
-hashes agree are they sorted together with their positions.
+hashes agree are they sorted together with their positions.  Windows are told apart by
+64-bit hashes: in a text of N windows about N^2 / 2^65 unequal ones are taken for equal.
 
 Defined cases: a null or empty text has no words, fails the base rules and its
-cleaned text is empty; repeated rows give repeated results; other columns are ignored.
+cleaned text is empty; a line may have any number of words and items; repeated rows
+give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 CLOSED = r"[.!?:;…\"'”»)\]][\x20\x09-\x0D]*$"
-#: A navigation line: three or more short items with marks between them.
-NAVIGATION = "^[^|»›•·>]{1,30}([|»›•·>][^|»›•·>]{1,30}){2,}$"
+#: A navigation line: three or more items of at most 30 characters, none empty, with these marks between them.
+MARKS, ITEM = "[|»›•·>]", 30
 #: Phrases of page furniture; a line of at most 30 words that has one is boilerplate.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "enable javascript", "javascript is disabled", "privacy policy",
@@ -43,9 +45,11 @@ def line_fails(line: str) -> str:
     marks = f"length(regexp_replace({line}, {_sql('[^#*$%&|<>]+')}, ''))"
     # The line is lowered once for all phrases.
     phrases = f"exists(array(lower({line})), x -> " + " or ".join(f"contains(x, '{p}')" for p in BOILERPLATE) + ")"
+    # Items are cut and counted: a pattern with a repeated group would need a stack as deep as the line has items.
+    items = f"transform(array(split({line}, '{MARKS}', -1)), i -> size(i) >= 3 and forall(i, x -> length(x) between 1 and {ITEM}))[0]"
     return (
         f"(not ({line} rlike {_sql(CLOSED)})"
-        f" or {line} rlike {_sql(NAVIGATION)}"
+        f" or ({line} rlike '{MARKS}' and {items})"
         f" or 4 * {marks} >= {words}"
         f" or ({line} = upper({line}) and {line} <> lower({line}) and {words} >= 3)"
         f" or ({words} <= 30 and ({phrases})))"
@@ -112,7 +116,7 @@ def _duck_fails(line: str) -> str:
     closed = CLOSED.replace("'", "\\x27").replace("$", "\\z")
     return (
         f"(not regexp_matches({line}, '{closed}')"
-        f" or regexp_matches({line}, '{NAVIGATION[:-1]}\\z')"
+        f" or regexp_matches({line}, '^[^|»›•·>]{{1,30}}([|»›•·>][^|»›•·>]{{1,30}}){{2,}}\\z')"
         f" or 4 * length(regexp_replace({line}, '[^#*$%&|<>]+', '', 'g')) >= {words}"
         f" or ({line} = upper({line}) and {line} <> lower({line}) and {words} >= 3)"
         f" or ({words} <= 30 and ({phrases})))"
