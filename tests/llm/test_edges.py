@@ -298,3 +298,27 @@ def test_stages_on_odd_rows(spark, tmp_path, k):
     if k < 4:
         assert out.columns == docs.columns
     assert corpus_pipeline.STAGES[k][1](spark, table(spark, []), str(tmp_path)).count() == 0
+
+
+def test_a_line_of_very_many_items(spark):
+    rows = [(1, "a|" * 1_000_000 + "a."), (2, "a|" * 3000 + "a.\n" + "word " * 60 + "."), (3, "a|b."), (4, "a||b."), (5, "home » shop » about."), (6, "x" * 31 + "|a|b."), (7, "|a|b|c.")]
+    got = plain(quality_rules.clean(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "n_lines", "n_lines_removed")
+    # The third and fourth have four times as many marks as words or more, as has any line of bare items; the sixth and seventh too.
+    assert got == [(1, 1, 1), (2, 2, 1), (3, 1, 1), (4, 1, 1), (5, 1, 1), (6, 1, 1), (7, 1, 1)]
+    menu = [(k, " ".join(["several words"] * 6) + " " + line) for k, line in enumerate(("| a | b.", "a", "a."))]
+    long_items = [(8, "w " * 20 + "| " + "w " * 20 + "| " + "w " * 20 + ".")]
+    got = plain(quality_rules.clean(spark.createDataFrame(menu + long_items, "doc_id bigint, text string")), "doc_id", "n_lines_removed")
+    assert got == [(0, 0), (1, 1), (2, 0), (8, 0)]
+
+
+def test_redaction_of_very_many_findings(spark):
+    import time
+
+    one = "token=abcdef123456 and é "
+    text = one * 8000
+    rows = [(1, text), (2, "token=" + "ab12" * 10 + " x"), (3, "x"), (4, None), (5, "token=AKIA" + "B" * 20 + "." + "0f" * 15 + " passwd: " + "0f" * 30)]
+    began = time.time()
+    got = dict(plain(secret_scan.redact(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "text"))
+    assert time.time() - began < 60
+    assert got[1] == "token=[SECRET] and é " * 8000 and got[2] == "token=[SECRET] x" and got[3] == "x" and got[4] is None
+    assert got[5] == "token=[SECRET] passwd: [SECRET]"
