@@ -1,3 +1,3 @@
 """Registers the queries of every plan module."""
 
-from quillspark.plans import catalog, findings, logs, prompts, queries, upkeep  # noqa: F401
+from quillspark.plans import catalog, code, findings, logs, prompts, queries, upkeep  # noqa: F401
