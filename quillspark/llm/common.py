@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 2048
 BATCH_ROWS_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _MASK = (1 << 64) - 1
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
@@ -144,7 +144,7 @@ class Chunk:
 
 
 def text_chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES, col: str = "text", key: str = "doc_id"):
-    """Chunks of a batch of at most `limit` bytes each; a longer text is a chunk of its own."""
+    """Chunks of a batch of at most `limit` bytes and CHUNK_ROWS rows each; a longer text is a chunk of its own."""
     if batch.num_rows == 0:
         return
     text = batch.column(batch.schema.get_field_index(col))
@@ -160,9 +160,7 @@ def text_chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES, col: str = "tex
     i = 0
     while i < len(text):
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
-        j = min(max(j, i + 1), len(text))
-        while j < len(text) and offsets[j] == offsets[i]:
-            j += 1
+        j = min(max(j, i + 1), i + CHUNK_ROWS, len(text))
         yield Chunk((i, j), ids.slice(i, j - i), null[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
 

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from quillspark.llm.common import rng_table, text_chunks
 
@@ -174,18 +175,21 @@ def accepted(docs: DataFrame, model: dict, least_score: float = 0.5) -> DataFram
     A row goes if it is `und`, or if it is ambiguous and scores below `least_score`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.withColumn("text", F.col("text").cast("string"))
-    names = plain.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Only texts go to Python and only verdicts come back, so that a worker holds a batch of texts once.
+    @F.arrow_udf(BooleanType())
+    def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for batch in batches:
-            for chunk in text_chunks(batch, col="text", key=names[0]):
+        for text in texts:
+            batch = pa.RecordBatch.from_arrays([text, text], ["doc_id", "text"])
+            keep = [np.zeros(0, bool)]
+            for chunk in text_chunks(batch):
                 known = np.array([bool(_LETTER.search(chunk.raw(i).decode())) for i in range(len(chunk))], bool)
-                if not m["langs"]:
-                    continue
-                _, belief, gap = decode(features(chunk.data, chunk.offsets), m["w"], m["code"])
-                keep = known & ((gap >= DOUBT) | (belief >= least_score))
-                yield batch.slice(chunk.rows[0], len(chunk)).filter(pa.array(keep))
+                if m["langs"]:
+                    _, belief, gap = decode(features(chunk.data, chunk.offsets), m["w"], m["code"])
+                    known &= (gap >= DOUBT) | (belief >= least_score)
+                keep.append(known & bool(m["langs"]))
+            yield pa.array(np.concatenate(keep), pa.bool_())
 
-    return plain.mapInArrow(run, plain.schema)
+    plain = docs.withColumn("text", F.col("text").cast("string"))
+    return plain.where(told("text"))

@@ -45,7 +45,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from quillspark.llm.common import BLANKS, Chunk, Scratch, WordTable, groups_for, mix, pair_hash, text_bytes, text_chunks, window_hashes
 from quillspark.llm.components import components
@@ -58,6 +57,8 @@ CENTRES, MORE, ROUNDS = 1, 3, 2
 SHARP, FIRSTS = 8, 8
 #: Numbers of 64 bits to which the longer sketch is folded where every member of a run carries it.
 CARRIED = 64
+#: Stands for a null doc_id: no id is larger.
+NO_ID = (1 << 63) - 1
 ENTRY, ENTRY_OF_COMMON, MEMBER = 0, 1, 2
 
 
@@ -202,8 +203,8 @@ def _nodes(n: int, percent: int):
                 s = Shingles(words, chunk, n)
                 bits = s.sketches()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(2).slice(chunk.rows[0], len(chunk)), chunk.ids, pa.array(s.size), pa.array(s.name.view(np.int64)), *(pa.array(bits[:, k]) for k in range(4)), pa.array(s.sharp(percent), pa.list_(pa.int64()))],
-                    ["at", "doc_id", "n", "node", "s0", "s1", "s2", "s3", "sharp"],
+                    [*(batch.column(batch.schema.get_field_index(c)).slice(chunk.rows[0], len(chunk)) for c in ("at", "hash")), chunk.ids, pa.array(s.size), pa.array(s.name.view(np.int64)), *(pa.array(bits[:, k]) for k in range(4)), pa.array(s.sharp(percent), pa.list_(pa.int64()))],
+                    ["at", "hash", "doc_id", "n", "node", "s0", "s1", "s2", "s3", "sharp"],
                 )
 
     return run
@@ -333,8 +334,8 @@ def _placed(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[Da
     buckets, split, bands = max(least, groups_for(size, BUCKET_BYTES)), 1 + size // (1 << 30), Bands(percent)
 
     # Where a set's text can be read again: by its document's id or, without one, by a hash of the text.
-    texts = texts.withColumn("at", F.coalesce("doc_id", F.xxhash64("text")))
-    nodes = scratch.cut(texts.mapInArrow(_nodes(n, percent), "at bigint, doc_id bigint, n bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, sharp array<bigint>"))
+    texts = texts.withColumn("hash", F.xxhash64("text")).withColumn("at", F.coalesce("doc_id", "hash"))
+    nodes = scratch.cut(texts.mapInArrow(_nodes(n, percent), "at bigint, hash bigint, doc_id bigint, n bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, sharp array<bigint>"))
     runs = texts.select("doc_id", "text").mapInArrow(_send_parts(n, bands, buckets, split), SCHEMA).groupBy("k").applyInArrow(_runs, "run bigint, node bigint, rank int")
     runs = scratch.cut(runs.groupBy("run", "node").agg(F.min("rank").alias("rank")))
     # One row stands for each set that shares a part.
@@ -417,7 +418,7 @@ def _placed(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[Da
         scratch.drop(links)
     for table_ in (open_, stands, across, done):
         scratch.drop(table_)
-    placed = scratch.cut(nodes.where("n > 0").join(roots, "node", "left").select("doc_id", "node", "n", F.coalesce("root", "node").alias("root")))
+    placed = scratch.cut(nodes.where("n > 0").join(roots, "node", "left").select("doc_id", "hash", "node", "n", F.coalesce("root", "node").alias("root")))
     none = scratch.cut(nodes.where("n = 0").select("doc_id"))
     scratch.drop(nodes)
     scratch.drop(roots)
@@ -440,25 +441,6 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     )
 
 
-def _named_rows(n: int):
-    """Rows with the name of their set (`_quill_node`); of a batch's rows with one name and id, the first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(BLANKS, lower=True)
-        for batch in batches:
-            of = lambda c: batch.column(batch.schema.get_field_index(c))
-            rows = pa.RecordBatch.from_arrays([of("_quill_id"), of("_quill_text")], ["doc_id", "text"])
-            names = [Shingles(words, chunk, n).name for chunk in text_chunks(rows)]
-            name = pa.array(np.concatenate(names).view(np.int64) if names else [], pa.int64())
-            at = pa.table([name, of("_quill_id"), pa.array(range(len(name)), pa.int64())], ["name", "id", "at"])
-            firsts = at.group_by(["name", "id"]).aggregate([("at", "min")])["at_min"].combine_chunks()
-            cols = [*batch.select([c for c in batch.schema.names if c not in ("_quill_text", "_quill_node")]).columns, name]
-            names = [*(c for c in batch.schema.names if c not in ("_quill_text", "_quill_node")), "_quill_node"]
-            yield pa.RecordBatch.from_arrays(cols, names).take(firsts.sort())
-
-    return run
-
-
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of `docs` for each component: a row with its smallest doc_id (null is largest) and, of these, the least set name.
 
@@ -467,13 +449,12 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     placed, none = _placed(docs, n, percent, scratch)
     scratch.drop(none)
-    no_id = (1 << 63) - 1
-    named = F.struct(F.coalesce("doc_id", F.lit(no_id)).alias("_quill_id"), F.col("node").alias("_quill_node"))
-    winners = scratch.cut(placed.groupBy("root").agg(F.min(named).alias("w")).select("w.*"))
+    # A row of `docs` is named by its id and a 64-bit hash of its text, which only tells texts of one id apart.
+    named = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("_quill_id"), F.col("node"), F.col("hash").alias("_quill_hash"))
+    winners = scratch.cut(placed.groupBy("root").agg(F.min(named).alias("w")).select("w._quill_id", "w._quill_hash"))
     scratch.drop(placed)
     text = F.col("text").cast("string")
     word = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.where(word).withColumn("_quill_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(no_id))).withColumn("_quill_text", text)
-    schema = StructType([*keyed.drop("_quill_text").schema.fields, StructField("_quill_node", LongType())])
-    rows = keyed.mapInArrow(_named_rows(n), schema).join(winners, ["_quill_node", "_quill_id"], "left_semi")
-    return rows.dropDuplicates(["_quill_node", "_quill_id"]).select(*docs.columns).unionByName(docs.where(~word))
+    keyed = docs.where(word).withColumn("_quill_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("_quill_hash", F.xxhash64(text))
+    rows = keyed.join(winners, ["_quill_id", "_quill_hash"], "left_semi")
+    return rows.dropDuplicates(["_quill_id", "_quill_hash"]).select(*docs.columns).unionByName(docs.where(~word))
