@@ -57,7 +57,8 @@ def parse_summary(reply: Column) -> Column:
 def handles(text: Column) -> Column:
     """Numbers of citation handles [n], [n, m] and [n-m], outside fenced code; sorted, each once."""
     prose = F.regexp_replace(text, r"(?s)```.*?(```|$)", " ")
-    groups = F.regexp_extract_all(prose, F.lit(r"\[(\d{1,4}(?:\s*[,-]\s*\d{1,4})*)\]"), F.lit(1))
+    # Cut and tested piece by piece: a pattern with a repeated group needs a stack as deep as a bracket has numbers.
+    groups = F.filter(F.regexp_extract_all(prose, F.lit(r"\[(\d[\d\s,-]*)\]"), F.lit(1)), lambda g: F.forall(F.split(g, r"\s*[,-]\s*"), lambda x: x.rlike(r"^\d{1,4}$")))
     parts = F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*,\s*")))
 
     def numbers(p: Column) -> Column:
