@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from quillspark.functions.embedding import vector
 from quillspark.functions.strings import word_tokens
 from quillspark.functions.vectors import cosine
+from quillspark.operators.sections import SENTENCE_END
 from quillspark.operators.text import chunks_of
 
-#: A sentence's end (its marks and one blank), and the most spans of a document that are embedded.
-SENTENCE_END = r"(?<=[.!?][\"')\]]{0,64}\s)"
+#: Fixed value: the most spans of a document that are embedded.
 MAX_SPANS = 1500
 
 

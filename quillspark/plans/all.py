@@ -1,3 +1,3 @@
 """Registers the queries of every plan module."""
 
-from quillspark.plans import catalog, code, findings, indexes, logs, prompts, queries, streams, upkeep  # noqa: F401
+from quillspark.plans import catalog, code, findings, indexes, logs, prompts, queries, sections, streams, upkeep  # noqa: F401
