@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,62 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
         .where("coalesce(b.hit, -1) <> coalesce(a.hit, -1)")
         .select(F.col("a.item_id").alias("item_id"), F.expr("case when coalesce(a.hit, 0) > coalesce(b.hit, 0) then 'won' else 'lost' end").alias("outcome"), F.expr("round(a.recall - b.recall, 6)").alias("recall_delta"))
     )
+
+
+#: Granularities, each before and after the prompt's budget.
+LEVELS = ("chunk", "chunk_injected", "document", "document_injected")
+
+
+def relevant_documents(labels: DataFrame, named: DataFrame) -> DataFrame:
+    """item_id and relevant (document ids, each once, sorted): documents that an item names and those of its labelled chunks.
+
+    labels: item_id, chunk_id, document_id (null where the chunk is gone); named: item_id, document_id.
+    """
+    every = labels.select("item_id", "document_id").unionByName(named.select("item_id", "document_id"))
+    return every.where(F.col("document_id").isNotNull()).groupBy("item_id").agg(F.sort_array(F.collect_set("document_id")).alias("relevant_documents"))
+
+
+def injected(retrieved: DataFrame, budget: int) -> DataFrame:
+    """retrieved (item_id, rank, chunk_id, document_id, tokens) with `injected`: whether the chunk is within the prompt's budget.
+
+    Chunks are taken by rank while they fit; one that doesn't fit ends it.
+    """
+    upto = F.sum("tokens").over(Window.partitionBy("item_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return retrieved.withColumn("injected", upto <= budget)
+
+
+def level_scores(items: DataFrame, k: int) -> DataFrame:
+    """level, item_id, verified, negative, recall, precision, rr, hit of every item at each of LEVELS.
+
+    items: item_id, verified, retrieved (an array, in the order of rank, of chunk_id, document_id, injected), relevant_chunks,
+    relevant_documents.  An item without labels at either granularity is negative; one labelled at the other granularity only says nothing at this one.
+    """
+    none = F.expr("cast(array() as array<bigint>)")
+    some = lambda c: F.coalesce(F.col(c), none)
+    negative = (F.size(some("relevant_chunks")) == 0) & (F.size(some("relevant_documents")) == 0)
+    first = F.slice("retrieved", 1, k)
+    out = None
+    for level in LEVELS:
+        kind = level.split("_")[0]
+        kept = F.filter(first, lambda r: F.coalesce(r["injected"], F.lit(False))) if level.endswith("injected") else first
+        rows = items.select("item_id", negative.alias("negative"), F.transform(kept, lambda r: r[f"{kind}_id"].cast("bigint")).alias("retrieved"), some(f"relevant_{kind}s").alias("relevant"))  # noqa: B023
+        scores = scored(rows, k).withColumn("level", F.lit(level))
+        out = scores if out is None else out.unionByName(scores)
+    return out.join(items.select("item_id", F.coalesce("verified", F.lit(False)).alias("verified")), "item_id")
+
+
+def run_levels(scores: DataFrame) -> DataFrame:
+    """Metrics of each level over all items and over the verified ones; `scored` counts the items that say something about recall."""
+    mean = lambda c: F.round(F.avg(c), 6).alias(c)
+    pops = scores.withColumn("population", F.explode(F.when(F.col("verified"), F.array(F.lit("all"), F.lit("verified"))).otherwise(F.array(F.lit("all")))))
+    return pops.groupBy("population", "level").agg(
+        F.count("*").alias("items"), F.count("recall").alias("scored"), F.count_if("negative").alias("negatives"), F.count_if(F.col("negative") & (F.col("precision") == 1)).alias("clean_negatives"),
+        *(mean(c) for c in ("recall", "precision", "rr", "hit")),
+    )
+
+
+def metric_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """How each metric of each population and level moved from one run's `run_levels` to another's; null where either has none."""
+    b, a = before.alias("b"), after.alias("a")
+    rows = b.join(a, ["population", "level"])
+    return rows.select("population", "level", *(F.round(F.col(f"a.{c}") - F.col(f"b.{c}"), 6).alias(f"{c}_delta") for c in ("recall", "precision", "rr", "hit")))

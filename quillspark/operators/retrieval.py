@@ -2,39 +2,80 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.strings import text_hash, word_tokens
-from quillspark.functions.vectors import dot, norm
+from quillspark.functions.vectors import norm
 
-MAX_QUERIES = 1000
+#: Queries and points that meet in one task, and queries scored at a time.
+QUERIES, POINTS, STRIP = 2048, 16384, 256
+
+
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows (zeros follow shorter ones) and their lengths; one that is null or holds a null has none, so that it is like nothing."""
+    rows = column.to_pylist()
+    out = np.zeros((len(rows), max((len(r) for r in rows if r), default=0)))
+    whole = np.ones(len(rows), bool)
+    for i, r in enumerate(rows):
+        whole[i] = r is not None and None not in r
+        if r:
+            out[i, : len(r)] = [0.0 if x is None else x for x in r]
+    return out, np.where(whole, np.sqrt(np.einsum("ij,ij->i", out, out)), 0.0)
 
 
 def knn(points: DataFrame, queries: DataFrame, k: int, min_score: float = -1.0, exclude_self: bool = False) -> DataFrame:
-    """query_id, id, rank, score: the k points of highest cosine of each query, ties by id.
+    """query_id, id, rank, score: the k points of highest cosine of each query, ties (to six places) by id.
 
-    The queries are a stated set.  They go to all points in blocks of about MAX_QUERIES, which are counted
-    first, so that what is broadcast at a time is bounded; each block of points keeps its own k best, so that
-    only queries * k rows a block are shuffled.  Lengths are computed once a vector, not once a pair.
+    The queries are a stated set and go to all points, exactly: groups of queries meet blocks of points in the cells of a grid, so
+    that a task holds one of each, the plan is the same for any number of queries, and each cell sends k rows a query
+    at most.  A group goes to every block and a block to every group; nothing is broadcast.
     """
-    blocks = max(1, -(-queries.count() // MAX_QUERIES))
-    asked = queries.select("query_id", "query", norm("query").alias("norm"))
-    measured = points.select("id", "embedding", norm("embedding").alias("norm"))
-    pairs = None
-    for number in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        block = block.agg(F.collect_list(F.struct("query_id", "query", "norm")).alias("qs"))
-        some = measured.crossJoin(F.broadcast(block)).select("id", "embedding", "norm", F.explode("qs").alias("q"))
-        score = F.coalesce(F.try_divide(dot("q.query", "embedding"), F.col("q.norm") * F.col("norm")), F.lit(0.0))
-        some = some.select(F.col("q.query_id").alias("query_id"), "id", F.round(score, 6).alias("score"))
-        pairs = some if pairs is None else pairs.unionByName(some)
-    pairs = pairs.where(F.col("score") >= min_score)
-    if exclude_self:
-        pairs = pairs.where("id <> query_id")
+    groups, blocks = max(1, -(-queries.count() // QUERIES)), max(1, -(-points.count() // POINTS))
+    part = lambda c, n: F.pmod(F.xxhash64(c, F.lit("part")), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", F.col("query").cast("array<double>").alias("query"), part("query_id", groups).alias("g")).withColumn("b", every(blocks))
+    right = points.select("id", F.col("embedding").cast("array<double>").alias("embedding"), part("id", blocks).alias("b")).withColumn("g", every(groups))
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((left, "query_id"), (right, "id"))}
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        names, ids = asked["query_id"].combine_chunks(), held["id"].combine_chunks()
+        out = [pa.table({"query_id": names.slice(0, 0), "id": ids.slice(0, 0), "score": pa.array([], pa.float64())})]
+        if len(names) and len(ids):
+            order = pc.sort_indices(ids)
+            ids = ids.take(order)
+            (a, an), (m, mn) = _matrix(asked["query"]), _matrix(held["embedding"].take(order))
+            width = max(a.shape[1], m.shape[1])
+            a, m = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, m))
+            same = pc.index_in(names, ids).to_numpy(zero_copy_only=False) if exclude_self else None
+            for at in range(0, len(a), STRIP):
+                strip = slice(at, at + STRIP)
+                length = an[strip, None] * mn[None, :]
+                s = np.divide(a[strip] @ m.T, length, out=np.zeros_like(length), where=length > 0)
+                shown = np.where(np.round(s, 6) >= min_score, np.round(s, 6), -np.inf)
+                if exclude_self:
+                    for i, j in enumerate(same[strip]):
+                        if j == j and j is not None:
+                            j = int(j)
+                            while j < len(ids) and ids[j] == names[at + i]:  # in the order of ids repeats are neighbours
+                                shown[i, j] = -np.inf
+                                j += 1
+                # Points are in the order of id: of equal ones the first are the smallest.
+                if shown.shape[1] > k:
+                    kth = np.partition(shown, -k, axis=1)[:, -k][:, None]
+                    over, tie = shown > kth, shown == kth
+                    shown[~(over | (tie & (np.cumsum(tie, axis=1) <= k - over.sum(axis=1, keepdims=True))))] = -np.inf
+                row, col = np.nonzero(shown > -np.inf)
+                out.append(pa.table({"query_id": names.take(pa.array(at + row)), "id": ids.take(pa.array(col)), "score": s[row, col]}))
+        return pa.concat_tables(out)
+
+    pairs = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(best, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    pairs = pairs.withColumn("score", F.round("score", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    # Catalyst keeps the first k of each group before the shuffle (WindowGroupLimit).
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
 
 

@@ -78,9 +78,9 @@ def test_dedupe(spark):
 
 def test_knn_takes_any_number_of_queries(spark):
     points = spark.createDataFrame([(1, [1.0]), (2, [-1.0])], "id bigint, embedding array<float>")
-    queries = spark.range(retrieval.MAX_QUERIES + 1).selectExpr("id as query_id", "array(1.0F) as query")
+    queries = spark.range(retrieval.QUERIES + 1).selectExpr("id as query_id", "array(1.0F) as query")
     got = retrieval.knn(points, queries, 1).collect()
-    assert {tuple(r)[1:] for r in got} == {(1, 1, 1.0)} and {r["query_id"] for r in got} == set(range(retrieval.MAX_QUERIES + 1))
+    assert {tuple(r)[1:] for r in got} == {(1, 1, 1.0)} and {r["query_id"] for r in got} == set(range(retrieval.QUERIES + 1))
 
 
 def test_extractors():
