@@ -13,12 +13,13 @@ a context window with quotation marks or a reporting word much less.  A logistic
 model turns the weights of a text into its score.
 
 Fitting uses at most about `per_class` labelled rows of each class, drawn by a
-hash of doc_id, and keeps at most `max_entries` entries and the words below its
-beginnings, ten times that many at most: the bounds hold at any input size.  Scores read whole texts and nothing but the text.
+hash of doc_id, and every entry that at least `least_share` of the toxic ones among them
+hold: the sample alone bounds how many those are.  Scores read whole texts and nothing but the text.
 
 Defined cases: a null or empty text scores what no find at all scores; without
 labelled rows of both classes every score is the share of toxic labels (0 without
-labels); repeated rows give repeated results; other columns are ignored.
+labels); texts with the same finds have the same score; a very long text is scored whole;
+repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -253,7 +254,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 2e-5) -> np.ndarray:
     return w
 
 
-def _entries(sample: DataFrame, least: int, max_entries: int) -> list[tuple[str, bool, float]]:
+def _entries(sample: DataFrame, least: int) -> list[tuple[str, bool, float]]:
     """Words and beginnings with their weights.
 
     A word counts once for each text that owns one of its contexts (the words
@@ -283,11 +284,10 @@ def _entries(sample: DataFrame, least: int, max_entries: int) -> list[tuple[str,
         .agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
         .where((F.col("bad") >= least) & (F.col("bad") >= 12 * F.col("good")))
         .orderBy(F.desc("bad"), "entry", "open")
-        .limit(10 * max_entries)
         .collect()
     )
     found = [(r["entry"], r["open"], r["bad"], float(np.log((r["bad"] + 0.5) / (r["good"] + 0.5)))) for r in counts]
-    entries = pruned(found)[:max_entries]
+    entries = pruned(found)
     return entries + below(found, entries)
 
 
@@ -325,7 +325,7 @@ def below(found: list[tuple[str, bool, int, float]], entries: list[tuple[str, bo
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 1500, max_entries: int = 400, least_share: float = 0.01
+    docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 1500, least_share: float = 0.01
 ) -> dict:
     """A model from labelled rows where `train` (an expression over doc_id) holds."""
     marked = (
@@ -346,7 +346,7 @@ def fit(
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = sample.where("text is not null").repartition(8).persist()
     toxic = sample.where("toxic = 1").count()
-    entries = _entries(sample, max(3, int(least_share * toxic)), max_entries)
+    entries = _entries(sample, max(3, int(least_share * toxic)))
     if not entries:
         sample.unpersist()
         return none
