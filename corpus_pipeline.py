@@ -11,21 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontamination, language_id, ngram_jaccard, packing, queries, secret_scan
-from quillspark.llm.common import Scratch
+from quillspark.llm.common import BATCH_ROWS, BATCH_ROWS_CONF, Scratch
+
+
+def bounded(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts short in this session: an executor holds several at a time, in the JVM and in its workers."""
+    rows = int(spark.conf.get(BATCH_ROWS_CONF))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(BATCH_ROWS_CONF, str(BATCH_ROWS))
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
+    bounded(spark)
     return language_id.accepted(docs, language_id.fit(docs, ~queries.held_out(5, 0)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    bounded(spark)
     return ngram_jaccard.one_of_each(docs, n=5, percent=80)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages don't contaminate."""
+    bounded(spark)
     return decontamination.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -42,6 +52,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training windows, with their ids."""
     import public_tokenizers
 
+    bounded(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
