@@ -58,7 +58,7 @@ def drift_samples(points: DataFrame, embed: Callable[[DataFrame], DataFrame], co
 def findings(points: DataFrame, width: int, model: str, documents: DataFrame, neighbours: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
     """code, severity, count, documents of all findings; documents: document_id, embedding_model (null: not embedded)."""
     every = scanned(points, width).crossJoin(copies(points))  # a row each
-    share = lambda c: F.col(c) / F.col("scanned")
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("scanned")), F.lit(0.0))
     two = lambda c: F.when(c, 2).otherwise(1)
     row = lambda code, rank, count, docs: F.struct(F.lit(code).alias("code"), worse(rank).alias("severity"), count.cast("bigint").alias("count"), docs.cast("bigint").alias("documents"))
     rows = [
@@ -73,7 +73,7 @@ def findings(points: DataFrame, width: int, model: str, documents: DataFrame, ne
         own, near = points.select(F.col("id").alias("query_id"), F.col("document_id").alias("own")), points.select("id", F.col("document_id").alias("other"))
         told = neighbours.where("rank = 1").join(own, "query_id").join(near, "id").withColumn("same", F.col("own") == F.col("other"))
         rate = told.agg(F.count("*").alias("n"), F.count_if("same").alias("same"), F.coalesce(F.avg(F.when(~F.col("same"), F.col("score"))), F.lit(0.0)).alias("alike"))
-        low = (F.col("n") > 0) & (F.col("same") / F.col("n") < AGREEMENT)
+        low = F.coalesce(F.try_divide(F.col("same"), F.col("n")) < AGREEMENT, F.lit(False))
         parts.append(rate.select(row("low_agreement", F.when(F.col("alike") >= 0.9, 1).otherwise(2), F.when(low, F.col("n") - F.col("same")).otherwise(0), F.lit(None)).alias("f")))
         pairs = twins(neighbours, points).agg(F.count("*").alias("n"), F.count_distinct("own").alias("d"))
         parts.append(pairs.select(row("near_duplicate_vectors", F.lit(1), F.col("n"), F.col("d")).alias("f")))
