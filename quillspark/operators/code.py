@@ -86,7 +86,8 @@ def _marks(of: Column, marks: str) -> Column:
 def _lines(files: DataFrame) -> DataFrame:
     """A row for each line of the files that may have structure: doc_id, language, n, raw, code (blanked), at, depth, after, fresh, bare."""
     some = files.where(F.col("language").isin(*LANGUAGES) & (F.length("text") <= MOST_CHARS) & (F.trim("text") != ""))
-    code = some.withColumn("code", _by_language(lambda name: _blanked(F.col("text"), _LITERALS[name])))
+    # Files are dealt once, before they are parted into lines: every window below is over a file.
+    code = some.repartition("doc_id").withColumn("code", _by_language(lambda name: _blanked(F.col("text"), _LITERALS[name])))
     # A quote that is left opens a string that nothing closes.
     code = code.where(~F.when(F.col("language") == "python", F.col("code").rlike("[\"']")).otherwise(F.col("code").rlike("[\"'`]|/\\*")))
     rows = code.select("doc_id", "language", F.posexplode(F.arrays_zip(F.split("text", "\n", -1).alias("raw"), F.split("code", "\n", -1).alias("code"))).alias("n", "line")).select("doc_id", "language", "n", "line.raw", "line.code")
@@ -182,13 +183,19 @@ def _name(language: str) -> Column:
     return F.coalesce(*(found(g) for g in range(1, 6)))
 
 
+def _shown() -> Column:
+    """A line of a signature: a brace ends it, up to which a blanked line is as long as its raw one."""
+    return F.when(F.col("language") == "python", F.col("raw")).when(F.instr("code", "{") > 0, F.expr("substring(raw, 1, instr(code, '{'))")).otherwise(F.col("raw"))
+
+
+def _joined(value: Column, when: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("n", value.alias("t"))))), lambda x: x["t"]), "\n")
+
+
 def _units(lines: DataFrame, by: list[str], extra: dict[str, Column]) -> DataFrame:
     """One row for each group of lines: start, end, text, name, header, tokens."""
-    # A brace ends the signature; a blanked line is as long as its raw one up to there.
-    shown = F.when(F.col("language") == "python", F.col("raw")).when(F.instr("code", "{") > 0, F.expr("substring(raw, 1, instr(code, '{'))")).otherwise(F.col("raw"))
-    joined = lambda value, when: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("n", value.alias("t"))))), lambda x: x["t"]), "\n")
     made = lines.groupBy(*by).agg(
-        F.min("at").alias("start"), joined(F.col("raw"), F.lit(True)).alias("text"), F.first("name", ignorenulls=True).alias("name"), F.trim(joined(shown, F.col("head"))).alias("header"), F.max("last_line").alias("last_line"), *(c.alias(k) for k, c in extra.items())
+        F.min("at").alias("start"), _joined(F.col("raw"), F.lit(True)).alias("text"), F.first("name", ignorenulls=True).alias("name"), F.trim(_joined(_shown(), F.col("head"))).alias("header"), F.max("last_line").alias("last_line"), *(c.alias(k) for k, c in extra.items())
     )
     # Every line but a file's last ends in a line end, which its unit holds.
     made = made.withColumn("text", F.when(F.col("last_line"), F.col("text")).otherwise(F.concat("text", F.lit("\n"))))
@@ -217,11 +224,13 @@ def declarations(files: DataFrame) -> DataFrame:
 
 
 def members(files: DataFrame) -> DataFrame:
-    """doc_id, unit, part, start, end, text, name, header, outer_name, outer_header, unit_tokens: each unit's own declarations and what lies between them; these tile the file as well."""
-    lines = _placed(files)
-    outer = _units(lines.withColumnsRenamed({"outer": "unit", "outer_name": "name", "outer_head": "head"}), ["doc_id", "unit"], {}).select("doc_id", "unit", F.col("name").alias("outer_name"), F.col("header").alias("outer_header"), F.col("tokens").alias("unit_tokens"), F.col("text").alias("unit_text"), F.col("start").alias("unit_start"))
-    parts = _units(lines.withColumnsRenamed({"outer": "unit", "inner": "part", "inner_name": "name", "inner_head": "head"}), ["doc_id", "unit", "part"], {})
-    return parts.drop("last_line").join(outer, ["doc_id", "unit"])
+    """doc_id, unit, part, start, end, text, name, header, tokens, outer_name, outer_header, unit_tokens: each unit's own declarations and what lies between them; these tile the file as well."""
+    lines = _placed(files).withColumnsRenamed({"outer": "unit", "inner": "part", "inner_name": "name", "inner_head": "head"})
+    parts = _units(lines, ["doc_id", "unit", "part"], {"outer_name": F.first("outer_name"), "outer_header": F.trim(_joined(_shown(), F.col("outer_head")))})
+    # Tokens don't cross lines, so those of a unit are those of its parts; its signature stands in the first one.
+    unit = Window.partitionBy("doc_id", "unit")
+    signature = F.first("outer_header").over(unit.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return parts.drop("last_line").withColumns({"outer_header": signature, "unit_tokens": F.sum("tokens").over(unit)})
 
 
 def with_header(header: str | None, text: str) -> str:
@@ -241,12 +250,17 @@ def chunk(files: DataFrame, size: int = 400, overlap: int = 0) -> DataFrame:
     parts = members(files)
     # A unit that fits is one piece; of others each part is.
     fits = F.col("unit_tokens") <= size
-    small = parts.where(fits & (F.col("part") == 0)).select("doc_id", "unit", F.lit(0).alias("part"), F.col("outer_name").alias("name"), F.lit("").alias("over"), F.lit("").alias("header"), F.col("unit_text").alias("text"))
-    child = F.col("name").isNotNull()
+    child = ~fits & F.col("name").isNotNull()
     label = F.when(child, F.concat_ws(".", "outer_name", "name")).otherwise(F.col("outer_name"))
-    large = parts.where(~fits).select("doc_id", "unit", "part", label.alias("name"), F.col("outer_header").alias("over"), F.when(child, F.col("header")).otherwise(F.lit("")).alias("header"), "text")
-    plain = files.join(parts.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("unit"), F.lit(0).alias("part"), F.lit(None).cast("string").alias("name"), F.lit("").alias("over"), F.lit("").alias("header"), "text")
-    pieces = small.unionByName(large).unionByName(plain).where(F.trim("text") != "")
+    none = F.lit("")
+    rows = parts.select(
+        "doc_id", "unit", F.when(fits, 0).otherwise(F.col("part")).alias("part"), label.alias("name"), F.when(fits, none).otherwise(F.col("outer_header")).alias("over"), F.when(child, F.col("header")).otherwise(none).alias("header"), F.struct("start", "text").alias("t")
+    )
+    pieces = rows.groupBy("doc_id", "unit", "part", "name", "over", "header").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["text"]), "").alias("text"))
+    # A file without pieces is one piece, so that whether it has any is told by rows of its own and the files are parted once.
+    whole = files.select("doc_id", F.lit(-1).alias("unit"), F.lit(0).alias("part"), F.lit(None).cast("string").alias("name"), none.alias("over"), none.alias("header"), "text")
+    both = pieces.unionByName(whole).withColumn("most", F.max("unit").over(Window.partitionBy("doc_id")))
+    pieces = both.where((F.col("unit") >= 0) | (F.col("most") < 0)).drop("most").where(F.trim("text") != "")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
