@@ -80,7 +80,8 @@ def tail(messages: DataFrame, budget: int = 12_000) -> DataFrame:
 
 def route(requests: DataFrame, targets: DataFrame) -> DataFrame:
     """A/B target of each request: crc32 of key and gateway falls into the weights' bands. `targets` are a gateway's few rows."""
-    w = Window.partitionBy("gateway_id").orderBy("priority")
+    # By rows: targets of one priority have bands of their own, in the order of their names.
+    w = Window.partitionBy("gateway_id").orderBy("priority", "target").rowsBetween(Window.unboundedPreceding, 0)
     bands = targets.withColumn("high", F.sum("weight").over(w)).withColumn("low", F.col("high") - F.col("weight"))
     bands = bands.withColumn("total", F.sum("weight").over(Window.partitionBy("gateway_id")))
     draw = F.crc32(F.concat_ws(":", F.col("end_user_id").cast("string"), F.col("gateway_id").cast("string")))
