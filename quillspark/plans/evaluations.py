@@ -13,8 +13,7 @@ _LINES = """l as (select l_orderkey as item_id, row_number() over (partition by
 
 
 def _items(spark, sf, budget):
-    table(spark, sf, "lineitem").createOrReplaceTempView("_evaluated")
-    lines = spark.sql(f"with {_LINES.replace('from lineitem', 'from _evaluated')} select * from l")
+    lines = spark.sql(f"with {_LINES.replace('from lineitem', 'from {lines}')} select * from l", lines=table(spark, sf, "lineitem"))
     found = evaluation.injected(lines.where("item_id % 22 <> 0"), budget)
     retrieved = found.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "document_id", "injected"))).alias("retrieved"))
     labels = lines.where("l_returnflag = 'R' and item_id % 11 <> 0 and item_id % 3 <> 0")
