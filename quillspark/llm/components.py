@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, groups_for
+from quillspark.llm.common import Scratch, give_back, groups_for
 
 #: Edges of one task's share: 16 bytes each, and a few times that while it works.
 SHARE = 1 << 20
@@ -49,6 +49,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, root = local_roots(*(np.concatenate(c) for c in zip(*share, strict=True)))
         moved = node != root
         yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(root[moved])], ["a", "b"])
+        give_back()
 
 
 def _both(edges: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BLANKS, Chunk, Scratch, WordTable, groups_for, mix, pair_hash, text_bytes, text_chunks, window_hashes
+from quillspark.llm.common import BLANKS, Chunk, Scratch, WordTable, give_back, groups_for, mix, pair_hash, text_bytes, text_chunks, window_hashes
 from quillspark.llm.components import components
 from quillspark.llm.messages import SCHEMA, messages, table, unpacked
 
@@ -281,6 +281,7 @@ def _runs(told: pa.Table) -> pa.Table:
         keep = ((size[which] > 1) & first[which]) | common
         out.append((run[keep], node[keep], rank[keep]))
     run, node, rank = (np.concatenate(c) for c in zip(*out, strict=True))
+    give_back()
     return pa.table([pa.array(run.view(np.int64)), pa.array(node), pa.array(rank.astype(np.int32))], schema=_RUNS)
 
 
