@@ -46,10 +46,10 @@ def vector_audit_findings(spark, sf):
 
 @query(None)
 def vector_audit_drift(spark, sf):
-    """Findings whose drift comes from a sample of 60 documents, embedded anew by another width's model folded to the old one."""
+    """Findings whose drift comes from a sample of 60 documents, embedded anew: every other one by a model that reads other words."""
     docs = table(spark, sf, "documents").selectExpr("doc_id as id", "doc_id as document_id", "sha2(coalesce(text, ''), 256) as text_hash", "coalesce(text, '') as text")
     held = docs.join(embedding.embed(docs.select("id", "text"), 32), "id")
-    turned = lambda t: embedding.embed(t.withColumn("text", F.expr("case when id % 2 = 0 then concat('passage ', text, ' query words that are new') else text end")), 32)
+    turned = lambda t: embedding.embed(t.withColumn("text", F.expr("case when id % 2 = 0 then regexp_replace(text, '([a-zA-Z]+)', '$1q') else text end")), 32)
     samples = vector_audit.drift_samples(held, turned, 60, "hash-32")
     return vector_audit.findings(held, 32, "hash-32", docs.selectExpr("id as document_id", "'hash-32' as embedding_model"), None, samples)
 
