@@ -27,3 +27,11 @@ def test_token_offsets_leave_python_in_slices(spark, monkeypatch):
     monkeypatch.setattr(slices, "ROWS", 11)
     got = {r.id: r.offsets for r in tokens.token_offsets(docs, tokens.WORDS).collect()}
     assert got == {i: tokens.WORDS.offsets("" if i % 7 == 0 else "a bc " * i).tolist() for i in range(300)}
+
+
+def test_semantic_vectors_stay_in_their_task(spark):
+    rows = spark.createDataFrame([(k, 0, "One cat sat. " * k + "Two dogs ran.") for k in range(1, 40)], "doc_id bigint, section int, text string")
+    made = semantic.distances(semantic.spans(rows))
+    assert "array<double>" not in plan(made).replace("apart", "") and "embedding" not in plan(made)
+    got = {r.doc_id: [s.distance for s in r.spans] for r in made.collect()}
+    assert all(d[0] is None and d[1:-1] == [0.0] * (k - 1) and d[-1] > 0.5 for k, d in got.items())
