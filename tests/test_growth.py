@@ -35,3 +35,12 @@ def test_semantic_vectors_stay_in_their_task(spark):
     assert "array<double>" not in plan(made).replace("apart", "") and "embedding" not in plan(made)
     got = {r.doc_id: [s.distance for s in r.spans] for r in made.collect()}
     assert all(d[0] is None and d[1:-1] == [0.0] * (k - 1) and d[-1] > 0.5 for k, d in got.items())
+
+
+def test_preview_reads_its_documents_once(spark):
+    docs = spark.createDataFrame([(k, "w " * k) for k in range(50)], "doc_id bigint, text string")
+    some = tuple(preview.Candidate(str(n), n) for n in (3, 7, 20))
+    made = preview.compared(preview.chunks(docs, some), some)
+    assert plan(made).count("MapInPandas") == 1
+    got = {r.candidate: (r.chunks, r.documents, r.tokens, r.high) for r in made.collect()}
+    assert got == {str(n): (sum(-(-k // n) for k in range(50)), 49, sum(range(50)), min(n, 49)) for n in (3, 7, 20)}
