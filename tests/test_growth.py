@@ -44,3 +44,14 @@ def test_preview_reads_its_documents_once(spark):
     assert plan(made).count("MapInPandas") == 1
     got = {r.candidate: (r.chunks, r.documents, r.tokens, r.high) for r in made.collect()}
     assert got == {str(n): (sum(-(-k // n) for k in range(50)), 49, sum(range(50)), min(n, 49)) for n in (3, 7, 20)}
+
+
+def test_sentence_windows_are_not_dealt(spark):
+    rows = spark.createDataFrame([(k, s, f"t{s}", "Ab c. De f!  G. " * (k + s) + ("long " * 30 if s == 1 else "")) for k in range(9) for s in range(3)], "doc_id bigint, section int, title string, text string")
+    made = sections.sentence_windows(rows, 12, 1)
+    assert re.findall(r"\bUnion\b|\bGenerate\b|\bWindow\b", plan(made)) == ["Generate", "Window", "Union"]
+    got = made.orderBy("doc_id", "chunk_index").collect()
+    for k in range(9):
+        mine = [r for r in got if r.doc_id == k]
+        assert [r.chunk_index for r in mine] == list(range(len(mine))) and [r.title for r in mine] == sorted(r.title for r in mine)
+        assert sum(len(r.embedded.split()) for r in mine) == sum(5 * (k + s) for s in range(3)) + 30
