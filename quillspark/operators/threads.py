@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.slices import slices
 from quillspark.functions.strings import folded
 
 #: Characters of an exchange, the least shared block of a label and its share, the head's share and the elision.
@@ -61,6 +62,12 @@ def exchanges(transcripts: DataFrame, keys: list[str], order: str, budget: int =
     return threads.select(*keys, F.expr("turns").alias("all"), kept.alias("n")).select(*keys, F.slice("all", F.size("all") - F.col("n") + 1, F.col("n")).alias("turns"))
 
 
+def _may_share(wanted: str, body: str, least: int) -> bool:
+    """False only if no run of `least` characters stands in both: such a run holds a whole block of half its length of the body."""
+    half = (least + 1) // 2
+    return len(body) >= least and any(body[at : at + half] in wanted for at in range(0, len(body) - half + 1, half))
+
+
 def reanchored(labels: DataFrame, chunks: DataFrame) -> DataFrame:
     """label_id, chunk_id, place: the chunks of a label's document that now hold its text.
 
@@ -77,11 +84,14 @@ def reanchored(labels: DataFrame, chunks: DataFrame) -> DataFrame:
     rest = pairs.join(exact.select("label_id"), "label_id", "left_anti").where("body <> ''")
 
     def shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames, "body"):
             out = []
             for label, chunk, wanted, body in frame.itertuples(index=False):
+                least = min(SHARED_CHARS, max(1, int(len(wanted) * SHARED_PART)))
+                if not _may_share(wanted, body, least):
+                    continue
                 match = difflib.SequenceMatcher(None, wanted, body, autojunk=False).find_longest_match()
-                if match.size >= min(SHARED_CHARS, max(1, int(len(wanted) * SHARED_PART))):
+                if match.size >= least:
                     out.append((label, chunk, match.a))
             yield pd.DataFrame(out, columns=["label_id", "chunk_id", "place"])
 
@@ -106,7 +116,7 @@ def excerpts(texts: DataFrame, most: int) -> DataFrame:
         return bare[: starts[head]].rstrip() + (ELISION + end if end else ""), head + tail, True
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames):
             parts = [cut(t or "") for t in frame["text"]]
             yield pd.DataFrame({"id": frame["id"], **{c: [p[i] for p in parts] for i, c in enumerate(("excerpt", "tokens", "truncated"))}})
 

@@ -55,3 +55,13 @@ def test_sentence_windows_are_not_dealt(spark):
         mine = [r for r in got if r.doc_id == k]
         assert [r.chunk_index for r in mine] == list(range(len(mine))) and [r.title for r in mine] == sorted(r.title for r in mine)
         assert sum(len(r.embedded.split()) for r in mine) == sum(5 * (k + s) for s in range(3)) + 30
+
+
+def test_chunks_without_a_shared_block_are_passed_over():
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        wanted, body = ("".join(rng.choice(list("abc"), n)) for n in rng.integers(0, 14, 2))
+        least = int(rng.integers(1, 6))
+        shares = any(body[i : i + least] in wanted for i in range(len(body) - least + 1))
+        assert not shares or threads._may_share(wanted, body, least)
+    assert not threads._may_share("x" * 160, "y" * 5000, 60) and not threads._may_share("x" * 160, "x" * 59, 60)
