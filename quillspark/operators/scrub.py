@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Fixed value: what stands for a match.
 REPLACEMENT = "[redacted]"
 MOST_PATTERNS = 64
+#: Places to which the bodies of one gateway are dealt.
+SHARES = 256
 #: A quantified group that holds a quantifier or a choice: such patterns may take exponential time, or a stack as deep as the text is long.
 _UNSAFE = r"\([^()]*(?:[*+|]|\{\d*,)[^()]*\)[*+{]"
 _LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?'
@@ -33,7 +35,10 @@ def redacted(text: Column, patterns: Column) -> Column:
 def scrubbed(bodies: DataFrame, gateways: DataFrame) -> DataFrame:
     """bodies with `body` redacted and `complete`; bodies: gateway_id, body, any other columns; gateways: gateway_id, patterns (array)."""
     usable = F.filter(F.coalesce("patterns", F.expr("cast(array() as array<string>)")), lambda p: F.coalesce(safe(p), F.lit(False)))
-    rows = bodies.join(gateways.select("gateway_id", usable.alias("_patterns")), "gateway_id", "left")
+    # A few gateways may have all the bodies: each gateway's are dealt to SHARES places, and its patterns go to all of them.
+    share = F.pmod(F.xxhash64("body"), F.lit(SHARES)).cast("int")
+    every = gateways.select("gateway_id", usable.alias("_patterns"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share"))
+    rows = bodies.withColumn("_share", share).join(every, ["gateway_id", "_share"], "left").drop("_share")
     some = F.coalesce(F.size("_patterns"), F.lit(0)) > 0
     is_json = F.ltrim("body").rlike(r"^[\[{\x22]") & F.try_parse_json("body").isNotNull()
     # The parts between string literals stay; a literal before a colon is a key.

@@ -65,3 +65,11 @@ def test_chunks_without_a_shared_block_are_passed_over():
         shares = any(body[i : i + least] in wanted for i in range(len(body) - least + 1))
         assert not shares or threads._may_share(wanted, body, least)
     assert not threads._may_share("x" * 160, "y" * 5000, 60) and not threads._may_share("x" * 160, "x" * 59, 60)
+
+
+def test_bodies_of_one_gateway_are_dealt_apart(spark):
+    bodies = spark.range(500).selectExpr("id", "1L as gateway_id", "concat('{\"a\": \"x', id, '\"}') as body")
+    keys = "".join(re.findall(r"Join LeftOuter.*", plan(scrub.scrubbed(bodies, spark.createDataFrame([(1, ["x1"])], "gateway_id bigint, patterns array<string>")))))
+    assert "_share" in keys and "gateway_id" in keys
+    done = scrub.scrubbed(bodies, spark.createDataFrame([(1, ["x1"])], "gateway_id bigint, patterns array<string>"))
+    assert done.count() == 500 and done.where("body like '%redacted%'").count() == 111 and done.columns[-2:] == ["body", "complete"]
