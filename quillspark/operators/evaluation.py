@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def scored(items: DataFrame, k: int) -> DataFrame:
+def scored(items: DataFrame, k: int, more: tuple[str, ...] = ()) -> DataFrame:
     """item_id and recall, precision, rr, hit of each item (retrieved: array in rank order, relevant: array, both of ids).
 
     Precision divides by what was retrieved (up to k), and is 0 for nothing; recall counts different hits.
     An item marked `negative` wants nothing: precision is 1 if nothing was retrieved, else 0; the rest is null.
-    An item that isn't negative and has no relevant ids at this level says nothing: all is null.
+    An item that isn't negative and has no relevant ids at this level says nothing: all is null.  Columns named by `more` come along.
     """
     top = F.slice(F.coalesce("retrieved", F.expr("cast(array() as array<bigint>)")), 1, k)
     rel = F.array_distinct(F.coalesce("relevant", F.expr("cast(array() as array<bigint>)")))
-    rows = items.select("item_id", F.coalesce("negative", F.lit(False)).alias("negative"), top.alias("top"), rel.alias("rel"))
+    rows = items.select("item_id", *more, F.coalesce("negative", F.lit(False)).alias("negative"), top.alias("top"), rel.alias("rel"))
     rows = rows.withColumn("good", F.expr("filter(transform(top, (x, i) -> if(array_contains(rel, x), i + 1, null)), p -> p is not null)"))
     negative, labelled = F.col("negative"), ~F.col("negative") & (F.size("rel") > 0)
     return rows.select(
         "item_id",
+        *more,
         "negative",
         F.when(labelled, F.size(F.array_intersect("top", "rel")) / F.size("rel")).alias("recall"),
         F.when(negative, (F.size("top") == 0).cast("double")).when(labelled, F.coalesce(F.try_divide(F.size("good"), F.size("top")), F.lit(0.0))).alias("precision"),
@@ -81,14 +82,16 @@ def level_scores(items: DataFrame, k: int) -> DataFrame:
     some = lambda c: F.coalesce(F.col(c), none)
     negative = (F.size(some("relevant_chunks")) == 0) & (F.size(some("relevant_documents")) == 0)
     first = F.slice("retrieved", 1, k)
-    out = None
-    for level in LEVELS:
-        kind = level.split("_")[0]
-        kept = F.filter(first, lambda r: F.coalesce(r["injected"], F.lit(False))) if level.endswith("injected") else first
-        rows = items.select("item_id", negative.alias("negative"), F.transform(kept, lambda r: r[f"{kind}_id"].cast("bigint")).alias("retrieved"), some(f"relevant_{kind}s").alias("relevant"))  # noqa: B023
-        scores = scored(rows, k).withColumn("level", F.lit(level))
-        out = scores if out is None else out.unionByName(scores)
-    return out.join(items.select("item_id", F.coalesce("verified", F.lit(False)).alias("verified")), "item_id")
+
+    def level(name: str) -> Column:
+        kind = name.split("_")[0]
+        kept = F.filter(first, lambda r: F.coalesce(r["injected"], F.lit(False))) if name.endswith("injected") else first
+        return F.struct(F.lit(name).alias("level"), F.transform(kept, lambda r: r[f"{kind}_id"].cast("bigint")).alias("retrieved"), some(f"relevant_{kind}s").alias("relevant"))
+
+    # An item's levels are made from its row, so the items are read once.
+    rows = items.select("item_id", F.coalesce("verified", F.lit(False)).alias("verified"), negative.alias("negative"), F.explode(F.array(*map(level, LEVELS))).alias("_level"))
+    scores = scored(rows.select("item_id", "verified", "negative", "_level.*"), k, ("level", "verified"))
+    return scores.select("item_id", "negative", "recall", "precision", "rr", "hit", "level", "verified")
 
 
 def run_levels(scores: DataFrame) -> DataFrame:

@@ -73,3 +73,10 @@ def test_bodies_of_one_gateway_are_dealt_apart(spark):
     assert "_share" in keys and "gateway_id" in keys
     done = scrub.scrubbed(bodies, spark.createDataFrame([(1, ["x1"])], "gateway_id bigint, patterns array<string>"))
     assert done.count() == 500 and done.where("body like '%redacted%'").count() == 111 and done.columns[-2:] == ["body", "complete"]
+
+
+def test_levels_are_made_from_one_reading(spark):
+    items = spark.createDataFrame([(1, True, [(7, 8, True)], [7], [8])], "item_id bigint, verified boolean, retrieved array<struct<chunk_id:bigint,document_id:bigint,injected:boolean>>, relevant_chunks array<bigint>, relevant_documents array<bigint>")
+    made = evaluation.level_scores(items, 3)
+    assert "Union" not in plan(made) and "Join" not in plan(made)
+    assert sorted(r.level for r in made.collect()) == sorted(evaluation.LEVELS)
