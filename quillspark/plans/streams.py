@@ -16,12 +16,18 @@ def late(at: str, key: str, seconds: int):
     return F.expr(f"{at} + make_dt_interval(0, 0, 0, pmod(xxhash64({key}), {seconds}))")
 
 
+#: Fixed value: events of a micro-batch, on the average.
+EVENTS_A_BATCH = 500_000
+
+
 @query(None)
 def limiter_rules_stream(spark, sf):
     """Decisions of the limiter of several rules over a stream that comes up to six hours out of order."""
     events = rule_events(spark, sf).selectExpr("event_id", "gateway_id", "timestamp_seconds(at) as ts", "kind", "holder", f"cast(rules as {rules.RULE}) as rules")
     end = events.agg(F.max("ts").alias("ts")).selectExpr("-1L as event_id", "-1L as gateway_id", "ts + interval 30 days as ts", "'settle' as kind", "'' as holder", f"cast(array() as {rules.RULE}) as rules")
-    return replayed.replayed(events, lambda s: rules.limited(s, "7 hours"), late("ts", "event_id", 6 * 3600), 4, end)
+    # What a gateway holds is a batch's events and those of the hours before, so batches are as many as the table is long.
+    batches = max(4, -(-events.count() // EVENTS_A_BATCH))
+    return replayed.replayed(events, lambda s: rules.limited(s, "7 hours"), late("ts", "event_id", 6 * 3600), batches, end)
 
 
 #: Characters of a frame, and the bound of a completion.

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quillspark.sources.shared import shared_folder
 
@@ -26,8 +27,12 @@ def deal(events: DataFrame, arrival: Column, batches: int, path: str) -> None:
     micros = F.unix_micros(arrival)
     low, high = (x or 0 for x in events.agg(F.min(micros), F.max(micros)).first())
     width = max(1, -(-(high - low + 1) // batches))
+    # Parted once, so that a batch is read from its own files and not picked from the whole table.
+    staged = shared_folder(events.sparkSession, "staged")
+    events.withColumn("_batch", F.floor((micros - low) / width).cast("int")).repartition("_batch").write.mode("overwrite").partitionBy("_batch").parquet(staged)
+    parts = events.sparkSession.read.schema(StructType([*events.schema.fields, StructField("_batch", IntegerType())])).parquet(staged)
     for k in range(batches):
-        events.where(F.floor((micros - low) / width) == k).coalesce(1).write.mode("append").parquet(path)
+        parts.where(F.col("_batch") == k).select(*events.columns).coalesce(1).write.mode("append").parquet(path)
 
 
 def replayed(events: DataFrame, transform: Callable[[DataFrame], DataFrame], arrival: Column, batches: int = 4, more: DataFrame | None = None) -> DataFrame:

@@ -45,9 +45,11 @@ class RuleLimiter(StatefulProcessor):
             self.armed.update((ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(float(at), int(e), kind, holder, rules) for frame in rows for e, at, kind, holder, rules in frame[["event_id", "at", "kind", "holder", "rules"]].itertuples(index=False)]
-        self.waiting.appendList(new)
-        self._wake(_ms(min(at for at, *_ in new)))
+        first = math.inf
+        for frame in rows:
+            self.waiting.appendList([(float(at), int(e), kind, holder, rules) for e, at, kind, holder, rules in frame[["event_id", "at", "kind", "holder", "rules"]].itertuples(index=False)])
+            first = min(first, float(frame["at"].min()))
+        self._wake(_ms(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

