@@ -34,13 +34,16 @@ class Reassembly(StatefulProcessor):
         self.head = handle.getValueState("head", "next bigint, length bigint, truncated boolean, usage bigint, due bigint, done boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        next_, length, truncated, usage, due, done = self.head.get() if self.head.exists() else (0, 0, False, None, 0, False)
+        head = self.head.get()
+        next_, length, truncated, usage, due, done = head or (0, 0, False, None, 0, False)
         if done:
             return
-        frames = pd.concat(list(rows)).sort_values("seq")
-        waiting = {int(s): (c, last) for (s,), (c, last) in self.gap.iterator()}
-        held = set(waiting)
-        for seq, content, last, used in frames[["seq", "content", "last", "usage"]].itertuples(index=False):
+        # A request that is new has nothing in the other states, and what ends at once never goes there.
+        waiting = {int(s): (c, last) for (s,), (c, last) in self.gap.iterator()} if head else {}
+        held, pieces, newest = set(waiting), [], 0
+        frames = [f for frame in rows for f in zip(*(frame[c].tolist() for c in ("seq", "content", "last", "usage", "at_ms")), strict=True)]
+        for seq, content, last, used, at in sorted(frames, key=lambda f: f[0]):
+            newest = max(newest, int(at))
             if seq >= next_:
                 waiting.setdefault(int(seq), (content or "", bool(last)))
             if pd.notna(used):
@@ -52,19 +55,21 @@ class Reassembly(StatefulProcessor):
             if content and len(content) > room:
                 truncated = True
             if content and room > 0:
-                self.parts.appendValue((content[:room],))
+                pieces.append(content[:room])
                 length += min(len(content), room)
             if next_ in held:
                 self.gap.removeKey((next_,))
             next_ += 1
         if due:
             self.handle.deleteTimer(due)
-        due = max(due, int(frames["at_ms"].max()) + self.quiet_ms)
+        due = max(due, newest + self.quiet_ms)
         if ended or len(waiting) > self.buffered:
-            yield self._closed(key, next_, truncated, ended, usage)
+            yield self._closed(key, next_, truncated, ended, usage, pieces, bool(head))
             # Until the stream is quiet, what still comes is known to be too late.
             self.head.update((next_, length, truncated, usage, due, True))
         else:
+            if pieces:
+                self.parts.appendValue(("".join(pieces),))
             for seq in set(waiting) - held:
                 self.gap.updateValue((seq,), waiting[seq])
             self.head.update((next_, length, truncated, usage, due, False))
@@ -73,13 +78,14 @@ class Reassembly(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         next_, _, truncated, usage, _, done = self.head.get()
         if not done:
-            yield self._closed(key, next_, truncated, False, usage)
+            yield self._closed(key, next_, truncated, False, usage, [], True)
         self.head.clear()
 
-    def _closed(self, key, frames: int, truncated: bool, complete: bool, usage) -> pd.DataFrame:
-        text = "".join(t for (t,) in self.parts.get())
-        self.parts.clear()
-        self.gap.clear()
+    def _closed(self, key, frames: int, truncated: bool, complete: bool, usage, pieces: list[str], held: bool) -> pd.DataFrame:
+        text = "".join([*(t for (t,) in self.parts.get()), *pieces] if held else pieces)
+        if held:
+            self.parts.clear()
+            self.gap.clear()
         return pd.DataFrame([(int(key[0]), text, frames, truncated, complete, usage)], columns=_COLUMNS).astype({"usage": "Int64"})
 
     def close(self) -> None:
