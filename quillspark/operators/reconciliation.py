@@ -31,18 +31,27 @@ def reconcile(facts: DataFrame, candidates: DataFrame, threshold: float) -> Data
     def run(mine: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         mine = mine.sort_values("fact_id")
         ids = mine["fact_id"].to_numpy()
-        vectors = np.array([_unit(v) for v in mine["embedding"]]) if len(mine) else np.zeros((0, 1))
-        kept = np.ones(len(mine), bool)  # has a vector still
+        # Facts of one vector are one row, with how many have it still and the smallest of them: what repeats is compared once.
+        rows: dict[bytes, int] = {}
+        units = [_unit(v) for v in mine["embedding"]]
+        row_of = np.array([rows.setdefault(v.tobytes(), len(rows)) for v in units], int)
+        vectors = np.array([np.frombuffer(b) for b in rows]) if rows else np.zeros((0, 1))
+        owners: list[list[int]] = [[] for _ in rows]
+        for i, row in zip(ids[::-1], row_of[::-1], strict=True):
+            owners[row].append(int(i))
+        place = dict(zip(map(int, ids), row_of, strict=True))
+        gone: set[int] = set()
+        first = np.array([o[-1] for o in owners], float)  # inf: no fact has the vector still
         known = {int(f): [float(c), bool(x)] for f, c, x in zip(ids, mine["confidence"], mine["live"], strict=True)}
         fresh: dict[int, np.ndarray] = {}
         out = []
         for c in new.sort_values(["place", "candidate_id"]).itertuples():
             v = _unit(c.embedding)
             same = next((f for f, x in fresh.items() if x @ v >= threshold), None)
-            if same is None and kept.any():
-                near = np.where(kept, vectors @ v, -2.0)
-                best = int(near.argmax())
-                same = int(ids[best]) if near[best] >= threshold else None
+            if same is None and np.isfinite(first).any():
+                near = np.where(np.isfinite(first), vectors @ v, -2.0)
+                best = near.max()
+                same = int(first[near == best].min()) if best >= threshold else None
             if same is not None and known[same][1]:
                 had = known[same][0]
                 known[same][0] = min(1.0, max(had, had + (1 - had) / 3, float(c.confidence)))
@@ -55,7 +64,12 @@ def reconcile(facts: DataFrame, candidates: DataFrame, threshold: float) -> Data
             for old in dict.fromkeys(c.supersedes if c.supersedes is not None else []):
                 if int(old) in known and known[int(old)][1] and int(old) != written:
                     known[int(old)][1] = False
-                    kept[ids == old] = False  # a retired fact keeps its row and loses its vector
+                    if int(old) in place:  # a retired fact keeps its row and loses its vector
+                        gone.add(int(old))
+                        left = owners[place[int(old)]]
+                        while left and left[-1] in gone:
+                            left.pop()
+                        first[place[int(old)]] = left[-1] if left else np.inf
                     fresh.pop(int(old), None)
                     out.append((c.end_user_id, int(old), "superseded", written, known[int(old)][0]))
         return pd.DataFrame(out, columns=[x.split()[0] for x in OUTCOME.split(", ")]).astype({"of_fact": "Int64"})
