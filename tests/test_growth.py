@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.functions import slices, tokens
-from quillspark.operators import code, evaluation, preview, reconciliation, retrieval, scrub, sections, semantic, threads
+from quillspark.operators import code, evaluation, preview, quotas, reconciliation, retrieval, scrub, sections, semantic, threads
 from quillspark.streaming import replayed
 
 
@@ -120,3 +120,28 @@ def test_files_are_dealt_by_their_size(spark, monkeypatch):
     monkeypatch.setattr(code, "SHARE_BYTES", 1000)
     assert "RepartitionByExpression" in plan(code.declarations(files)) and code._lines(files).rdd.getNumPartitions() == 13
     assert code.declarations(files).count() == 80
+
+
+def replayed_rows(events):
+    return sorted((tuple(r) for r in quotas.replay(events).collect()), key=repr)
+
+
+def test_a_gateway_is_replayed_in_slices(spark, monkeypatch):
+    """One gateway with most events, small ones, and null, which is one too; no task takes a whole large one, and decisions stay."""
+    rule = "named_struct('key', {0}, 'lease', {1}, 'value', double({2}), 'span', {3}, 'cost', double({4}))"
+    rules = ", ".join((rule.format("concat('g', g)", "false", 9, 500, "1.5"), rule.format("concat('u', g, id % 7)", "false", 4, 3000, "id % 3"), rule.format("concat('s', g)", "true", 3, 400, "1")))
+    events = spark.range(3000).selectExpr("id", "case when id % 10 < 6 then 1 when id % 10 < 8 then 2 + id % 40 when id % 10 = 8 then null end as gateway_id", "string(coalesce(case when id % 10 < 6 then 1 end, -1)) as g")
+    kind = "case when id % 7 = 3 then 'settle' when id % 5 = 2 then 'release' else 'consume' end"
+    events = events.selectExpr("id + (1L << 60) as event_id", "gateway_id", "id div 4 * 40 as at", f"{kind} as kind", "string(id div 5) as holder", f"array({rules}) as rules").repartition(5)
+    taken, plain = [], quotas._decided
+
+    def decided(rows):
+        taken.append(rows.where("kind <> 'kept'").groupBy("gateway_id").count().agg(F.max("count")).first()[0])
+        return plain(rows)
+
+    monkeypatch.setattr(quotas, "_decided", decided)
+    want = replayed_rows(events)
+    assert taken == [1800] and {r[1] for r in want} == {True, False} and {(r[2] or "-")[0] for r in want} == {"-", "g", "u", "s"}
+    monkeypatch.setattr(quotas, "SLICE", 200)
+    assert replayed_rows(events) == want
+    assert len(taken) > 8 and max(taken[1:]) <= 400
