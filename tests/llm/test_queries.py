@@ -39,6 +39,22 @@ def test_secret_scan(spark, docs):
     assert got == sorted(want, key=repr)
 
 
+def test_secret_scan_gives_the_spans_of_matches(spark, tmp_path):
+    """The name before a secret is in its span and sets its place; the secret alone decides whether it counts."""
+    key, digits = "AKIA" + "B" * 16, "0f" * 12
+    texts = {
+        1: ("é token = \"abcdef1\" x", "assign:2:18"),
+        2: (f"passwd:{digits} {key}", "assign:0:31,hex:7:31,access:32:52"),
+        3: (f"{digits}secret:{key}", "hex:0:24,assign:24:51,access:31:51"),
+        4: ("token=abcde API_KEY':  '𝔘 api_key: /+.-=_", "assign:26:41"),
+        5: ("token" * 9 + "=abcdef" + " Secret=abcdef" * 70, ",".join(f"assign:{a}:{b}" for a, b in [(40, 52)] + [(53 + 14 * k, 66 + 14 * k) for k in range(70)])),
+        6: (None, ""),
+    }
+    spark.createDataFrame([(d, t) for d, (t, _) in texts.items()], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(llm.op2_secret_scan(spark, str(tmp_path)), "doc_id", "spans", "base_sha256")
+    assert got == [(d, s, hashlib.sha256(s.encode()).hexdigest()) for d, (_, s) in texts.items()]
+
+
 def test_quality_rules(spark, docs):
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert rows(llm.op3_quality_rules(spark, SF), *cols) == sorted(((d, *brute.quality(t)) for d, t in docs), key=repr)
