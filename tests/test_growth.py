@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import slices, tokens
 from quillspark.operators import code, evaluation, preview, quotas, reconciliation, retrieval, scrub, sections, semantic, threads
 from quillspark.streaming import replayed
+from tests.test_upkeep import semantic_plainly
 
 
 def plan(df):
@@ -39,6 +40,16 @@ def test_semantic_vectors_stay_in_their_task(spark):
     assert all(d[0] is None and d[1:-1] == [0.0] * (k - 1) and d[-1] > 0.5 for k, d in got.items())
 
 
+def test_semantic_looks_at_every_sentence(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    long = "".join(" ".join(rng.choice(words[20 * (i // 5 % 2) :][:20], 6)) + ". " for i in range(3200))
+    rows = spark.createDataFrame([(1, 0, long), (2, 0, "One. Two.")], "doc_id bigint, section int, text string")
+    got = [r.text for r in semantic.chunks(rows, 60, percentile=80, floor=5).where("doc_id = 1").orderBy("chunk_index").collect()]
+    assert got == semantic_plainly([(0, long)], 60, 80, 5, False) and len(got) > 400
+    assert sum(t.count(".") for t in got) == 3200
+
+
 def test_preview_reads_its_documents_once(spark):
     docs = spark.createDataFrame([(k, "w " * k) for k in range(50)], "doc_id bigint, text string")
     some = tuple(preview.Candidate(str(n), n) for n in (3, 7, 20))
