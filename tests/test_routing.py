@@ -53,3 +53,19 @@ def test_preview(spark):
     for bad in ((), (some[0], some[0]), some * 3):
         with pytest.raises(ValueError):
             preview.chunks(docs, bad)
+
+
+def test_preview_counts_boundaries_within_sentences_and_repeated_tokens(spark):
+    texts = {1: "One two three. Four five six. " * 8, 2: "no end here at all " * 9, 3: 'He said "no." Then (so it went.) And\u00a0', 4: "", 5: "Ab  cd. " * 30 + "tail", 6: "x" * 50}
+    docs = spark.createDataFrame([*texts.items(), (7, None)], "doc_id bigint, text string").repartition(3)
+    some = (preview.Candidate("a", 10, 2), preview.Candidate("b", 5, 0, False), preview.Candidate("c", 4, 3), preview.Candidate("d", 3))
+    got = {r["candidate"]: r for r in preview.compared(preview.chunks(docs, some), some).collect()}
+    for c in some:
+        mid = repeated = 0
+        for t in texts.values():
+            cut = [p for _, p in tokens.windows(t, c.size, c.overlap, c.snap)]
+            mid += sum(not p.endswith(tuple(".!?\"')]")) for p in cut[:-1])
+            # What every token of the text is read for beyond once.
+            repeated += sum(tokens.count(tokens.WORDS, p) for p in cut) - tokens.count(tokens.WORDS, t)
+        assert (got[c.name]["mid_sentence"], got[c.name]["repeated"]) == (mid, repeated)
+    assert got["b"]["mid_sentence"] > 0 and got["b"]["repeated"] == 0 and got["c"]["repeated"] > got["a"]["repeated"] > 0
