@@ -52,11 +52,11 @@ select doc_id, cast(row_number() over w - 1 as integer) as unit, cast(coalesce(s
   name, header, sha256(t) as text_sha256 from u window w as (partition by doc_id order by i)"""
 )
 def code_declarations(spark, sf):
-    """The units of every file, which tile it; files of documents beyond MOST_CHARS would have none."""
-    found = code.declarations(sources(spark, sf))
+    """The units of every file, however long it is, which tile it."""
+    found = code.declarations(sources(spark, sf), None)
     return found.select("doc_id", "unit", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end_"), "name", "header", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(None)
 def code_chunks(spark, sf):
-    return code.chunk(sources(spark, sf), 120)
+    return code.chunk(sources(spark, sf), 120, most_chars=None)

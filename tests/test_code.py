@@ -5,6 +5,9 @@ import ast
 import pytest
 
 from quillspark.operators import code
+from quillspark.plans import code as plans
+from quillspark.plans.registry import SQL
+from tests.oracle import both
 
 PYTHON = '''"""Doc: def not_me(): pass"""
 import os, sys
@@ -159,3 +162,18 @@ def test_chunks(files):
 def test_files_without_rows(files):
     assert code.declarations(files.where("false")).count() == 0
     assert code.chunk(files.where("false")).count() == 0
+
+
+def test_long_files_have_their_declarations(spark, tmp_path):
+    """A document's file is beyond MOST_CHARS; the query reads it as its SQL does."""
+    rows = [(k, (f'line {k} "of" \\ text ' * 20 + "\n") * 600) for k in range(4)] + [(4, None), (5, "a\n\nb")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    (part,) = (tmp_path / "documents.parquet").glob("*.parquet")
+    (tmp_path / "flat").mkdir()
+    (tmp_path / "flat" / "documents.parquet").write_bytes(part.read_bytes())
+    files = plans.sources(spark, str(tmp_path))
+    assert files.where(f"length(text) > {code.MOST_CHARS}").count() == 4
+    mine, theirs = both(spark, plans.code_declarations, SQL["code_declarations"], str(tmp_path / "flat"))
+    assert mine == theirs and len(mine[1]) > 2400
+    chunks = plans.code_chunks(spark, str(tmp_path)).where("doc_id < 4")
+    assert chunks.where("name is null").groupBy("doc_id").count().agg({"count": "max"}).first()[0] < 5
