@@ -14,11 +14,14 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def own_session(spark: SparkSession) -> SparkSession:
-    """A session of its own, so that the state store of these streams is set for them alone."""
+    """A session of its own, so that the state store of these streams is set for them alone.
+
+    The state is in as many parts as there are cores, if these are fewer than the partitions of a shuffle, as each part has its store and its worker in every batch.
+    """
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.shuffle.partitions", min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, spark.sparkContext.defaultParallelism)))
     return session
 
 

@@ -1,7 +1,9 @@
 """Streams with state: equal to the batch replay, to brute force, and unchanged by a restart in mid-batch."""
 
+import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,81 @@ def test_the_daily_cap_counts_earlier_batches(spark):
     earlier = spark.createDataFrame([(1, 10, "succeeded"), (1, 11, "too_short"), (1, 86_400_000, "succeeded"), (2, 3, "over_cap")], "end_user_id bigint, due_ms bigint, outcome string")
     got = {(r["end_user_id"], r["session_id"]): r["outcome"] for r in distiller.judged(found, earlier, 20, 3).collect()}
     assert got == {(1, "s0"): "succeeded", (1, "s1"): "succeeded", (1, "s2"): "over_cap", (1, "s3"): "over_cap", (2, "s"): "too_short"}
+
+
+class Store:
+    """A state in memory that counts the calls on it."""
+
+    calls = 0
+
+    def __init__(self):
+        self.held = {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            Store.calls += 1
+            if name in ("put", "update"):
+                self.held[None] = list(args[0])
+            elif name == "appendList":
+                self.held.setdefault(None, []).extend(args[0])
+            elif name == "updateValue":
+                self.held[args[0]] = args[1]
+            elif name == "removeKey":
+                self.held.pop(args[0], None)
+            elif name == "clear":
+                self.held.clear()
+            told = {"exists": lambda: None in self.held, "get": lambda: self.held.get(None), "iterator": lambda: iter(list(self.held.items())), "containsKey": lambda k: k in self.held, "getValue": self.held.get}
+            return told[name](*args) if name in told else None
+
+        return call
+
+
+class Handle:
+    timers: list = []
+
+    def getListState(self, *a):
+        return Store()
+
+    getMapState = getValueState = getListState
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_calls_on_state_do_not_grow_with_keys_and_events(monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, float(rng.randrange(4000)), rng.choice(["consume"] * 3 + ["settle", "release"]), str(i // 3), json.dumps([{"key": f"u{i % 900}", "lease": i % 900 % 4 == 0, "value": 3.0, "span": 500, "cost": 1.0}, {"key": "g", "lease": False, "value": 700.0, "span": 900, "cost": 1.0}])) for i in range(9000)]
+    limiter, got = rules.RuleLimiter(), []
+    monkeypatch.setattr(Handle, "timers", [])
+    monkeypatch.setattr(Store, "calls", 0)
+    monkeypatch.setattr(rules, "PACK", 1000, raising=False)
+    limiter.init(Handle())
+    for part, now in ((rows[:5000], None), (rows[5000:], 1_500_000), ([], 3_000_400), ([], 10_000_000)):
+        if part:
+            list(limiter.handleInputRows(None, iter([pd.DataFrame(part, columns=["event_id", "at", "kind", "holder", "rules"])]), None))
+        if now:
+            Handle.timers.pop()
+            got += [tuple(r) for f in limiter.handleExpiredTimer(None, Watermark(now), None) for r in f.itertuples(index=False)]
+    store, want = quotas.Counters(), []
+    for e, at, kind, holder, text in sorted(rows, key=lambda r: (r[1], r[0])):
+        some = json.loads(text)
+        if kind == "consume":
+            refused = store.consume(some, at, holder)
+            want.append((e, refused is None, refused))
+        elif kind == "settle":
+            store.settle(some, at)
+        else:
+            store.release(some, holder)
+    assert got == want and any(not r[1] for r in want) and not limiter.rules.held and not limiter.waiting.held
+    assert Store.calls < 4 * (rules.SHARES + 12)
